@@ -522,7 +522,7 @@ _NEAREST = "px[least(7, (i // 10) * 8 // 12) * 8 + least(7, (i % 10) * 8 // 10)
 def p23(t):
     both = []
     for mode in ("nearest", "linear"):
-        resized = planes.resize_plane(t("v_planes"), F.lit(12), F.lit(10), mode)
+        resized = planes.resize_plane(t.spread(t("v_planes")), F.lit(12), F.lit(10), mode)
         both.append(pixels(resized, ["vec_id"]).select(F.lit(mode).alias("mode"), "vec_id", "pos", "v"))
     return both[0].unionByName(both[1])
 

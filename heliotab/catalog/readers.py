@@ -45,7 +45,7 @@ def s1(t):
            d[pos * n + 1 + CASE WHEN n = 1 THEN 0 ELSE 1 END] AS green, d[pos * n + 1 + CASE WHEN n = 1 THEN 0 ELSE 2 END] AS red,
            cast(NULL AS VARCHAR) AS reason FROM p
     UNION ALL
-    SELECT cast(vec_id AS VARCHAR), NULL, NULL, NULL, NULL, 'read_failed' FROM b WHERE label = 9""",
+    SELECT cast(vec_id AS VARCHAR), -1, -1, -1, -1, 'read_failed' FROM b WHERE label = 9""",
 )
 def s2(t):
     """Images with one, three or four channels; label 9 stands for a file that does not decode."""
@@ -66,25 +66,30 @@ def s2(t):
     rows = rasters.normalise_image_struct(t("v_planes").select(image.alias("image")))
     zipped = F.arrays_zip("blue", "green", "red")
     out = rows.select("path", "reason", F.posexplode_outer(zipped).alias("pos", "p"))
-    return out.select("path", "pos", "p.blue", "p.green", "p.red", "reason")
+    known = lambda c, name: F.coalesce(F.col(c), F.lit(-1)).alias(name)
+    return out.select(
+        "path", known("pos", "pos"), known("p.blue", "blue"), known("p.green", "green"), known("p.red", "red"), "reason"
+    )
 
 
 @query(
     "S3",
     """
-    SELECT cast(vec_id AS VARCHAR) AS image_id, CASE WHEN label <> 9 THEN 8 END AS h, CASE WHEN label <> 9 THEN 8 END AS w,
-           CASE WHEN label <> 9 THEN round(px[1], 4) + 0 END AS first, CASE WHEN label <> 9 THEN round(px[64], 4) + 0 END AS last,
-           CASE WHEN label <> 9 THEN round(list_sum(px), 3) + 0 END AS total FROM v_planes""",
+    SELECT cast(vec_id AS VARCHAR) AS image_id, CASE WHEN label <> 9 THEN 8 ELSE -1 END AS h,
+           CASE WHEN label <> 9 THEN 8 ELSE -1 END AS w,
+           CASE WHEN label <> 9 THEN round(f[1], 4) + 0 END AS first, CASE WHEN label <> 9 THEN round(f[64], 4) + 0 END AS last,
+           CASE WHEN label <> 9 THEN round(list_sum(f), 3) + 0 END AS total
+    FROM (SELECT *, list_transform(px, lambda v: cast(cast(v AS FLOAT) AS DOUBLE)) AS f FROM v_planes) p""",
 )
 def s3(t):
-    rows = plane_source.decode_planes(encode_planes(t("v_planes")))
+    rows = plane_source.decode_planes(encode_planes(t.spread(t("v_planes"))))
     px = F.transform("px", lambda v: v.cast("double"))
     total = F.aggregate(px, F.lit(0.0), lambda a, v: a + v)
     value = lambda c, d: F.round(c, d) + F.lit(0.0)
     return rows.select(
         "image_id",
-        "h",
-        "w",
+        F.coalesce("h", F.lit(-1)).alias("h"),
+        F.coalesce("w", F.lit(-1)).alias("w"),
         value(F.get(px, F.lit(0)), 4).alias("first"),
         value(F.get(px, F.lit(63)), 4).alias("last"),
         value(total, 3).alias("total"),
@@ -117,18 +122,18 @@ def _coco_docs(t):
     doc = F.to_json(
         F.struct(F.array(image).alias("images"), annotations.alias("annotations"), categories.alias("categories"))
     )
-    return t("v_docs").select(C("doc").alias("split"), doc.alias("text"))
+    return t.spread(t("v_docs")).select(C("doc").alias("split"), doc.alias("text"))
 
 
 @query(
     "S4",
     """
     SELECT doc AS split, 'image' AS kind, image_id AS id, file AS name, cast(NULL AS double) AS x, cast(NULL AS double) AS y,
-           cast(NULL AS int) AS category_id FROM v_boxes WHERE i = 1
+           -1 AS category_id FROM v_boxes WHERE i = 1
     UNION ALL
     SELECT doc, 'annotation', i, NULL, x1, y1, i % 2 FROM v_boxes
     UNION ALL
-    SELECT doc, 'category', k, 'hotspots', NULL, NULL, NULL FROM v_docs, (VALUES (0), (1)) AS c(k)""",
+    SELECT doc, 'category', k, 'hotspots', NULL, NULL, -1 FROM v_docs, (VALUES (0), (1)) AS c(k)""",
 )
 def s4(t):
     images, annotations, categories = coco.coco_tables(coco.coco_text_elements(_coco_docs(t)))
@@ -140,7 +145,7 @@ def s4(t):
         C("file_name").alias("name"),
         number.alias("x"),
         number.alias("y"),
-        F.lit(None).cast("int").alias("category_id"),
+        F.lit(-1).alias("category_id"),
     )
     boxed = annotations.select(
         "split",
@@ -158,7 +163,7 @@ def s4(t):
         "name",
         number.alias("x"),
         number.alias("y"),
-        F.lit(None).cast("int").alias("category_id"),
+        F.lit(-1).alias("category_id"),
     )
     return rows.unionByName(boxed).unionByName(labels)
 
@@ -196,7 +201,7 @@ def prediction_docs(t):
         .when(C("shape") == 2, F.to_json(items))
         .otherwise(F.to_json(boxes))
     )
-    return t("v_docs").select("doc", C("file").alias("stem"), text.alias("value"))
+    return t.spread(t("v_docs")).select("doc", C("file").alias("stem"), text.alias("value"))
 
 
 def coerced(t):
@@ -271,7 +276,7 @@ def s8(t):
     FROM orders, (VALUES (0), (2)) AS n(i) WHERE i <= o_orderkey % 4""",
 )
 def s9(t):
-    members = archives.image_members(archives.expand_archive_bytes(encode_archives(t.table("orders").select("o_orderkey"))))
+    members = archives.image_members(archives.expand_archive_bytes(encode_archives(t.spread(t.table("orders").select("o_orderkey")))))
     return members.select("archive", "member", "name", F.length("content").alias("size"))
 
 
@@ -320,7 +325,7 @@ def s12(t):
         (k * 3).alias("n"),
     )
     text = F.when(C("shape") == 3, F.lit("[{]")).otherwise(F.to_json(F.transform(i, item)))
-    return metadata.parse_manifest(t("v_docs").select(C("doc").alias("session"), text.alias("text")))
+    return metadata.parse_manifest(t.spread(t("v_docs")).select(C("doc").alias("session"), text.alias("text")))
 
 
 @query("S13", "SELECT event_id, event_type, user_id FROM events")
@@ -443,8 +448,8 @@ def k6(t):
 @query(
     "K7",
     """
-    SELECT 'v' || vec_id || '_thermal' AS image_id, h, w, round(px[1], 4) + 0 AS first, round(list_sum(px), 3) + 0 AS total
-    FROM v_planes""",
+    SELECT 'v' || vec_id || '_thermal' AS image_id, h, w, round(f[1], 4) + 0 AS first, round(list_sum(f), 3) + 0 AS total
+    FROM (SELECT *, list_transform(px, lambda v: cast(cast(v AS FLOAT) AS DOUBLE)) AS f FROM v_planes) p""",
 )
 def k7(t):
     out = scratch_path(t.spark, "k7")

@@ -180,6 +180,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows of a scan over all cores, where one small file would otherwise give one task of heavy row work."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def sql(self, text: str) -> DataFrame:
         full = expand(text, 0)
         for name in TABLES:

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliotab.operators.detections import MAX_DETECTIONS, iou_join, topk_per_image
-from heliotab.operators.skew import running
+from heliotab.operators.skew import SLICE, slices
 
 # Fixed values of the protocol.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -37,44 +37,53 @@ def _candidates(dets: DataFrame, gts: DataFrame, keys: list[str], max_dets: int)
     return ranked.filter(F.col("__r") <= max_dets).drop("__class", "__r")
 
 
-def _match_group(keys: list[str]):
-    """Greedy matching of one image and class for all thresholds and areas."""
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        dets = group.drop_duplicates("det_key").sort_values(["score", "det_key"], ascending=[False, True], kind="stable")
-        partners = {k: g for k, g in group.groupby("det_key", sort=False)}
-        hits = np.zeros((len(dets), len(_CURVES)), dtype=bool)
-        skipped = np.zeros((len(dets), len(_CURVES)), dtype=bool)
-        for c, (t, area) in enumerate(_CURVES):
-            low, high = AREAS[area]
-            taken = set()
-            for d, det in enumerate(dets["det_key"]):
-                near = partners[det]
-                overlap = near["iou"].to_numpy()
-                free = (overlap >= THRESHOLDS[t] - 1e-10) & ~near["g_gt_key"].isin(taken).to_numpy()
-                if not free.any():
-                    continue
-                outside = (near["g_area"].to_numpy() < low) | (near["g_area"].to_numpy() > high)
-                choice = free & ~outside if (free & ~outside).any() else free
-                # Among ignored boxes a crowd with the larger share is met instead, and leaves the others free.
-                if outside[choice].all() and near["crowd_share"].iloc[0] >= overlap[choice].max():
+def _match(dets: list, ious: list, areas: list, gts: list, crowds: list) -> tuple[list[int], list[int]]:
+    """Greedy matching of one image and class, for all thresholds and areas.
+
+    The lists describe the candidate pairs, best detection first. Returned are two bit masks per detection, with a bit
+    per curve: matched, and matched to a box outside the area range.
+    """
+    partners: dict = {}
+    for det, overlap, area, gt, crowd in zip(dets, ious, areas, gts, crowds):
+        partners.setdefault(det, (crowd, []))[1].append((overlap, gt, area))
+    for _, near in partners.values():
+        near.sort(reverse=True)
+    hits, skipped = [0] * len(partners), [0] * len(partners)
+    for c, (t, name) in enumerate(_CURVES):
+        low, high = AREAS[name]
+        least = THRESHOLDS[t] - 1e-10
+        taken = set()
+        for d, (crowd, near) in enumerate(partners.values()):
+            outer = None
+            for overlap, gt, area in near:
+                if overlap < least:
+                    break
+                if gt in taken:
                     continue
-                order = np.lexsort((near["g_gt_key"].to_numpy()[choice], near["iou"].to_numpy()[choice]))
-                best = np.flatnonzero(choice)[order[-1]]
-                taken.add(near["g_gt_key"].iloc[best])
-                hits[d, c] = True
-                skipped[d, c] = outside[best]
-        out = dets[[*keys, "det_key"]].copy()
-        out["hits"], out["skipped"] = list(hits), list(skipped)
-        return out
+                if low <= area <= high:
+                    taken.add(gt)
+                    hits[d] |= 1 << c
+                    break
+                outer = outer or (overlap, gt)
+            if hits[d] >> c & 1 or outer is None:
+                continue
+            # Among ignored boxes a crowd with the larger share is met instead, and leaves the others free.
+            if crowd < outer[0]:
+                taken.add(outer[1])
+                hits[d] |= 1 << c
+                skipped[d] |= 1 << c
+    return hits, skipped
 
-    return match
+
+def _match_masks(dets: pd.Series, ious: pd.Series, areas: pd.Series, gts: pd.Series, crowds: pd.Series) -> pd.DataFrame:
+    rows = [_match(*[list(v) for v in row]) for row in zip(dets, ious, areas, gts, crowds)]
+    return pd.DataFrame(rows, columns=["hits", "skipped"])
 
 
 def match_detections(
     dets: DataFrame, gts: DataFrame, keys: Sequence[str] = ("image_id", "class"), max_dets: int = MAX_DETECTIONS
 ) -> DataFrame:
-    """Detections (the best ``max_dets`` per image and class) with the arrays ``hits`` and ``ignored``, one entry per
+    """Detections (the best ``max_dets`` per image and class) with the bit masks ``hits`` and ``ignored``, one bit per
     threshold and area range.
 
     ``dets`` has x1..y2, score and det_key; ``gts`` has x1..y2, area, iscrowd and gt_key; the keys break ties.
@@ -82,9 +91,6 @@ def match_detections(
     keys = list(keys)
     best = topk_per_image(dets, max_dets, keys, ("score", "det_key"))
     single = gts.filter("iscrowd = 0").select(*keys, "x1", "y1", "x2", "y2", "area", "gt_key")
-    key_type = dets.schema["det_key"].dataType.simpleString()
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dets.select(*keys).schema)
-    schema = f"{fields}, det_key {key_type}, hits array<boolean>, skipped array<boolean>"
     # A crowd box can be met by any number of detections, whose overlap counts against their own area.
     crowd = gts.filter("iscrowd = 1").select(*keys, *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
     width = F.least("x2", "g_x2") - F.greatest("x1", "g_x1")
@@ -101,19 +107,62 @@ def match_detections(
         .join(touched, [*keys, "det_key"], "left")
         .select(*keys, "det_key", "score", "iou", "g_area", "g_gt_key", F.coalesce("crowd_share", F.lit(0.0)).alias("crowd_share"))
     )
-    matched = pairs.groupBy(*keys).applyInPandas(_match_group(keys), schema)
+    # At most max_dets detections with max_dets partners per size class: the list of a group is bounded.
+    fields = ("det_key", "iou", "g_area", "g_gt_key", "crowd_share")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), *fields))).alias("p")
+    masks = F.pandas_udf(_match_masks, "hits array<bigint>, skipped array<bigint>")
+    lists = {f: F.col(f"p.{f}") for f in fields}
+    grouped = pairs.groupBy(*keys).agg(listed).withColumn("m", masks(*lists.values()))
+    found = F.arrays_zip(F.array_distinct(lists["det_key"]).alias("det_key"), F.col("m.hits"), F.col("m.skipped"))
+    matched = grouped.select(*keys, F.explode(found).alias("f")).select(
+        *keys, F.col("f.det_key").alias("det_key"), F.col("f.hits").alias("hit_mask"), F.col("f.skipped").alias("skip_mask")
+    )
     joined = best.join(matched, [*keys, "det_key"], "left").join(touched, [*keys, "det_key"], "left")
+    none = F.lit(0).cast("bigint")
+    hit, skip = F.coalesce("hit_mask", none), F.coalesce("skip_mask", none)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    hit, ignored = [], []
+    share = F.coalesce("crowd_share", F.lit(0.0))
+    unmatched = none
+    for t, least in enumerate(THRESHOLDS):
+        bits = _bits(lambda c, t=t: c[0] == t)
+        unmatched = unmatched.bitwiseOR(F.when(share >= least - 1e-10, bits).otherwise(none))
+    for name, (low, high) in AREAS.items():
+        bits = _bits(lambda c, name=name: c[1] == name)
+        unmatched = unmatched.bitwiseOR(F.when((area < low) | (area > high), bits).otherwise(none))
+    return joined.select(
+        *best.columns,
+        hit.bitwiseAND(F.bitwise_not(skip)).alias("hits"),
+        skip.bitwiseOR(unmatched.bitwiseAND(F.bitwise_not(hit))).alias("ignored"),
+    )
+
+
+def _bits(test) -> Column:
+    return F.lit(sum(1 << i for i, curve in enumerate(_CURVES) if test(curve))).cast("bigint")
+
+
+def _curve_points(rows: pd.DataFrame, before: pd.DataFrame, order: list[str]) -> list[tuple]:
+    """Best precision per curve and recall step over one slice of a class, given the totals of the slices before it."""
+    points = []
+    if rows.empty or before.empty:
+        return points
+    rows = rows.sort_values(["score", *order], ascending=[False] + [True] * len(order), kind="stable")
+    hits, ignored = rows["hits"].to_numpy(np.int64), rows["ignored"].to_numpy(np.int64)
+    grid = np.arange(RECALL_POINTS) * RECALL_STEP
     for c, (t, name) in enumerate(_CURVES):
-        low, high = AREAS[name]
-        own = F.coalesce(F.get("hits", F.lit(c)), F.lit(False))
-        own_skipped = F.coalesce(F.get("skipped", F.lit(c)), F.lit(False))
-        in_crowd = ~own & (F.coalesce(F.col("crowd_share"), F.lit(0.0)) >= THRESHOLDS[t] - 1e-10)
-        outside = (area < low) | (area > high)
-        hit.append(own & ~own_skipped)
-        ignored.append(own_skipped | in_crowd | (~own & ~in_crowd & outside))
-    return joined.select(*best.columns, F.array(*hit).alias("hits"), F.array(*ignored).alias("ignored"))
+        n = before["n"].iloc[0][list(AREAS).index(name)]
+        counted = (ignored >> c & 1) == 0
+        matched = (hits >> c & 1) == 1
+        tp = before["tp"].iloc[0][c] + np.cumsum(matched & counted)
+        fp = before["fp"].iloc[0][c] + np.cumsum(~matched & counted)
+        if not n or not tp[-1]:
+            continue
+        precision = tp / (tp + fp + _EPS)
+        step = np.searchsorted(grid, tp / n, side="right") - 1
+        best = np.zeros(RECALL_POINTS)
+        np.maximum.at(best, step, precision)
+        for reached in np.unique(step[tp > 0]):
+            points.append((THRESHOLDS[t], name, int(reached), float(best[reached])))
+    return points
 
 
 def average_precision(
@@ -121,44 +170,48 @@ def average_precision(
 ) -> DataFrame:
     """AP per class, threshold and area range, for classes that have ground truth in the range.
 
-    Running totals along falling scores give recall and precision of every detection. The precision at a recall point
-    is the best of all detections that reach it, so per curve only the best precision of each recall step is kept.
+    Detections are cut into slices of falling score. The totals of the slices before it give the recall and precision
+    of every detection of a slice. The precision at a recall point is the best of all detections that reach it, so a
+    slice only reports the best precision of each recall step.
     """
-    totals = {}
-    for c in range(len(_CURVES)):
-        totals[f"tp{c}"] = (F.get("hits", F.lit(c)) & ~F.get("ignored", F.lit(c))).cast("bigint")
-        totals[f"fp{c}"] = (~F.get("hits", F.lit(c)) & ~F.get("ignored", F.lit(c))).cast("bigint")
-    rows = matches.select(class_key, "score", *order, "hits", "ignored")
-    counted = running(rows, [class_key], [F.col("score").desc(), *order], totals)
-
-    in_range = [
-        ((F.col("area") >= low) & (F.col("area") <= high)).cast("bigint") for low, high in AREAS.values()
-    ]
+    order = list(order)
+    sliced = slices(matches.select(class_key, "score", *order, "hits", "ignored"), [class_key], [F.col("score").desc(), *order])
+    bit = lambda mask, c: F.getbit(mask, F.lit(c)).cast("bigint")
+    counted = lambda c: F.lit(1) - bit("ignored", c)
+    curves = range(len(_CURVES))
+    per_slice = sliced.groupBy(class_key, SLICE).agg(
+        *[F.sum(bit("hits", c) * counted(c)).alias(f"tp{c}") for c in curves],
+        *[F.sum((1 - bit("hits", c)) * counted(c)).alias(f"fp{c}") for c in curves],
+    )
+    sums = per_slice.select(
+        class_key, SLICE, *[F.array(*[f"{kind}{c}" for c in curves]).alias(kind) for kind in ("tp", "fp")]
+    )
+    # One row per class and slice: small, whatever the number of detections.
+    earlier = Window.partitionBy(class_key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    added = lambda kind: F.aggregate(
+        F.collect_list(kind).over(earlier),
+        F.array_repeat(F.lit(0).cast("bigint"), len(_CURVES)),
+        lambda total, one: F.zip_with(total, one, lambda a, b: a + b),
+    )
+    in_range = [((F.col("area") >= low) & (F.col("area") <= high)).cast("bigint") for low, high in AREAS.values()]
     n_gt = gts.filter("iscrowd = 0").groupBy(class_key).agg(
         *[F.sum(flag).alias(f"n_{name}") for name, flag in zip(AREAS, in_range)]
     )
-    curves = F.array(
-        *[
-            F.struct(
-                F.lit(THRESHOLDS[t]).alias("iou"),
-                F.lit(name).alias("area"),
-                F.col(f"tp{c}").alias("tp"),
-                F.col(f"fp{c}").alias("fp"),
-                F.col(f"n_{name}").alias("n"),
-            )
-            for c, (t, name) in enumerate(_CURVES)
-        ]
+    offsets = (
+        sums.select(class_key, SLICE, added("tp").alias("tp"), added("fp").alias("fp"))
+        .join(n_gt.select(class_key, F.array(*[f"n_{a}" for a in AREAS]).alias("n")), class_key)
+        .select(F.col(class_key).alias("c"), F.col(SLICE).alias("s"), "tp", "fp", "n")
     )
-    points = counted.join(n_gt, class_key).select(class_key, F.explode(curves).alias("c")).select(class_key, "c.*")
-    recall = F.col("tp") / F.col("n")
-    # Highest recall point reached, compared with the same products the points are made of.
-    guess = F.floor(recall / F.lit(RECALL_STEP)).cast("int")
-    reach = lambda k: k * F.lit(RECALL_STEP) <= recall
-    step = F.when(reach(guess + 1), guess + 1).when(reach(guess), guess).otherwise(guess - 1)
+    key_type = matches.schema[class_key].dataType.simpleString()
+
+    def points(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_curve_points(rows, before, order), columns=["iou", "area", "step", "precision"])
+        return found.assign(**{class_key: rows[class_key].iloc[0] if len(rows) else None})
+
     best = (
-        points.filter("tp > 0 AND n > 0")
-        .withColumn("step", F.least(step, F.lit(RECALL_POINTS - 1)))
-        .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(_EPS)))
+        sliced.groupBy(class_key, SLICE)
+        .cogroup(offsets.groupBy("c", "s"))
+        .applyInPandas(points, f"iou double, area string, step int, precision double, {class_key} {key_type}")
         .groupBy(class_key, "iou", "area", "step")
         .agg(F.max("precision").alias("precision"))
     )

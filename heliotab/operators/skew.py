@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 
 from heliotab.session import pin
 
-_SLICE = "__slice"
+SLICE = "slice_id"
 
 
 def _ordered(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _slices(df: DataFrame, part: Sequence[str], order: list[Column], tiebreak: bool) -> DataFrame:
+def slices(
+    df: DataFrame, part: Sequence[str], order: Sequence[str | Column], tiebreak: bool = True
+) -> DataFrame:
+    """Rows range-partitioned by group and order, with their partition in the column ``SLICE``, in fixed storage."""
+    order = _ordered(order)
     tie = [F.xxhash64(*df.columns)] if tiebreak else []
     ranged = df.repartitionByRange(*[F.col(p).asc() for p in part], *order, *tie)
-    return pin(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    return pin(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
 def running(
@@ -41,18 +45,18 @@ def running(
     totals, maxima = totals or {}, maxima or {}
     inputs = {f"__in_{name}": value for name, value in {**totals, **maxima}.items()}
     order = _ordered(order)
-    sliced = _slices(df.withColumns(inputs), part, order, tiebreak)
+    sliced = slices(df.withColumns(inputs), part, order, tiebreak)
 
     combine = {**{name: F.sum for name in totals}, **{name: F.max for name in maxima}}
     keys = list(part)
     tie = [F.xxhash64(*df.columns)] if tiebreak else []
-    inner = Window.partitionBy(_SLICE, *keys).orderBy(*order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(SLICE, *keys).orderBy(*order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumns({name: fn(f"__in_{name}").over(inner) for name, fn in combine.items()})
 
     # One row per (slice, group). Rows with a predecessor are at most one per slice, because a group only continues
     # from the slice before; that bounds the broadcast by the number of partitions.
-    per_slice = sliced.groupBy(_SLICE, *keys).agg(*[fn(f"__in_{n}").alias(f"__off_{n}") for n, fn in combine.items()])
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = sliced.groupBy(SLICE, *keys).agg(*[fn(f"__in_{n}").alias(f"__off_{n}") for n, fn in combine.items()])
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     shifted = per_slice.withColumns(
         {
             "__earlier": F.count(F.lit(1)).over(before),
@@ -61,7 +65,7 @@ def running(
     ).filter("__earlier > 0")
     offsets = F.broadcast(shifted.drop("__earlier").alias("o"))
 
-    match = F.col(f"l.{_SLICE}") == F.col(f"o.{_SLICE}")
+    match = F.col(f"l.{SLICE}") == F.col(f"o.{SLICE}")
     for key in keys:
         match = match & F.col(f"l.{key}").eqNullSafe(F.col(f"o.{key}"))
     joined = local.alias("l").join(offsets, match, "left")
