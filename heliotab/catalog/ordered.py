@@ -1,0 +1,112 @@
+"""Queries over windows, rankings and samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heliotab.catalog.registry import query
+from heliotab.operators import detections, windows
+from heliotab.operators.skew import ranked
+
+C = F.col
+
+_MEMBERS = """
+    SELECT o_orderpriority AS dataset, cast(o_custkey AS string) || '/' || cast(o_orderkey AS string) AS member,
+           'im_' || cast(o_custkey % 97 AS string) || '.jpg' AS name FROM orders"""
+
+
+@query(
+    "W2",
+    f"""
+    WITH m AS (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY member) - 1 AS k FROM ({_MEMBERS}) x)
+    SELECT dataset, member, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.jpg$', '') || '-' || k || '.jpg' END AS unique_name FROM m""",
+)
+def w2(t):
+    return windows.dedupe_names(t.sql(_MEMBERS)).select("dataset", "member", "unique_name")
+
+
+_UPLOADS = """
+    SELECT o_orderpriority AS dataset, 'im_' || cast(o_custkey AS string) || '.jpg' AS name, o_orderkey AS seq, o_totalprice AS size
+    FROM orders"""
+
+
+@query(
+    "W3",
+    f"""
+    SELECT dataset, name, seq, size FROM
+      (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY seq DESC) AS r FROM ({_UPLOADS}) u) x WHERE r = 1""",
+)
+def w3(t):
+    return windows.last_wins(t.sql(_UPLOADS), ["dataset", "name"], ["seq"])
+
+
+_KINDS = """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+           CASE WHEN l_partkey % 5 < 3 THEN 'tif' WHEN l_partkey % 5 = 3 THEN 'other' ELSE 'missing' END AS kind FROM lineitem"""
+_LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+@query(
+    "W5",
+    f"""
+    SELECT seen, cast(tif AS BIGINT) AS tif, cast(other AS BIGINT) AS other, cast(missing AS BIGINT) AS missing FROM
+      (SELECT count(*) OVER w AS seen, count(*) FILTER (kind = 'tif') OVER w AS tif, count(*) FILTER (kind = 'other') OVER w AS other,
+              count(*) FILTER (kind = 'missing') OVER w AS missing FROM ({_KINDS}) k
+       WINDOW w AS (ORDER BY {_LINE} ROWS UNBOUNDED PRECEDING)) x WHERE seen % 50 = 0""",
+)
+def w5(t):
+    return windows.running_usage(t.sql(_KINDS), _LINE.split(", "))
+
+
+_RENDERED = "SELECT session, name, image_id % 7 > 0 AS rendered FROM v_images"
+
+
+@query(
+    "W6",
+    f"""
+    SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY name) AS done, total FROM
+      (SELECT *, count(*) OVER (PARTITION BY session) AS total FROM ({_RENDERED}) r) x WHERE rendered""",
+)
+def w6(t):
+    return windows.progress(t.sql(_RENDERED)).select("session", "name", "done", "total")
+
+
+@query("W7")
+def w7(t):
+    kept = detections.nms(t("v_dets"), order=("score", "det_key"))
+    return kept.select("image_id", "class", "det_key", "score")
+
+
+@query(
+    "W8",
+    """
+    SELECT image_id, det_key, score FROM
+      (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_key) AS r FROM v_dets) d WHERE r <= 3""",
+)
+def w8(t):
+    return detections.topk_per_image(t("v_dets"), 3, order=("score", "det_key")).select("image_id", "det_key", "score")
+
+
+_MATCHES = "SELECT class, image_id, det_key, score, (det_key % 10) < 6 AS tp FROM v_dets"
+
+
+@query(
+    "W9",
+    f"""
+    WITH n AS (SELECT class, count(*) AS n_gt FROM v_gts GROUP BY class),
+         m AS (SELECT m.*, n_gt, count(*) FILTER (tp) OVER w AS cum_tp, count(*) FILTER (NOT tp) OVER w AS cum_fp FROM ({_MATCHES}) m JOIN n ON m.class = n.class
+               WINDOW w AS (PARTITION BY m.class ORDER BY score DESC, image_id, det_key ROWS UNBOUNDED PRECEDING))
+    SELECT class, image_id, det_key, cum_tp, cum_fp, round(cum_tp / n_gt, 9) AS recall, round(cum_tp / (cum_tp + cum_fp), 9) AS precision,
+           round(max(cum_tp / (cum_tp + cum_fp)) OVER (PARTITION BY class ORDER BY cum_tp + cum_fp DESC ROWS UNBOUNDED PRECEDING), 9) AS envelope
+    FROM m""",
+)
+def w9(t):
+    n_gt = t("v_gts").groupBy("class").agg(F.count("*").alias("n_gt"))
+    curve = windows.pr_curve(t.sql(_MATCHES), n_gt, order=("image_id", "det_key"))
+    rounded = [F.round(c, 9).alias(c) for c in ("recall", "precision", "envelope")]
+    return curve.select("class", "image_id", "det_key", "cum_tp", "cum_fp", *rounded)
+
+
+@query("W10")
+def w10(t):
+    return windows.preflight_sample(t("v_images")).select("image_id", "name")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from heliotab.catalog.registry import query
 from heliotab.functions import geo, names
 from heliotab.operators import aggregates, joins, listings
-from heliotab.operators.evaluate import coco_eval
 from heliotab.operators.scoring import num_classes as user_num_classes
 
 C = F.col
@@ -306,15 +305,3 @@ def u3(t):
     return listings.upload_plan(t.sql(_UPLOADS)).select("upload", "name", "role")
 
 
-# ---------------------------------------------------------------------------------------------------- quality
-
-
-def _classic(t):
-    """Detections and ground truth of the tables."""
-    return t("v_dets"), t("v_gts")
-
-
-@query("A12")
-def a12(t):
-    dets, gts = _classic(t)
-    return coco_eval(dets, gts).withColumn("value", F.round("value", 6))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliotab.functions.bind import let
+
 
 def thermal_kind(path: Column, px: Column) -> Column:
     return (
@@ -18,26 +20,34 @@ def normalize_thermal_infer(px: Column) -> Column:
     NaN is ignored for the limits and stays in place.
     """
     known = F.filter(px, lambda v: ~F.isnan(v))
-    low, high = F.array_min(known), F.array_max(known)
     zero = F.lit(0.0)
     keep_nan = lambda v, scaled: F.when(F.isnan(v), v.cast("double")).otherwise(scaled)
-    percent = F.transform(
-        px, lambda v: keep_nan(v, F.least(F.greatest(v.cast("double"), zero), F.lit(100.0)) / F.lit(100.0))
-    )
-    span = high.cast("double") - low.cast("double")
-    stretched = F.transform(px, lambda v: keep_nan(v, (v.cast("double") - low.cast("double")) / span))
-    flat = F.transform(px, lambda v: keep_nan(v, zero))
-    return F.when(high > 1.5, percent).when(span > 0, stretched).otherwise(flat)
+
+    def scale(limits: Column) -> Column:
+        low, high = limits["low"].cast("double"), limits["high"].cast("double")
+        span = high - low
+        percent = F.transform(
+            px, lambda v: keep_nan(v, F.least(F.greatest(v.cast("double"), zero), F.lit(100.0)) / F.lit(100.0))
+        )
+        stretched = F.transform(px, lambda v: keep_nan(v, (v.cast("double") - low) / span))
+        flat = F.transform(px, lambda v: keep_nan(v, zero))
+        return F.when(high > 1.5, percent).when(span > 0, stretched).otherwise(flat)
+
+    return let(F.struct(F.array_min(known).alias("low"), F.array_max(known).alias("high")), scale)
 
 
 def normalize_thermal_train(px: Column) -> Column:
     """Training-time scaling: divide by a maximum above 1, then clip to [0, 1]; a NaN maximum divides nothing."""
     high = F.array_max(px).cast("double")
-    divisor = F.when((high > 1) & ~F.isnan(high), high).otherwise(F.lit(1.0))
+    divisor = lambda m: F.when((m > 1) & ~F.isnan(m), m).otherwise(F.lit(1.0))
     clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    return F.transform(
-        px, lambda v: F.when(F.isnan(v), v.cast("double")).otherwise(clip(v.cast("double") / divisor))
-    )
+
+    def scale(d: Column) -> Column:
+        return F.transform(
+            px, lambda v: F.when(F.isnan(v), v.cast("double")).otherwise(clip(v.cast("double") / d))
+        )
+
+    return let(divisor(high), scale)
 
 
 def mean_of_planes(planes: Column) -> Column:
@@ -128,3 +138,8 @@ def stretch_u8(value: Column, low: Column, high: Column) -> Column:
     part = F.least(F.greatest((value - low) / (top - low), F.lit(0.0)), F.lit(1.0))
     known = value.isNotNull() & ~F.isnan(value) & low.isNotNull()
     return F.when(known, (part * F.lit(255.0)).cast("int")).otherwise(F.lit(0))
+
+
+def stretch_plane(px: Column, limits: Column) -> Column:
+    """:func:`stretch_u8` of a whole plane between the limits ``struct<low,high>``."""
+    return let(limits, lambda p: F.transform(px, lambda v: stretch_u8(v, p["low"], p["high"])))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliotab.functions import names, planes
+from heliotab.functions.bind import let
 from heliotab.operators.skew import collect_chunks, ranked
 
 TIFF_PATTERN = r"(?i)\.tiff?$"
@@ -115,8 +116,11 @@ def percentile_of(values: Column, q: float) -> Column:
 
 def tile_percentiles(px: Column, low: float = 0.02, high: float = 0.98) -> Column:
     """``struct<low,high>`` over the finite pixels of one tile, sorted inside its row: no explode, no shuffle."""
-    finite = F.array_sort(F.filter(px, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    return F.struct(percentile_of(finite, low).alias("low"), percentile_of(finite, high).alias("high"))
+    # sort_array compares in place, where array_sort would call a comparator per pair.
+    finite = F.sort_array(F.filter(px, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return let(
+        finite, lambda v: F.struct(percentile_of(v, low).alias("low"), percentile_of(v, high).alias("high"))
+    )
 
 
 def feature_collections(features: DataFrame, size: int = FEATURES_PER_COLLECTION, key: str = "session") -> DataFrame:

@@ -137,14 +137,22 @@ def _greedy(boxes: np.ndarray, min_iou: float) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
-def _nms_groups(dets: DataFrame, min_iou: float, keys: list[str], order: list[str]) -> DataFrame:
-    ascending = [False] + [True] * (len(order) - 1)
+def _kept_positions(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, limit: pd.Series) -> pd.Series:
+    rows = []
+    for *sides, t in zip(x1, y1, x2, y2, limit):
+        boxes = np.stack([np.asarray(s, dtype=float) for s in sides], axis=1)
+        rows.append(_greedy(boxes, t) if len(boxes) > 1 else np.zeros(1, dtype=int))
+    return pd.Series(rows)
 
-    def suppress(group: pd.DataFrame) -> pd.DataFrame:
-        best_first = group.sort_values(order, ascending=ascending, kind="stable")
-        return best_first.iloc[_greedy(best_first[list(_BOX)].to_numpy(dtype=float), min_iou)]
 
-    return dets.groupBy(*keys).applyInPandas(suppress, dets.schema)
+def _nms_groups(dets: DataFrame, min_iou: float, keys: list[str], order: list[str]) -> DataFrame:
+    """Suppression group by group; a group is one list, whose length the caller has checked."""
+    place = F.struct((-F.col(order[0])).alias("s"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order[1:])])
+    row = F.struct(place.alias("place"), F.struct(*dets.columns).alias("row"))
+    grouped = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("g"))
+    kept = F.pandas_udf(_kept_positions, "array<int>")(*[F.col(f"g.row.{c}") for c in _BOX], F.lit(float(min_iou)))
+    picked = grouped.withColumn("kept", kept).select(F.explode(F.transform("kept", lambda i: F.get("g", i))).alias("d"))
+    return picked.select("d.row.*")
 
 
 def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[str]) -> DataFrame:

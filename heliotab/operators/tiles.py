@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliotab.functions import geo, planes
+from heliotab.functions.bind import let
 from heliotab.operators.aggregates import tile_percentiles
 
 MAX_BANDS = 3
@@ -55,20 +56,12 @@ def reproject_tiles(tiles: DataFrame, tile_size: int = geo.TILE_SIZE) -> DataFra
     is shuffled.
     """
     bounds = geo.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
-    step = (F.col("__b.right") - F.col("__b.left")) / F.lit(float(tile_size))
     degrees = F.col("epsg") == 4326
-    h, w = F.col("h"), F.col("w")
-    px = F.col("px")
-
-    def value(p: Column) -> Column:
-        mx = F.col("__b.left") + (p % tile_size + F.lit(0.5)) * F.col("__step")
-        my = F.col("__b.top") - (F.floor(p / tile_size) + F.lit(0.5)) * F.col("__step")
-        sx = F.when(degrees, geo.mercator_to_lon(mx)).otherwise(mx)
-        sy = F.when(degrees, geo.mercator_to_lat(my)).otherwise(my)
-        u = (sx - F.col("x0")) / F.col("dx")
-        v = (F.col("y0") - sy) / F.col("dy")
-        covered = (u >= 0) & (u < w) & (v >= 0) & (v < h)
-        clamp = lambda place, n: F.least(F.greatest(place - F.lit(0.5), F.lit(0.0)), (n - 1).cast("double"))
+    h, w, px = F.col("h"), F.col("w"), F.col("px")
+    clamp = lambda place, n: F.least(F.greatest(place - F.lit(0.5), F.lit(0.0)), (n - 1).cast("double"))
+
+    def blend(place: Column) -> Column:
+        u, v = place["u"], place["v"]
         fu, fv = clamp(u, w), clamp(v, h)
         c0, r0 = F.floor(fu).cast("int"), F.floor(fv).cast("int")
         c1, r1 = F.least(c0 + 1, w - 1), F.least(r0 + 1, h - 1)
@@ -76,18 +69,30 @@ def reproject_tiles(tiles: DataFrame, tile_size: int = geo.TILE_SIZE) -> DataFra
         a, b = fu - c0, fv - r0
         top = at(r0, c0) * (F.lit(1.0) - a) + at(r0, c1) * a
         low = at(r1, c0) * (F.lit(1.0) - a) + at(r1, c1) * a
+        covered = (u >= 0) & (u < w) & (v >= 0) & (v < h)
         return F.when(covered, top * (F.lit(1.0) - b) + low * b).otherwise(F.lit(0.0))
 
-    grid = F.sequence(F.lit(0), F.lit(tile_size * tile_size - 1))
-    placed = tiles.withColumn("__b", bounds).withColumn("__step", step)
-    return placed.withColumn("px", F.transform(grid, value)).drop("__b", "__step")
+    def values(frame: Column) -> Column:
+        step = frame["step"]
+
+        def value(p: Column) -> Column:
+            mx = frame["left"] + (p % tile_size + F.lit(0.5)) * step
+            my = frame["top"] - (F.floor(p / tile_size) + F.lit(0.5)) * step
+            sx = F.when(degrees, geo.mercator_to_lon(mx)).otherwise(mx)
+            sy = F.when(degrees, geo.mercator_to_lat(my)).otherwise(my)
+            u, v = (sx - F.col("x0")) / F.col("dx"), (F.col("y0") - sy) / F.col("dy")
+            return let(F.struct(u.alias("u"), v.alias("v")), blend)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(tile_size * tile_size - 1)), value)
+
+    step = (bounds["right"] - bounds["left"]) / F.lit(float(tile_size))
+    frame = F.struct(bounds["left"].alias("left"), bounds["top"].alias("top"), step.alias("step"))
+    return tiles.withColumn("px", let(frame, values))
 
 
 def stretched_tiles(tiles: DataFrame, px: str = "px") -> DataFrame:
     """Tile values stretched between their 2nd and 98th percentile to 0..255."""
-    limits = tiles.withColumn("__p", tile_percentiles(F.col(px)))
-    stretched = F.transform(F.col(px), lambda v: planes.stretch_u8(v, F.col("__p.low"), F.col("__p.high")))
-    return limits.withColumn(px, stretched).drop("__p")
+    return tiles.withColumn(px, let(F.col(px), lambda v: planes.stretch_plane(v, tile_percentiles(v))))
 
 
 def rgb_tiles(tiles: DataFrame, keys: tuple[str, ...] = ("source", "z", "x", "y")) -> DataFrame:

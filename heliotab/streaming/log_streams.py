@@ -58,7 +58,7 @@ def stream_last_n(stream: DataFrame, n: int = BUFFER_LINES, shards: int = SHARDS
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        entered = pd.DataFrame(columns=["channel", "seq", "line"])
+        entered = pd.DataFrame({"channel": pd.Series(dtype=str), "seq": pd.Series(dtype="int64"), "line": pd.Series(dtype=str)})
         for batch in batches:
             entered = pd.concat([entered, batch[["channel", "seq", "line"]]]).nlargest(n, "seq")
         merged = sorted([*held, *entered["seq"].tolist()])[-n:]
