@@ -72,7 +72,7 @@ def j2(t):
     FROM r LEFT JOIN best ON r.path = best.path""",
 )
 def j3(t):
-    return joins.match_thermal(t("v_rgb").select("path"), t("v_thermal")).select("path", "thermal_path", "stage")
+    return joins.match_thermal(t.spread(t("v_rgb").select("path")), t.spread(t("v_thermal"))).select("path", "thermal_path", "stage")
 
 
 _SIDE_FILES = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,44 +73,52 @@ def mean_planes(df: DataFrame, key: str = "image_id", px: str = "px") -> DataFra
     return means.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias(px))
 
 
-def resize_nearest(px: Column, h: Column, w: Column, new_h: Column, new_w: Column) -> Column:
-    def pick(i: Column) -> Column:
-        row = F.least(F.floor((i / new_w).cast("bigint") * h / new_h), h - 1)
-        col = F.least(F.floor((i % new_w) * w / new_w), w - 1)
-        return F.element_at(px, (row * w + col + 1).cast("int"))
+def _grid(n: int, new_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower and upper source index and the share of the upper one, per target index."""
+    place = np.clip((np.arange(new_n) + 0.5) * n / new_n - 0.5, 0, n - 1)
+    low = np.floor(place).astype(int)
+    return low, np.minimum(low + 1, n - 1), place - low
 
-    return F.transform(F.sequence(F.lit(0), (new_h * new_w - 1).cast("int")), pick)
 
+def _nearest(plane: np.ndarray, new_h: int, new_w: int) -> np.ndarray:
+    h, w = plane.shape
+    rows, cols = np.arange(new_h) * h // new_h, np.arange(new_w) * w // new_w
+    return plane[np.ix_(np.minimum(rows, h - 1), np.minimum(cols, w - 1))]
 
-def resize_linear(px: Column, h: Column, w: Column, new_h: Column, new_w: Column) -> Column:
-    def at(row: Column, col: Column) -> Column:
-        return F.element_at(px, (row * w + col + 1).cast("int")).cast("double")
 
-    def source(i: Column, n: Column, new_n: Column) -> Column:
-        place = (i + F.lit(0.5)) * n / new_n - F.lit(0.5)
-        return F.least(F.greatest(place, F.lit(0.0)), (n - 1).cast("double"))
+def _linear(plane: np.ndarray, new_h: int, new_w: int) -> np.ndarray:
+    r0, r1, fy = _grid(plane.shape[0], new_h)
+    c0, c1, fx = _grid(plane.shape[1], new_w)
+    top = plane[np.ix_(r0, c0)] * (1 - fx) + plane[np.ix_(r0, c1)] * fx
+    bottom = plane[np.ix_(r1, c0)] * (1 - fx) + plane[np.ix_(r1, c1)] * fx
+    return top * (1 - fy)[:, None] + bottom * fy[:, None]
+
+
+def _resizer(method):
+    def resize(px: pd.Series, h: pd.Series, w: pd.Series, new_h: pd.Series, new_w: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                None if p is None else method(np.asarray(p, dtype=float).reshape(int(a), int(b)), int(c), int(d)).ravel()
+                for p, a, b, c, d in zip(px, h, w, new_h, new_w)
+            ]
+        )
+
+    return F.pandas_udf(resize, "array<double>")
+
 
-    def blend(i: Column) -> Column:
-        y, x = source((i / new_w).cast("bigint"), h, new_h), source(i % new_w, w, new_w)
-        r0, c0 = F.floor(y), F.floor(x)
-        r1, c1 = F.least(r0 + 1, h - 1), F.least(c0 + 1, w - 1)
-        fy, fx = y - r0, x - c0
-        top = at(r0, c0) * (F.lit(1.0) - fx) + at(r0, c1) * fx
-        bottom = at(r1, c0) * (F.lit(1.0) - fx) + at(r1, c1) * fx
-        return top * (F.lit(1.0) - fy) + bottom * fy
+def resize_nearest(px: Column, h: Column, w: Column, new_h: Column, new_w: Column) -> Column:
+    return _resizer(_nearest)(px, h, w, new_h, new_w)
 
-    return F.transform(F.sequence(F.lit(0), (new_h * new_w - 1).cast("int")), blend)
+
+def resize_linear(px: Column, h: Column, w: Column, new_h: Column, new_w: Column) -> Column:
+    return _resizer(_linear)(px, h, w, new_h, new_w)
 
 
 def resize_plane(df: DataFrame, new_h: Column, new_w: Column, mode: str = "nearest", px: str = "px") -> DataFrame:
-    """Resize the plane of each row to (new_h, new_w); rows that already fit are left alone."""
+    """Resize the plane of each row to (new_h, new_w), over Arrow batches."""
     resize = {"nearest": resize_nearest, "linear": resize_linear}[mode]
-    h, w = F.col("h"), F.col("w")
-    fits = (h == new_h) & (w == new_w)
-    values = F.col(px).cast("array<double>")
-    resized = F.when(fits, values).otherwise(resize(values, h, w, new_h, new_w))
-    # In two steps: inside a lambda Spark would read h and w as the new columns of the same projection.
-    return df.withColumn(px, resized).withColumns({"h": new_h.cast("int"), "w": new_w.cast("int")})
+    resized = df.withColumn(px, resize(F.col(px), F.col("h"), F.col("w"), new_h, new_w))
+    return resized.withColumns({"h": new_h.cast("int"), "w": new_w.cast("int")})
 
 
 def stack_channels(channels: list[Column], thermal: Column, layout: str) -> Column:

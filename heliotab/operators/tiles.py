@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,45 +51,48 @@ def covering_tiles(df: DataFrame, zoom: int) -> DataFrame:
     )
 
 
+def _tile_values(plane: np.ndarray, epsg: int, x0: float, y0: float, dx: float, dy: float, left: float, top: float, step: float, n: int) -> np.ndarray:
+    """Bilinear values at the centres of an n x n tile; 0 where the plane does not reach."""
+    h, w = plane.shape
+    centre = (np.arange(n) + 0.5) * step
+    x, y = left + centre, top - centre
+    if epsg == 4326:
+        x = np.degrees(x / geo.EARTH_RADIUS)
+        y = np.degrees(2 * np.arctan(np.exp(y / geo.EARTH_RADIUS)) - np.pi / 2)
+    u, v = (x - x0) / dx, (y0 - y) / dy
+    fu, fv = np.clip(u - 0.5, 0, w - 1), np.clip(v - 0.5, 0, h - 1)
+    c0, r0 = np.floor(fu).astype(int), np.floor(fv).astype(int)
+    c1, r1 = np.minimum(c0 + 1, w - 1), np.minimum(r0 + 1, h - 1)
+    a, b = fu - c0, (fv - r0)[:, None]
+    upper = plane[np.ix_(r0, c0)] * (1 - a) + plane[np.ix_(r0, c1)] * a
+    lower = plane[np.ix_(r1, c0)] * (1 - a) + plane[np.ix_(r1, c1)] * a
+    covered = ((v >= 0) & (v < h))[:, None] & ((u >= 0) & (u < w))[None, :]
+    return np.where(covered, upper * (1 - b) + lower * b, 0.0)
+
+
 def reproject_tiles(tiles: DataFrame, tile_size: int = geo.TILE_SIZE) -> DataFrame:
     """Bilinear values of each tile, row-major from its upper left corner; 0 outside the source.
 
     The source plane lies in the tile's own row, so pixels are looked up by index: no pixel becomes a row and nothing
     is shuffled.
     """
-    bounds = geo.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
-    degrees = F.col("epsg") == 4326
-    h, w, px = F.col("h"), F.col("w"), F.col("px")
-    clamp = lambda place, n: F.least(F.greatest(place - F.lit(0.5), F.lit(0.0)), (n - 1).cast("double"))
-
-    def blend(place: Column) -> Column:
-        u, v = place["u"], place["v"]
-        fu, fv = clamp(u, w), clamp(v, h)
-        c0, r0 = F.floor(fu).cast("int"), F.floor(fv).cast("int")
-        c1, r1 = F.least(c0 + 1, w - 1), F.least(r0 + 1, h - 1)
-        at = lambda r, c: F.get(px, r * w + c).cast("double")
-        a, b = fu - c0, fv - r0
-        top = at(r0, c0) * (F.lit(1.0) - a) + at(r0, c1) * a
-        low = at(r1, c0) * (F.lit(1.0) - a) + at(r1, c1) * a
-        covered = (u >= 0) & (u < w) & (v >= 0) & (v < h)
-        return F.when(covered, top * (F.lit(1.0) - b) + low * b).otherwise(F.lit(0.0))
-
-    def values(frame: Column) -> Column:
-        step = frame["step"]
-
-        def value(p: Column) -> Column:
-            mx = frame["left"] + (p % tile_size + F.lit(0.5)) * step
-            my = frame["top"] - (F.floor(p / tile_size) + F.lit(0.5)) * step
-            sx = F.when(degrees, geo.mercator_to_lon(mx)).otherwise(mx)
-            sy = F.when(degrees, geo.mercator_to_lat(my)).otherwise(my)
-            u, v = (sx - F.col("x0")) / F.col("dx"), (F.col("y0") - sy) / F.col("dy")
-            return let(F.struct(u.alias("u"), v.alias("v")), blend)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(tile_size * tile_size - 1)), value)
 
+    def project(px: pd.Series, h: pd.Series, w: pd.Series, place: pd.DataFrame) -> pd.Series:
+        fields = place[["epsg", "x0", "y0", "dx", "dy", "left", "top", "step"]].itertuples(index=False, name=None)
+        return pd.Series(
+            [
+                _tile_values(np.asarray(p, dtype=float).reshape(int(a), int(b)), *f, tile_size).ravel()
+                for p, a, b, f in zip(px, h, w, fields)
+            ]
+        )
+
+    bounds = geo.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     step = (bounds["right"] - bounds["left"]) / F.lit(float(tile_size))
-    frame = F.struct(bounds["left"].alias("left"), bounds["top"].alias("top"), step.alias("step"))
-    return tiles.withColumn("px", let(frame, values))
+    place = F.struct(
+        "epsg", "x0", "y0", "dx", "dy", bounds["left"].alias("left"), bounds["top"].alias("top"), step.alias("step")
+    )
+    values = F.pandas_udf(project, "array<double>")(F.col("px"), F.col("h"), F.col("w"), place)
+    return tiles.withColumn("px", values)
 
 
 def stretched_tiles(tiles: DataFrame, px: str = "px") -> DataFrame:

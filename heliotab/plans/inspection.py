@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from heliotab.functions import geo, names
 from heliotab.operators.detections import SCORE_THRESHOLD
 from heliotab.operators.joins import georeference, with_class_names
-from heliotab.operators.listings import build_features
-from heliotab.sources.predictions import explode_detections, recognised
+from heliotab.sources.predictions import detection_list, recognised
 
 
-def point_features(located: DataFrame) -> DataFrame:
-    """One point per document with any prediction: (session, doc, name, lat, lon, url, feature)."""
-    props = F.struct(F.lit("image").alias("type"), F.col("name"), F.col("url"))
-    return located.select(
-        "session", "doc", "name", "lat", "lon", "url", geo.point_feature(F.col("lat"), F.col("lon"), props).alias("feature")
-    )
-
+def located_features(located: DataFrame, classes: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+    """One point per document with any prediction, and a square polygon per detection that reaches the threshold.
 
-def anomaly_features(located: DataFrame, classes: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """One square polygon per detection that reaches the threshold."""
-    named = with_class_names(explode_detections(located, threshold), classes)
+    Both come out of one pass over the documents: the point is the first entry of the list that is exploded.
+    """
+    entry = lambda i, box, score, label: F.struct(
+        i.alias("det_idx"), box.alias("box"), score.alias("score"), label.alias("class")
+    )
+    point = entry(
+        F.lit(-1), F.lit(None).cast("array<double>"), F.lit(None).cast("double"), F.lit(None).cast("int")
+    )
+    entries = F.concat(F.array(point), detection_list(threshold))
+    kept = ["session", "doc", "name", "lat", "lon", "url"]
+    rows = located.select(*kept, F.explode(entries).alias("d")).select(*kept, "d.*")
+    named = with_class_names(rows, classes)
+    is_point = F.col("det_idx") < 0
     score = F.coalesce("score", F.lit(0.0))
-    props = F.struct(
+    image = F.struct(F.lit("image").alias("type"), F.col("name"), F.col("url"))
+    anomaly = F.struct(
         F.lit("anomaly").alias("type"),
         F.col("name").alias("image"),
         score.alias("score"),
@@ -33,17 +38,16 @@ def anomaly_features(located: DataFrame, classes: DataFrame, threshold: float =
         F.col("box").alias("bbox_pixel"),
         F.lit("approx_square").alias("polygon_note"),
     )
+    lat, lon = F.col("lat"), F.col("lon")
+    text = F.when(is_point, geo.point_feature(lat, lon, image)).otherwise(geo.polygon_feature(lat, lon, anomaly))
     return named.select(
-        "session",
-        "doc",
-        "name",
-        "lat",
-        "lon",
+        *kept,
+        F.when(is_point, 0).otherwise(1).alias("kind_rank"),
         "det_idx",
-        score.alias("score"),
+        F.when(~is_point, score).alias("score"),
         "class",
-        "classname",
-        geo.polygon_feature(F.col("lat"), F.col("lon"), props).alias("feature"),
+        F.when(~is_point, F.col("classname")).alias("classname"),
+        text.alias("feature"),
     )
 
 
@@ -61,8 +65,7 @@ def inspection_features(
     preds: DataFrame, images: DataFrame, geo_points: DataFrame, classes: DataFrame, threshold: float = SCORE_THRESHOLD
 ) -> DataFrame:
     """All map features, points before the polygons of the same document."""
-    located = locate(preds, images, geo_points)
-    return build_features(point_features(located), anomaly_features(located, classes, threshold))
+    return located_features(locate(preds, images, geo_points), classes, threshold)
 
 
 def inspection_report(

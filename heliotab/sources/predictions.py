@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliotab import schemas
 from heliotab.functions import names
+from heliotab.functions.bind import let
 from heliotab.sources.files import read_texts
 
 _BOXES = "array<array<double>>"
@@ -17,13 +18,76 @@ def _get(value: Column, path: str, kind: str) -> Column:
 
 
 def _first_filled(*lists: Column) -> Column:
-    """First list that is neither null nor empty, else an empty one."""
-    filled = [F.when(F.size(item) > 0, item) for item in lists]
-    return F.coalesce(*filled)
+    """First list that is neither null nor empty."""
+    return F.coalesce(*[F.when(F.size(item) > 0, item) for item in lists])
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.schema_of_variant(value).startswith(kind)
+def _integer(value: Column, path: str) -> Column:
+    return F.coalesce(_get(value, path, "int"), _get(value, path, "double").cast("int"))
+
+
+def _document(file: Column, boxes: Column, scores: Column, classes: Column, reason: Column, corrupt: Column) -> Column:
+    filled = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return F.struct(
+        file.alias("file"),
+        filled(boxes, _BOXES).alias("boxes"),
+        filled(scores, "array<double>").alias("scores"),
+        filled(classes, "array<int>").alias("classes"),
+        reason.alias("reason"),
+        corrupt.alias("_corrupt"),
+    )
+
+
+def _from_object(doc: Column, stem: Column) -> Column:
+    return _document(
+        F.coalesce(F.nullif(_get(doc, "$.file", "string"), F.lit("")), stem),
+        _first_filled(_get(doc, "$.boxes", _BOXES), _get(doc, "$.bboxes", _BOXES)),
+        _get(doc, "$.scores", "array<double>"),
+        _get(doc, "$.classes", "array<int>"),
+        _get(doc, "$.reason", "string"),
+        F.lit(False),
+    )
+
+
+def _item(item: Column) -> Column:
+    """Box of a list item (four numbers or more count) and what an object says about it."""
+
+    def read(parts: Column) -> Column:
+        plain = F.slice(parts, 1, 4)
+        named = _first_filled(*[_get(item, f"$.{key}", "array<double>") for key in ("bbox", "box", "b")])
+        numbers = F.transform(plain, lambda p: _get(p, "$", "double"))
+        null = lambda key: F.coalesce(F.is_variant_null(_get(item, key, "variant")), F.lit(False))
+        return F.struct(
+            F.when(parts.isNull(), named).when(F.size(parts) >= 4, numbers).alias("box"),
+            parts.isNull().alias("is_object"),
+            F.coalesce(_get(item, "$.score", "double"), F.lit(0.0)).alias("score"),
+            F.coalesce(_integer(item, "$.class"), _integer(item, "$.cls"), F.lit(0)).alias("class"),
+            (null("$.score") | null("$.class")).alias("null"),
+        )
+
+    return let(_get(item, "$", "array<variant>"), read)
+
+
+def _from_list(doc: Column, stem: Column) -> Column:
+    def lists(usable: Column) -> Column:
+        return let(F.filter(usable, lambda i: i["is_object"]), lambda objects: collect(usable, objects))
+
+    def collect(usable: Column, objects: Column) -> Column:
+        missing = F.size(usable) - F.size(objects)
+        padded = lambda field, zero: F.concat(
+            F.transform(objects, lambda i: i[field]), F.array_repeat(zero, missing)
+        )
+        return _document(
+            stem,
+            F.transform(usable, lambda i: F.slice(i["box"], 1, 4)),
+            padded("score", F.lit(0.0)),
+            padded("class", F.lit(0)),
+            F.lit(None).cast("string"),
+            F.exists(objects, lambda i: i["null"]),
+        )
+
+    items = F.transform(_get(doc, "$", "array<variant>"), _item)
+    return let(F.filter(items, lambda i: F.size(i["box"]) >= 4), lists)
 
 
 def coerce_predictions(df: DataFrame, value: str = "value", stem: str = "stem") -> DataFrame:
@@ -36,66 +100,20 @@ def coerce_predictions(df: DataFrame, value: str = "value", stem: str = "stem")
 
     ``_corrupt`` marks documents that are not JSON, or list items that carry a null score or class.
     """
-    doc = F.col("__doc")
-    rows = df.withColumn("__doc", F.try_parse_json(F.col(value)))
-    is_object, is_list = _is(doc, "OBJECT"), _is(doc, "ARRAY")
-    rows = rows.withColumns({"__is_object": is_object, "__is_list": is_list})
-
-    def item_box(item: Column) -> Column:
-        return _first_filled(*[_get(item, f"$.{k}", "array<double>") for k in ("bbox", "box", "b")])
-
-    items = F.when(F.col("__is_list"), _get(doc, "$", "array<variant>"))
-    usable = F.filter(
-        items,
-        lambda i: F.when(_is(i, "OBJECT"), F.size(item_box(i)) >= 4)
-        .when(_is(i, "ARRAY"), F.size(_get(i, "$", "array<double>")) >= 4)
-        .otherwise(False),
-    )
-    rows = rows.withColumn("__items", usable)
-    rows = rows.withColumn("__objects", F.filter("__items", lambda i: _is(i, "OBJECT")))
+    nothing = F.lit(None)
+    first = F.left(F.ltrim(F.col(value), F.lit(" \t\r\n")), F.lit(1))
+    name = F.col(stem)
 
-    list_boxes = F.transform(
-        "__items", lambda i: F.slice(F.coalesce(item_box(i), _get(i, "$", "array<double>")), 1, 4)
-    )
-    rows = rows.withColumn("__n", F.size("__items"))
+    def canonical(doc: Column) -> Column:
+        other = _document(name, nothing, nothing, nothing, nothing.cast("string"), doc.isNull())
+        return (
+            F.when(doc.isNotNull() & (first == "{"), _from_object(doc, name))
+            .when(doc.isNotNull() & (first == "["), _from_list(doc, name))
+            .otherwise(other)
+        )
 
-    def padded(values: Column, zero: Column) -> Column:
-        return F.concat(values, F.array_repeat(zero, F.greatest(F.lit(0), F.col("__n") - F.size(values))))
-
-    list_scores = padded(
-        F.transform("__objects", lambda i: F.coalesce(_get(i, "$.score", "double"), F.lit(0.0))), F.lit(0.0)
-    )
-    truncated = lambda i, key: F.coalesce(
-        _get(i, key, "int"), _get(i, key, "double").cast("int")
-    )
-    list_classes = padded(
-        F.transform("__objects", lambda i: F.coalesce(truncated(i, "$.class"), truncated(i, "$.cls"), F.lit(0))),
-        F.lit(0),
-    )
-    null_part = F.exists(
-        "__objects",
-        lambda i: F.coalesce(F.is_variant_null(_get(i, "$.score", "variant")), F.lit(False))
-        | F.coalesce(F.is_variant_null(_get(i, "$.class", "variant")), F.lit(False)),
-    )
-
-    dict_boxes = _first_filled(_get(doc, "$.boxes", _BOXES), _get(doc, "$.bboxes", _BOXES))
-    dict_scores = _get(doc, "$.scores", "array<double>")
-    dict_classes = _get(doc, "$.classes", "array<int>")
-    pick = lambda from_object, from_list, kind: F.coalesce(
-        F.when(F.col("__is_object"), from_object).when(F.col("__is_list"), from_list), F.array().cast(kind)
-    )
-    helpers = [c for c in ("__doc", "__is_object", "__is_list", "__items", "__objects", "__n")]
-    named = F.when(F.col("__is_object"), F.nullif(_get(doc, "$.file", "string"), F.lit("")))
-    return rows.withColumns(
-        {
-            "file": F.coalesce(named, F.col(stem)),
-            "boxes": pick(dict_boxes, list_boxes, _BOXES),
-            "scores": pick(dict_scores, list_scores, "array<double>"),
-            "classes": pick(dict_classes, list_classes, "array<int>"),
-            "reason": F.when(F.col("__is_object"), _get(doc, "$.reason", "string")),
-            "_corrupt": doc.isNull() | F.coalesce(null_part, F.lit(False)),
-        }
-    ).drop(*helpers)
+    # Generated columns are computed once; filters and join conditions on them do not parse the text again.
+    return df.select("*", F.inline(F.array(let(F.try_parse_json(F.col(value)), canonical))))
 
 
 def recognised(preds: DataFrame) -> DataFrame:
@@ -103,10 +121,10 @@ def recognised(preds: DataFrame) -> DataFrame:
     return preds.filter((F.size("boxes") > 0) | (F.size("scores") > 0) | (F.size("classes") > 0))
 
 
-def explode_detections(preds: DataFrame, threshold: float | None = None) -> DataFrame:
-    """One row per detection; lists of unequal length end at the shortest.
+def detection_list(threshold: float | None = None) -> Column:
+    """Detections of a document as ``array<struct<det_idx,box,score,class>>``; unequal lists end at the shortest.
 
-    The threshold is applied inside the arrays, so that dropped detections never become rows.
+    The threshold is applied inside the array, so that dropped detections never become rows.
     """
     shortest = F.least(F.size("boxes"), F.size("scores"), F.size("classes"))
     cut = lambda c: F.slice(c, F.lit(1), shortest)
@@ -118,8 +136,13 @@ def explode_detections(preds: DataFrame, threshold: float | None = None) -> Data
     )
     if threshold is not None:
         zipped = F.filter(zipped, lambda d: d["score"].isNull() | (d["score"] >= F.lit(float(threshold))))
+    return zipped
+
+
+def explode_detections(preds: DataFrame, threshold: float | None = None) -> DataFrame:
+    """One row per detection of each document."""
     kept = [c for c in preds.columns if c not in ("boxes", "scores", "classes", "_corrupt", "reason")]
-    dets = preds.select(*kept, F.explode(zipped).alias("d")).select(*kept, "d.*")
+    dets = preds.select(*kept, F.explode(detection_list(threshold)).alias("d")).select(*kept, "d.*")
     corner = {n: F.get("box", F.lit(i)) for i, n in enumerate(("x1", "y1", "x2", "y2"))}
     return dets.withColumns(corner)
 
