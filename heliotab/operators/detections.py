@@ -155,12 +155,12 @@ def _nms_groups(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
     return picked.select("d.row.*")
 
 
-def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[str]) -> DataFrame:
+def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[str], group_limit: int) -> DataFrame:
     """Suppression of very large groups, in rounds over the box grid.
 
     Each round takes the best box of every cell. Where no neighbouring cell has a better one it is kept, and the boxes
     around it that overlap it go. The best box left is always kept, so the rounds end; the result is that of the greedy
-    order. A cell meets a bounded number of kept boxes per round, never all pairs of its boxes.
+    order. What is left is finished group by group as soon as no group is large any more. A cell meets a bounded number of kept boxes per round, never all pairs of its boxes.
     """
     cell = ["__lv", "__cx", "__cy"]
     place = F.struct((-F.col(order[0])).alias("s"), *[F.col(c) for c in order[1:]])
@@ -172,7 +172,7 @@ def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
     single = dets.filter(solid).groupBy(*keys, *_BOX).agg(F.min_by(row, place).alias("r")).select("r.*")
     alive = pin(single.withColumns(_home(min_iou)).withColumn("__place", place))
     kept_parts = [flat]
-    while not alive.isEmpty():
+    while not alive.groupBy(*keys).count().filter(F.col("count") > group_limit).isEmpty():
         whole = F.struct(*alive.columns)
         champions = pin(alive.groupBy(*keys, *cell).agg(F.min_by(whole, "__place").alias("r")).select("r.*"))
         around = champions.select(*keys, *_BOX, "__place", _neighbours(min_iou).alias("__n")).select(
@@ -195,8 +195,8 @@ def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
         )
         near = alive.join(reach, [*keys, *cell], "left")
         alive = pin(near.filter(~F.coalesce(F.exists("__kept", lambda b: _overlaps(b, min_iou)), F.lit(False))).drop("__kept"))
-    result = kept_parts[0]
-    for part in kept_parts[1:]:
+    result = _nms_groups(alive.select(*columns), min_iou, keys, order)
+    for part in kept_parts:
         result = result.unionByName(part)
     return result
 
@@ -229,7 +229,7 @@ def nms(
         return _nms_groups(dets, min_iou, keys, order)
     usual = _nms_groups(dets.join(hot, keys, "left_anti").select(*dets.columns), min_iou, keys, order)
     crowded = dets.join(hot, keys, "left_semi").select(*dets.columns)
-    return usual.unionByName(_nms_rounds(crowded, min_iou, keys, order))
+    return usual.unionByName(_nms_rounds(crowded, min_iou, keys, order, group_limit))
 
 
 def topk_per_image(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliotab.functions.bind import materialise
 from heliotab.operators.listings import scored_or_reason
 
 # A predictor takes an array (channels, height, width) and returns boxes, scores and classes.
@@ -21,7 +22,7 @@ def inputs_for(rasters: DataFrame, planes: DataFrame | None, mode: str) -> tuple
     ``rasters`` has file, height, width, blue, green, red and reason; ``planes`` has file, h, w, px, where null pixels
     stand for a plane that could not be read. Thermal scoring needs a readable plane per image.
     """
-    from heliotab.functions.planes import normalize_thermal_infer, resize_linear, stack_channels
+    from heliotab.functions.planes import fit_plane, normalize_thermal_infer, stack_channels
 
     colours = [F.col(c) for c in ("blue", "green", "red")]
     if mode == "rgb":
@@ -38,12 +39,10 @@ def inputs_for(rasters: DataFrame, planes: DataFrame | None, mode: str) -> tuple
             .when(F.col("found").isNull(), "no_thermal_sidecar")
             .when(F.col("tpx").isNull(), "thermal_read_failed")
         )
-        h, w = F.col("height"), F.col("width")
-        scaled = normalize_thermal_infer(F.col("tpx"))
-        fitted = F.when((F.col("th") == h) & (F.col("tw") == w), scaled).otherwise(
-            resize_linear(scaled, F.col("th"), F.col("tw"), h, w)
-        )
-        px = stack_channels(colours, fitted, "score")
+        joined = materialise(joined, "scaled", normalize_thermal_infer(F.col("tpx")))
+        fitted = fit_plane(F.col("scaled"), F.col("th"), F.col("tw"), F.col("height"), F.col("width"), "linear")
+        joined = materialise(joined, "fitted", fitted)
+        px = stack_channels(colours, F.col("fitted"), "score")
     else:
         raise ValueError(f"unknown scoring mode {mode!r}")
     judged = joined.withColumn("why", reason)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotab.functions import boxes, planes
+from heliotab.functions.bind import materialise
 from heliotab.operators.joins import filter_empty
 
 
@@ -55,18 +56,16 @@ def training_tensors(rasters: DataFrame, thermal: DataFrame) -> DataFrame:
         "image_id", F.col("path").alias("thermal_path"), F.col("h").alias("th"), F.col("w").alias("tw"), F.col("px").alias("tpx")
     )
     joined = rasters.join(side, "image_id", "left")
-    h, w = F.col("height"), F.col("width")
-    scaled = planes.normalize_thermal_train(F.col("tpx"))
-    fitted = F.when((F.col("th") == h) & (F.col("tw") == w), scaled).otherwise(
-        planes.resize_nearest(scaled, F.col("th"), F.col("tw"), h, w)
-    )
+    joined = materialise(joined, "scaled", planes.normalize_thermal_train(F.col("tpx")))
+    fitted = planes.fit_plane(F.col("scaled"), F.col("th"), F.col("tw"), F.col("height"), F.col("width"), "nearest")
+    joined = materialise(joined, "fitted", fitted)
     colours = [F.col(c) for c in ("red", "green", "blue")]
     return joined.select(
         "image_id",
         "height",
         "width",
         planes.thermal_kind(F.col("thermal_path"), F.col("tpx")).alias("kind"),
-        planes.stack_channels(colours, fitted, "train").alias("px"),
+        planes.stack_channels(colours, F.col("fitted"), "train").alias("px"),
     ).withColumn("channels", (F.size("px") / (F.col("height") * F.col("width"))).cast("int"))
 
 
