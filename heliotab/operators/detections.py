@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -61,17 +62,15 @@ def _home(min_iou: float) -> dict[str, Column]:
     }
 
 
-def _neighbours(min_iou: float) -> Column:
+def _around(df: DataFrame, min_iou: float) -> DataFrame:
+    """Each box once per cell around it (columns __lv, __cx, __cy), on all levels a partner can have."""
     reach = math.ceil(math.log2(1 / min_iou))
-    cells = []
-    for step in range(-reach, reach + 1):
-        level = (_level() + step).cast("int")
-        width = _cell(level, min_iou)
-        cx, cy = F.floor(F.col("x1") / width).cast("bigint"), F.floor(F.col("y1") / width).cast("bigint")
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                cells.append(F.struct(level.alias("__lv"), (cx + dx).alias("__cx"), (cy + dy).alias("__cy")))
-    return F.explode(F.array(*cells))
+    offsets = [(dl, dx, dy) for dl in range(-reach, reach + 1) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    steps = F.from_json(F.lit(json.dumps([dict(zip("lxy", o)) for o in offsets])), "array<struct<l:int,x:int,y:int>>")
+    spread = df.withColumn("__o", F.explode(steps)).withColumn("__lv", (_level() + F.col("__o.l")).cast("int"))
+    width = _cell(F.col("__lv"), min_iou)
+    place = lambda side, step: F.floor(F.col(side) / width).cast("bigint") + F.col(f"__o.{step}")
+    return spread.withColumns({"__cx": place("x1", "x"), "__cy": place("y1", "y")}).drop("__o")
 
 
 def iou_join(
@@ -108,8 +107,7 @@ def iou_join(
         return compared(dets, named, keys)
     usual = compared(dets.join(hot, keys, "left_anti"), named.join(hot, keys, "left_anti"), keys)
     solid = "x2 > x1 AND y2 > y1"
-    spread = dets.join(hot, keys, "left_semi").filter(solid).select("*", _neighbours(min_iou).alias("__n"))
-    spread = spread.select(*dets.columns, "__n.*")
+    spread = _around(dets.join(hot, keys, "left_semi").filter(solid), min_iou)
     home = gts.join(hot, keys, "left_semi").filter(solid).withColumns(_home(min_iou))
     home = home.select(*keys, "__lv", "__cx", "__cy", *[F.col(c).alias(f"g_{c}") for c in gts.columns if c not in keys])
     crowded = compared(spread, home, [*keys, "__lv", "__cx", "__cy"]).drop("__lv", "__cx", "__cy")
@@ -175,9 +173,7 @@ def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
     while not alive.groupBy(*keys).count().filter(F.col("count") > group_limit).isEmpty():
         whole = F.struct(*alive.columns)
         champions = pin(alive.groupBy(*keys, *cell).agg(F.min_by(whole, "__place").alias("r")).select("r.*"))
-        around = champions.select(*keys, *_BOX, "__place", _neighbours(min_iou).alias("__n")).select(
-            *keys, *_BOX, "__place", "__n.*"
-        )
+        around = _around(champions.select(*keys, *_BOX, "__place"), min_iou)
         others = champions.select(*keys, *cell, F.col("__place").alias("__other"))
         beaten = (
             around.join(others, [*keys, *cell])
@@ -188,8 +184,8 @@ def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
         winners = pin(champions.join(beaten, [*keys, "__place"], "left_anti").select(*alive.columns))
         kept_parts.append(winners.select(*columns))
         reach = (
-            winners.select(*keys, *_BOX, _neighbours(min_iou).alias("__n"))
-            .select(*keys, "__n.*", F.struct(*_BOX).alias("__box"))
+            _around(winners.select(*keys, *_BOX), min_iou)
+            .select(*keys, *cell, F.struct(*_BOX).alias("__box"))
             .groupBy(*keys, *cell)
             .agg(F.collect_list("__box").alias("__kept"))
         )

@@ -131,7 +131,7 @@ def match_thermal(rgb: DataFrame, thermal: DataFrame) -> DataFrame:
     """
     stem = names.strip_rf_suffix(_root(F.col("path")))
     images = rgb.withColumns({"split": names.folder(F.col("path")), "stem": stem})
-    index = _thermal_index(thermal)
+    index = pin(_thermal_index(thermal))
     keys = images.select("split", "stem").distinct()
 
     exact_index = (

@@ -136,7 +136,7 @@ def crowded(spark, n=600, seed=3, copies=True):
 
 @pytest.mark.parametrize("min_iou", [0.5])
 def test_nms_rounds_equal_greedy(spark, min_iou):
-    dets = crowded(spark, 250)
+    dets = crowded(spark, 120)
     usual = detections.nms(dets, min_iou)
     spread = detections.nms(dets, min_iou, group_limit=15)
     assert sorted(map(tuple, usual.collect())) == sorted(map(tuple, spread.collect()))
