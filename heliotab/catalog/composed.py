@@ -19,15 +19,8 @@ C = F.col
 
 # ---------------------------------------------------------------------------------------------------- quality
 
-# Each line item is an image of its own, with one detection and one ground-truth box, so that matching is plain SQL.
-_SINGLE = """
-    SELECT d.doc, v.class, v.x1, v.y1, v.x2, v.y2, v.score, v.det_key FROM v_dets v JOIN
-      (SELECT doc, l_orderkey, (l_partkey * 10000000 + l_suppkey) * 10 + l_linenumber AS k FROM v_docs) d
-      ON d.l_orderkey = v.image_id AND d.k = v.det_key"""
-_SINGLE_GT = """
-    SELECT d.doc, v.class, v.x1, v.y1, v.x2, v.y2, v.area, v.iscrowd, v.gt_key FROM v_gts v JOIN
-      (SELECT doc, l_orderkey, (l_partkey * 10000000 + l_suppkey) * 10 + l_linenumber AS k FROM v_docs) d
-      ON d.l_orderkey = v.image_id AND d.k = v.gt_key"""
+_SINGLE = "SELECT doc, class, x1, y1, x2, y2, score, det_key FROM v_single"
+_SINGLE_GT = "SELECT doc, class, g_x1 AS x1, y1, g_x2 AS x2, y2, area, iscrowd, det_key AS gt_key FROM v_single"
 
 _AP = f"""
     areas(area, lo, hi) AS (VALUES ('all', 0::DOUBLE, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)),

@@ -20,7 +20,8 @@ _IMAGE = (
 _DET_KEY = "(l_partkey * 10000000 + l_suppkey) * 10 + l_linenumber"
 _DOC = (
     "cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) || '-' || cast(l_partkey AS string) || '-' "
-    "|| cast(l_suppkey AS string)"
+    "|| cast(l_suppkey AS string) || '-' || cast(cast(l_quantity AS bigint) AS string) || '-' "
+    "|| cast(cast(floor(l_extendedprice) AS bigint) AS string)"
 )
 _X1, _Y1 = "cast(l_partkey % 600 AS double)", "cast((l_suppkey * 7) % 480 AS double)"
 _JOB = "CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'test' END"
@@ -46,6 +47,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         SELECT image_id, category_id AS class, x AS x1, y AS y1, x + w AS x2, y + h AS y2, w * h AS area, iscrowd,
                ann_id AS gt_key
         FROM v_anns""",
+    # Each line item as an image of its own, with one detection and one ground-truth box.
+    "v_single": f"""
+        SELECT {_DOC} AS doc, cast(l_linenumber % 4 AS int) AS class, {_X1} AS x1, {_Y1} AS y1, {_X1} + l_quantity AS x2,
+               {_Y1} + cast(l_linenumber * 5 AS double) AS y2, {_X1} + cast(l_linenumber % 3 AS double) AS g_x1,
+               {_X1} + cast(l_linenumber % 3 AS double) + l_quantity AS g_x2, l_quantity * cast(l_linenumber * 5 AS double) AS area,
+               CASE WHEN l_quantity = 50 THEN 1 ELSE 0 END AS iscrowd, {_DET_KEY} AS det_key,
+               cast((l_partkey * 37 + l_suppkey * 11 + l_linenumber * 101) % 1000 AS double) / cast(1000 AS double) AS score
+        FROM lineitem""",
     # One document per line item with as many boxes as its line number says; four JSON shapes.
     "v_docs": f"""
         SELECT {_DOC} AS doc, {_IMAGE.format(k="l_orderkey")} AS file, l_orderkey % 4 AS shape, l_orderkey, l_partkey,
