@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heliotab.llm.audio import media_digests
 from heliotab.llm.common import table
+from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
 from heliotab.llm.piece_codec import piece_digests
 
@@ -78,3 +79,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mix(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return planned.select("doc_id", "size", "source_size", "target", taken)
+
+
+OP10 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+  FROM documents),
+even AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS even FROM lines),
+masked AS (
+  SELECT doc_id, pos, masked, string_split(masked, ' ') AS tokens
+  FROM (SELECT doc_id, pos, regexp_replace(even, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM even)),
+long AS (
+  SELECT doc_id, pos, masked, tokens, len(tokens) AS n, array_to_string(tokens[1:2], ' ') AS lead FROM masked
+  WHERE len(tokens) >= 3),
+kinds AS (
+  SELECT n, lead, masked, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n_docs FROM long WHERE n >= 8
+  GROUP BY n, lead, masked),
+seeds AS (
+  SELECT n, lead, max_by(masked, (n_docs, md5(masked))) AS seed FROM kinds GROUP BY n, lead HAVING count(*) > 1),
+joined AS (
+  SELECT kinds.masked, seed FROM kinds JOIN seeds USING (n, lead)
+  WHERE masked <> seed
+    AND len(list_filter(list_zip(tokens, string_split(seed, ' ')), lambda p: p[1] = p[2])) >= 0.75 * n),
+named AS (
+  SELECT doc_id, pos, coalesce(seed, long.masked) AS template FROM long LEFT JOIN joined ON long.masked = joined.masked),
+recurring AS (
+  SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+dropped AS (
+  SELECT DISTINCT doc_id, pos FROM named JOIN recurring USING (template) WHERE doc_id <> first)
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL), '') AS text,
+       count(*) AS n_lines, count(d.pos) AS n_dropped
+FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.pos = d.pos
+GROUP BY l.doc_id
+"""
+
+
+@query("op10_line_templates", OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs over documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
