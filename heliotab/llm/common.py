@@ -112,26 +112,50 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-# Words: runs of ASCII letters, digits, _ and all characters outside ASCII.
-_WORD = np.zeros(256, dtype=bool)
-_WORD[128:] = True
+# Kinds of bytes. Words: runs of ASCII letters, digits, _ and all characters outside ASCII. Marks: runs of the rest
+# but white space and control characters.
+WORDS_ONLY = np.zeros(256, dtype=np.int8)
+WORDS_ONLY[128:] = 1
 for _c in b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _WORD[_c] = True
+    WORDS_ONLY[_c] = 1
+WORDS_AND_MARKS = np.where(WORDS_ONLY == 1, 1, 2).astype(np.int8)
+WORDS_AND_MARKS[:33] = 0
+WORDS_AND_MARKS[127] = 0
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = _WORD):
-    """Start, end and row of each word of a batch of texts. A word never runs on into the next text."""
+def token_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS_ONLY):
+    """Start, end and row of each run of bytes of one kind (not 0) of a batch of texts. No run crosses texts."""
+    none = np.zeros(0, np.int64)
     if len(data) == 0:
-        none = np.zeros(0, np.int64)
         return none, none, none
-    inside = member[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(data)]
-    begins[firsts] = inside[firsts]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    lasts = offsets[1:][offsets[1:] > 0] - 1
-    ends[lasts] = inside[lasts]
-    start = np.flatnonzero(begins)
-    return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, side="right") - 1
+    kind = kinds[data]
+    edge = np.empty(len(data) + 1, dtype=bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    cuts = np.flatnonzero(edge)
+    keep = kind[cuts[:-1]] != 0
+    start, end = cuts[:-1][keep], cuts[1:][keep]
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def sampled_labels(
+    labels: DataFrame, label: str, folds: int, held_out: int, most: int, by_class: bool = False
+) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``most`` labelled ids to learn from (of each class, if ``by_class``), by the smallest hash of the id,
+    and how many labelled rows of each class there are. Rows whose crc32(id) mod ``folds`` is ``held_out`` are never
+    among them, nor are rows with a null id or label.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(fold(folds) != held_out)
+    known = known.select("doc_id", F.col(label).cast("int").alias("label"))
+    once = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    count = {r["label"]: r["count"] for r in once.groupBy("label").count().collect()}
+    parts = [once.filter(F.col("label") == c) for c in (0, 1)] if by_class else [once]
+    taken = [p.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for p in parts]
+    return (taken[0].union(taken[1]) if by_class else taken[0]), count
+
+
+def fold(folds: int, doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

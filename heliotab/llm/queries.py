@@ -13,6 +13,8 @@ from heliotab.llm.common import table
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
 from heliotab.llm.piece_codec import piece_digests
+from heliotab.llm.quality import quality
+from heliotab.llm.toxic_spans import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +83,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op8_toxic_spans")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the places of its toxic spans."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality_network")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP10 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
