@@ -12,6 +12,7 @@ from heliotab.llm.audio import media_digests
 from heliotab.llm.common import table
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
+from heliotab.llm.near_copies import near_copy_classes
 from heliotab.llm.piece_codec import piece_digests
 from heliotab.llm.quality import quality
 from heliotab.llm.toxic_spans import toxicity
@@ -83,6 +84,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op7_near_copies")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document, and whether it is the one that stays."""
+    classes = near_copy_classes(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("k_id").alias("doc_id"), "class_id", "first")
+
+
 @query("op8_toxic_spans")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with the places of its toxic spans."""
