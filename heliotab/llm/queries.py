@@ -13,6 +13,7 @@ from heliotab.llm.common import table
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
 from heliotab.llm.near_copies import near_copy_classes
+from heliotab.llm.neighbours import nearest_neighbours
 from heliotab.llm.piece_codec import piece_digests
 from heliotab.llm.quality import quality
 from heliotab.llm.toxic_spans import toxicity
@@ -84,6 +85,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op5_adaptive_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op7_near_copies")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document, and whether it is the one that stays."""
