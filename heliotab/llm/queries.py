@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heliotab.llm.audio import media_digests
 from heliotab.llm.common import table
+from heliotab.llm.license_scan import scan_licenses
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
 from heliotab.llm.near_copies import near_copy_classes
@@ -91,6 +92,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: template, matched part and span."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_near_copies")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document, and whether it is the one that stays."""
