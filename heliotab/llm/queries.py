@@ -17,6 +17,7 @@ from heliotab.llm.near_copies import near_copy_classes
 from heliotab.llm.neighbours import nearest_neighbours
 from heliotab.llm.piece_codec import piece_digests
 from heliotab.llm.quality import quality
+from heliotab.llm.repeats import repeat_digests
 from heliotab.llm.toxic_spans import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op4_run_index")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 100 bytes which start earlier cover."""
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op5_adaptive_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every vector whose id is divisible by 50."""
