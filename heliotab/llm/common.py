@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,15 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that have been written to shared storage.
+
+    It does so once the driver's garbage is collected, which may else not happen during a query.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """What tells rows apart: the id and a hash of the text. Rows equal in both are one document for an operator."""
     return F.col(doc_id).alias("k_id"), F.xxhash64(whole_text(text)).alias("k_text")
@@ -97,6 +108,12 @@ def slices_by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = 4_0
         start = stop
 
 
+def column_parts(column: pa.Array, most: int = 2_000_000):
+    """Parts of a text column with about ``most`` bytes each, in order; none of an empty column."""
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    return (part.column(0) for part in slices_by_bytes(batch, "text", most))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``start .. start+length-1`` of all rows, one after another."""
     total = int(lengths.sum())

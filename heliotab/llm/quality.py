@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType
 from heliotab.llm.common import (
     WORDS_AND_MARKS,
     Prefix,
+    column_parts,
     drop_clashing,
     fold,
     list_array,
@@ -215,7 +216,7 @@ def pooled_vectors(df: DataFrame, vectors: np.ndarray, text: str = "text", out:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            x = np.concatenate([pool(p, sent.value) for p in _parts(column)] or [np.zeros((0, 1))])
+            x = np.concatenate([pool(p, sent.value) for p in column_parts(column, 1_500_000)] or [np.zeros((0, 1))])
             yield list_array(x.astype(np.float32).ravel(), np.full(len(x), x.shape[1]), pa.float32())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -224,11 +225,6 @@ def pooled_vectors(df: DataFrame, vectors: np.ndarray, text: str = "text", out:
     return drop_clashing(made, out).withColumnRenamed("__pooled", out)
 
 
-def _parts(column: pa.Array) -> Iterator[pa.Array]:
-    batch = pa.RecordBatch.from_arrays([column], ["text"])
-    return (part.column(0) for part in slices_by_bytes(batch, most=1_500_000))
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Word vectors from all documents; the network from at most ``sample`` labelled rows, copies counting once."""
     vectors = word_vectors(docs)
@@ -251,7 +247,7 @@ def score_quality(df: DataFrame, model: Model, text: str = "text", score: str =
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            parts = [sent.value.score(pool(p, sent.value.vectors)) for p in _parts(column)]
+            parts = [sent.value.score(pool(p, sent.value.vectors)) for p in column_parts(column, 1_500_000)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

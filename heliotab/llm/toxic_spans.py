@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 from heliotab.llm.common import (
     LOWER,
     Prefix,
+    column_parts,
     drop_clashing,
     fold,
     sampled_labels,
-    slices_by_bytes,
     text_buffer,
     token_spans,
     whole_text,
 )
 
-SAMPLE = 3_000  # labelled rows of each class that are learned from, at most
+SAMPLE = 2_000  # labelled rows of each class that are learned from, at most
 SAMPLE_BYTES = 30_000  # rows with longer texts aren't among them
 FOLDS, HELD_OUT = 5, 0
 BITS = 17  # features are hashed to so many bits for each kind
@@ -39,6 +39,7 @@ BEGINNINGS = (4, 5, 6)  # bytes
 KINDS = 3 + len(BEGINNINGS)  # word, word before, word after, beginnings
 LEAST_PLACES, LEAST_SHARE = 15, 0.95  # of a feature that labels tokens
 ROUNDS = 12
+TOKENS = 100_000  # in a block of the sample, about
 STEP = 128  # tokens of the chain that are passed in one go for all parts of it
 
 
@@ -166,41 +167,49 @@ def aggregate(marginal: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     """Learn from a sample; ``prior`` is the share of toxic rows among all labelled ones."""
-    feats, row, _, _ = features(texts)
+    parts = [features(part) for part in column_parts(texts)]
+    feats = np.concatenate([p[0] for p in parts] or [np.zeros((0, KINDS), np.int32)])
+    bases = np.cumsum([0, *(len(part) for part in column_parts(texts))])
+    row = np.concatenate([p[1] + base for p, base in zip(parts, bases)] or [np.zeros(0, np.int64)])
+    del parts
     toxic = np.asarray(toxic, dtype=np.int64)
     none = Model(np.zeros(KINDS << BITS), 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
     none.score[0] = _log_odds(np.array(prior))
     if not len(feats) or len(np.unique(toxic)) < 2:
         return none
     found = seeds(feats, row, toxic)
-    tag = (toxic[row] == 1) & found[feats].any(axis=1)
-    first = np.ones(len(row), dtype=bool)
-    first[1:] = row[1:] != row[:-1]
-    inner = ~first[1:]
+    tag = np.zeros(len(row), dtype=np.int64)
+    for k in (0, *range(3, KINDS)):
+        tag |= found[feats[:, k]]
+    tag *= toxic[row]
+    blocks = _blocks(row)
     seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (tag[:-1][inner].astype(int), tag[1:][inner].astype(int)), 1)
+    for part in blocks:
+        inner = row[part][1:] == row[part][:-1]
+        pair = 2 * tag[part][:-1][inner] + tag[part][1:][inner]
+        seen_pairs += np.bincount(pair, minlength=4).reshape(2, 2)
     weight, bias = np.zeros(KINDS << BITS), -3.0
     change, begin = np.zeros((2, 2)), np.zeros(2)
     squares, b2, c2 = np.full(KINDS << BITS, 1e-2), 1e-2, np.full((2, 2), 1e-2)
     for _ in range(ROUNDS):
-        chain = Chain(bias + weight[feats].sum(axis=1), first, change, begin)
-        wrong = tag - chain.marginal
-        slope = np.zeros(KINDS << BITS)
-        for k in range(KINDS):
-            low = k << BITS
-            slope[low : low + (1 << BITS)] = np.bincount(feats[:, k] - low, wrong, minlength=1 << BITS)
-        slope -= 0.05 * weight
+        slope, b, c = -0.05 * weight, 0.0, seen_pairs.copy()
+        for part in blocks:
+            chain = _chain(Model(weight, bias, change, begin, np.zeros(3)), feats[part], row[part])
+            wrong = tag[part] - chain.marginal
+            for k in range(KINDS):
+                low = k << BITS
+                slope[low : low + (1 << BITS)] += np.bincount(feats[part, k] - low, wrong, minlength=1 << BITS)
+            b += wrong.sum()
+            c -= chain.changes()[row[part][1:] == row[part][:-1]].sum(axis=0)
         squares += slope**2
         weight += slope / np.sqrt(squares)
-        b = wrong.sum()
         b2 += b * b
         bias += b / np.sqrt(b2)
-        c = seen_pairs - chain.changes()[inner].sum(axis=0)
         c2 += c * c
         change += 0.5 * c / np.sqrt(c2)
     model = Model(weight, float(bias), change, begin, np.zeros(3))
     # Logistic regression of the document labels on the aggregates, the classes weighted as among all labelled rows.
-    x = aggregate(marginals(model, feats, row), row, len(toxic))
+    x = aggregate(np.concatenate([marginals(model, feats[p], row[p]) for p in blocks]), row, len(toxic))
     share = toxic.mean()
     each = np.where(toxic == 1, prior / share, (1 - prior) / (1 - share))
     score = np.zeros(3)
@@ -213,15 +222,24 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     return model
 
 
-def marginals(model: Model, feats: np.ndarray, row: np.ndarray) -> np.ndarray:
-    if not len(feats):
-        return np.zeros(0)
+def _blocks(row: np.ndarray) -> list[slice]:
+    """Parts of a sample's tokens, cut between documents, so that learning needs little memory."""
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    cuts = heads[np.flatnonzero(np.r_[True, np.diff(heads // TOKENS) > 0])]
+    return [slice(int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(row)])]
+
+
+def _chain(model: Model, feats: np.ndarray, row: np.ndarray) -> Chain:
     first = np.ones(len(row), dtype=bool)
     first[1:] = row[1:] != row[:-1]
     evidence = np.full(len(row), model.bias)
     for k in range(KINDS):
         evidence += model.weight[feats[:, k]]
-    return Chain(evidence, first, model.change, model.begin).marginal
+    return Chain(evidence, first, model.change, model.begin)
+
+
+def marginals(model: Model, feats: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return _chain(model, feats, row).marginal if len(feats) else np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -254,7 +272,7 @@ def tag_toxic(df: DataFrame, model: Model, text: str = "text", score: str = "sco
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         for column in batches:
-            parts = [_tag(part.column(0), model, made) for part in slices_by_bytes(_batch(column), most=1_500_000)]
+            parts = [_tag(part, model, made) for part in column_parts(column, 1_500_000)]
             yield pa.concat_arrays(parts) if parts else pa.array([], made)
 
     tag.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -263,10 +281,6 @@ def tag_toxic(df: DataFrame, model: Model, text: str = "text", score: str = "sco
     return tagged.withColumns({score: F.col("__tagged.score"), spans: F.col("__tagged.spans")}).drop("__tagged")
 
 
-def _batch(column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([column], ["text"])
-
-
 def _tag(column: pa.Array, model: Model, made: pa.DataType) -> pa.Array:
     rows = len(column)
     feats, row, start, end = features(column)
