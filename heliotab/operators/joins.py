@@ -24,6 +24,10 @@ EXPLICIT_COLUMNS = (
     "ir_path",
 )
 THERMAL_FOLDERS = ("thermal", "Thermal", "THERMAL", "ir", "IR")
+# Endings of a stem and what may stand in their place, in the order of trial. All of BARE_ENDING goes at
+# once, right after the first.
+STEM_ENDINGS = (("_T_JPG", "_T"), ("_JPG", ""), ("_T", ""))
+BARE_ENDING = "_T_JPG"
 THERMAL_EXTENSIONS = (".tif", ".tiff", ".TIF", ".TIFF")
 WEIGHT_NAMES = ("model_final.pth", "model_best.pth", "model.pth")
 FINAL_WEIGHTS = "model_final.pth"
@@ -89,17 +93,13 @@ def _thermal_index(thermal: DataFrame) -> DataFrame:
 
 
 def _stem_variants(stem: Column) -> Column:
-    """Stems to try in order; null entries are left out."""
-    without = lambda n: F.expr(f"left(stem, length(stem) - {n})")
-    return F.array_compact(
-        F.array(
-            stem,
-            F.when(stem.endswith("_T_JPG"), without(4)),
-            F.when(stem.endswith("_T_JPG"), F.replace(stem, F.lit("_T_JPG"), F.lit(""))),
-            F.when(stem.endswith("_JPG"), without(4)),
-            F.when(stem.endswith("_T"), without(2)),
-        )
-    )
+    """Stems to try in order, each once."""
+    shortened = [
+        F.when(stem.endswith(ending), F.concat(F.left(stem, F.length(stem) - len(ending)), F.lit(rest)))
+        for ending, rest in STEM_ENDINGS
+    ]
+    bare = F.when(stem.endswith(BARE_ENDING), F.replace(stem, F.lit(BARE_ENDING), F.lit("")))
+    return F.array_distinct(F.array_compact(F.array(stem, shortened[0], bare, *shortened[1:])))
 
 
 def _substrings(df: DataFrame, text: str, lengths: str, out: str) -> DataFrame:
@@ -225,9 +225,19 @@ def missing_thermal(rgb: DataFrame, thermal: DataFrame, key: str = "image_id") -
 
 
 def georeference(preds: DataFrame, images: DataFrame, geo: DataFrame, name: str = "name") -> DataFrame:
-    """Predictions of images that exist and have a position."""
-    located = geo.filter("lat IS NOT NULL AND lon IS NOT NULL").select(name, "lat", "lon")
-    return preds.join(images, name).join(located, name)
+    """Predictions of images that exist and have a position.
+
+    Camera names repeat in every flight, so tables that know their ``session`` are joined by it as well.
+    """
+    known = geo.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    located = known.select(*[c for c in ("session", name) if c in known.columns], "lat", "lon")
+    joined = preds.join(images, shared_keys(preds, images, name))
+    return joined.join(located, shared_keys(joined, located, name))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, name: str = "name") -> list[str]:
+    """The name of an image, and its session where both tables have it."""
+    return [c for c in ("session", name) if c in left.columns and c in right.columns]
 
 
 def class_table(models: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliotab.functions import geo, names
 from heliotab.operators.detections import SCORE_THRESHOLD
-from heliotab.operators.joins import georeference, with_class_names
+from heliotab.operators.joins import georeference, shared_keys, with_class_names
 from heliotab.sources.predictions import detection_list, recognised
 
 
@@ -54,7 +54,8 @@ def located_features(located: DataFrame, classes: DataFrame, threshold: float =
 def locate(preds: DataFrame, images: DataFrame, geo_points: DataFrame) -> DataFrame:
     """Recognised predictions of existing images with a position, and the image's URL.
 
-    ``preds`` has doc, file and the lists; ``images`` has session and name; ``geo_points`` has name, lat and lon.
+    ``preds`` has doc, file and the lists; ``images`` has session and name; ``geo_points`` has name, lat and lon. Where
+    ``preds`` and ``geo_points`` have a session, images are matched within it.
     """
     known = recognised(preds).withColumnRenamed("file", "name")
     located = georeference(known, images.select("session", "name"), geo_points)
@@ -75,8 +76,10 @@ def inspection_report(
 
     One pass over the located predictions: the lists are counted where they are, so no detection becomes a row.
     """
-    drawn = images.select("session", "name").join(preds.withColumnRenamed("file", "name"), "name")
-    located = drawn.join(geo_points.select("name", "lat", "lon"), "name", "left")
+    named = preds.withColumnRenamed("file", "name")
+    drawn = images.select("session", "name").join(named, shared_keys(images, named))
+    points = geo_points.select(*shared_keys(drawn, geo_points), "lat", "lon")
+    located = drawn.join(points, shared_keys(drawn, points), "left")
     usable = (F.size("boxes") > 0) | (F.size("scores") > 0) | (F.size("classes") > 0)
     mapped = usable & F.col("lat").isNotNull() & F.col("lon").isNotNull()
     shortest = F.least(F.size("boxes"), F.size("scores"), F.size("classes"))

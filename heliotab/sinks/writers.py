@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,16 @@ def absent(src: DataFrame, dst: DataFrame, key: str = "name") -> DataFrame:
 
 
 def copy_if_absent(src: DataFrame, dst_path: str, key: str = "name") -> None:
-    """Append to a table the rows it does not have yet; rows that are there stay as they are."""
+    """Append to a table the rows it does not have yet; rows that are there stay as they are.
+
+    A table that does not exist is empty. Of rows that share a key the least one is copied.
+    """
     spark = src.sparkSession
-    dst = spark.read.schema(src.schema).option("ignoreMissingFiles", "true").parquet(dst_path)
-    absent(src, dst, key).write.mode("append").parquet(dst_path)
+    once = src.groupBy(key).agg(F.min(F.struct(*src.columns)).alias("r")).select("r.*")
+    try:
+        dst = spark.read.schema(src.schema).option("ignoreMissingFiles", "true").parquet(dst_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        dst = src.limit(0)
+    absent(once, dst, key).write.mode("append").parquet(dst_path)

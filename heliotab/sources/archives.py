@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +15,16 @@ from pyspark.sql import functions as F
 from heliotab.functions import names
 
 _BATCH_BYTES = 32 << 20
+# What reading a damaged, encrypted or unusually packed member raises.
+_DAMAGE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError)
 
 
-def expand_archive_bytes(files: DataFrame) -> DataFrame:
+def expand_archive_bytes(files: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Members (archive, member, content) of archives given as (archive, content); a broken archive gives no rows.
 
-    Members leave in batches of bounded size, so an archive never has to fit twice into memory.
+    A member that can't be read has null content; only members with one of the ``extensions`` (in lower case) are
+    decompressed, if these are given. Members leave in batches of bounded size, so an archive never has to fit twice
+    into memory.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,13 +37,17 @@ def expand_archive_bytes(files: DataFrame) -> DataFrame:
                     continue
                 with opened:
                     for info in opened.infolist():
-                        if info.is_dir():
+                        if info.is_dir() or extensions and not info.filename.lower().endswith(extensions):
                             continue
-                        rows.append((archive, info.filename, opened.read(info)))
-                        held += info.file_size
-                        if held > _BATCH_BYTES:
+                        if rows and held + info.file_size > _BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=["archive", "member", "content"])
                             rows, held = [], 0
+                        try:
+                            content = opened.read(info)
+                        except _DAMAGE:
+                            content = None
+                        rows.append((archive, info.filename, content))
+                        held += info.file_size
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
@@ -49,7 +59,7 @@ def expand_archive_bytes(files: DataFrame) -> DataFrame:
 def expand_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Image members of the archives in a folder: (archive, member, name, content)."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
-    members = expand_archive_bytes(raw.select(F.col("path").alias("archive"), "content"))
+    members = expand_archive_bytes(raw.select(F.col("path").alias("archive"), "content"), names.DATASET_EXTENSIONS)
     return image_members(members)
 
 

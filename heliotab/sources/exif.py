@@ -1,4 +1,4 @@
-"""GPS positions from the EXIF header of JPEG files."""
+"""GPS positions from the EXIF block of JPEG, TIFF and WebP files."""
 
 from __future__ import annotations
 
@@ -15,11 +15,21 @@ from heliotab.functions import geo, names
 # Fixed values of the EXIF format: pointer to the GPS directory and its tags.
 _GPS_POINTER = 0x8825
 _LAT_REF, _LAT, _LON_REF, _LON = 1, 2, 3, 4
-_HEADER_BYTES = 1 << 17
 
 
 def _exif_block(raw: bytes) -> bytes | None:
-    """TIFF block of the APP1 segment of a JPEG."""
+    """TIFF block of a JPEG's APP1 segment, of a WebP's EXIF chunk, or a TIFF file itself."""
+    if raw[:4] in (b"II*\0", b"MM\0*"):
+        return raw
+    if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+        place = 12
+        while place + 8 <= len(raw):
+            size = struct.unpack_from("<I", raw, place + 4)[0]
+            if raw[place : place + 4] == b"EXIF":
+                body = raw[place + 8 : place + 8 + size]
+                return body[6:] if body[:6] == b"Exif\0\0" else body
+            place += 8 + size + size % 2
+        return None
     place = 2
     while raw[:2] == b"\xff\xd8" and place + 4 <= len(raw) and raw[place] == 0xFF:
         marker, size = raw[place + 1], struct.unpack_from(">H", raw, place + 2)[0]
@@ -71,14 +81,13 @@ def decode_exif_gps(files: DataFrame) -> DataFrame:
             rows = []
             for path, raw in zip(batch["path"], batch["content"]):
                 try:
-                    found = _gps(raw)
+                    found = _gps(raw) if raw is not None else None
                 except (KeyError, IndexError, struct.error):
                     found = None
                 rows.append((path, *(found or (None,) * 4)))
             yield pd.DataFrame(rows, columns=["path", "lat_dms", "lat_ref", "lon_dms", "lon_ref"])
 
-    head = files.select("path", F.substring("content", 1, _HEADER_BYTES).alias("content"))
-    return head.mapInPandas(decode, schemas.GPS)
+    return files.select("path", "content").mapInPandas(decode, schemas.GPS)
 
 
 def positions(gps: DataFrame) -> DataFrame:

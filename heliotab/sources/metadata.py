@@ -13,10 +13,15 @@ DEFAULT_MODE = "rgb"
 
 
 def parse_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Colour to thermal paths; malformed documents give no rows."""
+    """Colour to thermal paths; malformed documents give no rows.
+
+    A text may hold several objects, one after another on lines of their own, as ``write_pairs`` makes them.
+    """
     kept = [c for c in docs.columns if c != text]
-    pairs = F.from_json(F.col(text), "map<string,string>")
-    return docs.select(*kept, F.explode(pairs).alias("rgb_path", "thermal_path"))
+    # A line break between } and { can't stand within an object.
+    single = docs.select(*kept, F.explode(F.split(F.col(text), r"(?<=\})\s*\n\s*(?=\{)")).alias("__object"))
+    pairs = F.from_json(F.col("__object"), "map<string,string>")
+    return single.select(*kept, F.explode(pairs).alias("rgb_path", "thermal_path"))
 
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -58,45 +58,34 @@ def test_chunks(spark):
 # ------------------------------------------------------------------------------------------------------ joins
 
 
-def reference_match(rgb, files):
-    """The staged rule, one image at a time."""
-    split, base = rgb.rsplit("/", 1)
-    for folder in joins.THERMAL_FOLDERS:
-        names = sorted(f.rsplit("/", 1)[1] for f in files if f.rsplit("/", 1)[0] == f"{split}/{folder}")
-        if names:
-            break
-    else:
-        return None
-    stem = base.rsplit(".", 1)[0].split(".rf.", 1)[0]
-    tries = [stem]
-    if stem.endswith("_T_JPG"):
-        tries += [stem[:-4], stem.replace("_T_JPG", "")]
-    if stem.endswith("_JPG"):
-        tries.append(stem[:-4])
-    if stem.endswith("_T"):
-        tries.append(stem[:-2])
-    for s in tries:
-        for ext in joins.THERMAL_EXTENSIONS:
-            if s + ext in names:
-                return f"{split}/{folder}/{s}{ext}"
-    tifs = [n for n in names if n.endswith(".tif")] + [n for n in names if n.endswith(".tiff")]
-    root = lambda n: n.rsplit(".", 1)[0].lower()
-    same = [n for n in tifs if root(n) == stem.lower()]
-    if same:
-        return f"{split}/{folder}/{same[0]}"
-    part = sorted((n for n in tifs if stem.lower() in root(n) or root(n) in stem.lower()), key=lambda n: (-len(n), n))
-    return f"{split}/{folder}/{part[0]}" if part else None
-
-
-def test_match_thermal_against_the_rule(spark):
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("aB_TJPG") for _ in range(rng.randint(1, 5)))
-    rgb = sorted({f"/d{rng.randint(0, 4)}/{word()}{rng.choice(['', '_T', '_JPG', '_T_JPG'])}{rng.choice(['', '.rf.h1', '.rf.h2'])}.jpg" for _ in range(300)})
-    thermal = sorted({f"/d{rng.randint(0, 4)}/{rng.choice(['thermal', 'ir', 'IR'])}/{word()}{rng.choice(['', '_T', '_T_JPG'])}{rng.choice(['.tif', '.tiff', '.TIF', '.png'])}" for _ in range(150)})
-    got = joins.match_thermal(spark.createDataFrame([(p,) for p in rgb], "path string"), spark.createDataFrame([(p,) for p in thermal], "path string"))
-    found = {r.path: r.thermal_path for r in got.collect()}
-    assert found == {p: reference_match(p, thermal) for p in rgb}
-    assert {r.stage for r in got.collect()} >= {"stem", "substring", None}
+# Colour image, thermal files of its split, and the expected file and stage.
+THERMAL_CASES = [
+    ("X.jpg", ["thermal/X.tif", "thermal/X.tiff"], "thermal/X.tif", "stem"),
+    ("X.rf.h1.jpg", ["thermal/X.png", "thermal/X.TIFF"], "thermal/X.TIFF", "stem"),
+    ("X_T_JPG.rf.h.jpg", ["thermal/X_T_JPG.tif", "thermal/X_T.tif"], "thermal/X_T_JPG.tif", "stem"),
+    ("X_T_JPG.rf.h.jpg", ["thermal/X_T.tif", "thermal/X.tif"], "thermal/X_T.tif", "stem"),
+    ("X_T_JPG.rf.h.jpg", ["thermal/X.tif", "thermal/YX_T_JPG.tif"], "thermal/X.tif", "stem"),
+    ("X_JPG.jpg", ["thermal/X.tif"], "thermal/X.tif", "stem"),
+    ("X_T.jpg", ["thermal/X.tif"], "thermal/X.tif", "stem"),
+    ("X.jpg", ["thermal/x.tif", "thermal/xx.tif"], "thermal/x.tif", "case"),
+    ("X_T_JPG.jpg", ["thermal/x_t_jpg.tiff"], "thermal/x_t_jpg.tiff", "case"),
+    ("AbC.jpg", ["thermal/zabcz.tif", "thermal/abc1.tif"], "thermal/zabcz.tif", "substring"),
+    ("long_name_1.jpg", ["thermal/NAME.tif", "thermal/name_1.tiff"], "thermal/name_1.tiff", "substring"),
+    ("X.jpg", ["thermal/q.tif", "ir/X.tif"], None, None),
+    ("X.jpg", ["ir/X.tif", "IR/X.tif"], "ir/X.tif", "stem"),
+    ("X.jpg", ["other/X.tif"], None, None),
+    ("X.jpg", ["thermal/q.TIF"], None, None),
+    ("X.jpg", [], None, None),
+]
+
+
+def test_match_thermal_on_cases(spark):
+    rgb = [(f"/d{k}/{name}",) for k, (name, *_) in enumerate(THERMAL_CASES)]
+    files = [(f"/d{k}/{f}",) for k, (_, fs, *_) in enumerate(THERMAL_CASES) for f in fs]
+    got = joins.match_thermal(spark.createDataFrame(rgb, "path string"), spark.createDataFrame(files, "path string"))
+    found = {r.path: (r.thermal_path, r.stage) for r in got.collect()}
+    for k, (name, _, want, stage) in enumerate(THERMAL_CASES):
+        assert found[f"/d{k}/{name}"] == (want and f"/d{k}/{want}", stage), name
 
 
 def test_explicit_thermal_file_comes_first(spark):
