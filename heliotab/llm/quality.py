@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
     pooled = pooled_vectors(chosen, vectors).select("doc_id", F.xxhash64("text").alias("k"), "label", "pooled")
     rows = pooled.dropDuplicates(["k", "label"]).orderBy("k", "doc_id").limit(sample).toArrow()
-    x = np.array(rows["pooled"].to_pylist(), dtype=float).reshape(rows.num_rows, -1)
+    x = np.array(rows["pooled"].to_pylist(), dtype=float).reshape(rows.num_rows, 2 * WIDTH + 2)
     return fit(x, rows["label"].to_numpy(), vectors)
 
 
