@@ -15,7 +15,7 @@ from heliotab.llm.common import table, whole_text
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import emit_mix
 from heliotab.llm.near_copies import drop_near_copies
-from heliotab.llm.piece_codec import decode_pieces, encode_pieces
+from heliotab.llm.piece_codec import round_trip
 from heliotab.llm.quality import ACCEPT, score_quality, train
 from heliotab.session import scratch_path
 
@@ -50,8 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document taken, their number, and digests of the ids and of the text that they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_pieces(encode_pieces(docs.select("doc_id", "text"), path).drop("text"), path)
-    return coded.select(
+    return round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id",
         "ids",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -12,6 +12,7 @@ Texts are cut where no piece has the two characters next to each other, as no me
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-from heliotab.llm.common import drop_clashing, list_array
+from heliotab.llm.common import column_parts, drop_clashing, list_array
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # types of pieces in the model file
 MODEL_LIMIT = 64 << 20  # bytes of a model that is sent to every executor
-KEPT = 300_000  # entries in each of the two generations of a remembering table
+KEPT = 200_000  # entries in each of the two generations of a remembering table
 BITS = 24  # of an id beside a length or another id
 WIDTH = (1 << BITS) - 1
 NOTHING = WIDTH  # in the place of a left neighbour
@@ -245,56 +246,77 @@ def _model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(model)
 
 
+def _encoded(pieces: Pieces, column: pa.Array, end: bool) -> pa.Array:
+    lengths, flat = np.zeros(len(column), dtype=np.int64), array("i")
+    for k, value in enumerate(column):
+        ids = pieces.encode(value.as_py() or "", end)
+        lengths[k] = len(ids)
+        flat.extend(ids)
+    return list_array(np.frombuffer(flat, dtype=np.int32), lengths, pa.int32())
+
+
+def _decoded(pieces: Pieces, column: pa.Array) -> pa.Array:
+    flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    return pa.array([pieces.decode(flat[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist())], pa.string())
+
+
+def _with(df: DataFrame, model_path: str, work, kind: DataType, source: str, out: str) -> DataFrame:
+    """Add what ``work`` yields for each batch of a column."""
+    model = _model(df.sparkSession, model_path)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = _pieces(model.value)
+        for column in batches:
+            yield from work(pieces, column)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    made = df.withColumn("__made", F.arrow_udf(run, kind)(F.col(source)))
+    return drop_clashing(made, out).withColumnRenamed("__made", out)
+
+
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str = "ids", end: bool = True) -> DataFrame:
     """Add the ids of ``text`` as array<int>, with the end id last if ``end``.
 
     Null counts as the empty text, whose ids are none (or the end id alone). Every row is kept, repeated rows too, and
     each text is taken whole. A column that has the name of the result is replaced. No shuffle.
     """
-    model = _model(df.sparkSession, model_path)
 
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _pieces(model.value)
-        for column in batches:
-            lengths, values = np.zeros(len(column), dtype=np.int64), []
-            for k, value in enumerate(column):
-                ids = pieces.encode(value.as_py() or "", end)
-                lengths[k] = len(ids)
-                values.append(np.array(ids, dtype=np.int32))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            yield list_array(flat, lengths, pa.int32())
+    def work(pieces: Pieces, column: pa.Array) -> Iterator[pa.Array]:
+        return (_encoded(pieces, part, end) for part in column_parts(column))
 
-    encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    fn = F.arrow_udf(encode, ArrayType(IntegerType()))
-    ids = fn(F.col(text).cast("string"))
-    return drop_clashing(df.withColumn("__ids", ids), out).withColumnRenamed("__ids", out)
+    return _with(df, model_path, work, ArrayType(IntegerType()), text, out)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of an array of ids. Null and empty arrays give the empty text; null ids count as unknown."""
-    model = _model(df.sparkSession, model_path)
 
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _pieces(model.value)
-        for column in batches:
-            if len(column) == 0:
-                yield pa.array([], pa.string())
-                continue
-            flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(lengths)
-            yield pa.array([pieces.decode(flat[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist())], pa.string())
+    def work(pieces: Pieces, column: pa.Array) -> Iterator[pa.Array]:
+        return (_decoded(pieces, column.slice(k, 500)) for k in range(0, len(column), 500))
+
+    return _with(df, model_path, work, StringType(), ids, out)
+
+
+def round_trip(
+    df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", out: str = "decoded", end: bool = True
+) -> DataFrame:
+    """Both at once, in one pass through Python: the ids of ``text``, and the text that they decode to."""
+    kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    def work(pieces: Pieces, column: pa.Array) -> Iterator[pa.Array]:
+        for part in column_parts(column):
+            coded = _encoded(pieces, part, end)
+            yield pa.StructArray.from_arrays([coded, _decoded(pieces, coded)], ["ids", "decoded"])
 
-    decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    fn = F.arrow_udf(decode, StringType())
-    return drop_clashing(df.withColumn("__decoded", fn(F.col(ids))), out).withColumnRenamed("__decoded", out)
+    both = _with(df, model_path, work, kind, text, "__both")
+    both = drop_clashing(both, ids, out).withColumns({ids: F.col("__both.ids"), out: F.col("__both.decoded")})
+    return both.drop("__both")
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document the number of ids and SHA-256 of the ids and of the decoded text."""
-    coded = encode_pieces(docs.select("doc_id", "text"), model_path).drop("text")
-    both = decode_pieces(coded, model_path)
-    return both.select(
+    return round_trip(docs.select("doc_id", "text"), model_path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
