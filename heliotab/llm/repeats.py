@@ -14,7 +14,6 @@ that comes first stays, the others are marked. Blocks have a bounded size. A key
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotab.llm.common import Prefix, ragged, row_key, slices_by_bytes, text_buffer, whole_text
+from heliotab.llm.common import Prefix, ragged, release, row_key, slices_by_bytes, text_buffer, whole_text
 from heliotab.session import pin
 
 MATCH = 100  # bytes
@@ -65,10 +64,8 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         return none.astype(np.uint64), none, none, none, none.astype(np.uint64), none.astype(bool)
     key, digest = least[start], prefix.parts(start, stop + MATCH - 1)
     # Places of runs that are the least of a string. Strings across texts don't count.
-    inside = np.zeros(len(least) + 1, dtype=np.int32)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, np.minimum(stop, len(least)), -1)
-    least = np.where(np.cumsum(inside[:-1]) > 0, least, np.uint64(0))
+    whole = np.repeat(np.arange(2 * len(strings)) % 2 == 0, np.c_[strings, np.diff(offsets) - strings].ravel())
+    least = np.where(whole[: len(least)], least, np.uint64(0))
     pad = np.zeros(RUNS - 1, dtype=np.uint64)
     chosen = np.flatnonzero(run == _slide(np.r_[pad, least, pad], RUNS, np.maximum))
     low = np.searchsorted(chosen, start)
@@ -89,30 +86,13 @@ class RunIndex:
         joined[ends] = np.arange(many)  # each text has an end mark of its own, so no match crosses it
         self.text, self.start, self.lengths = joined, ends - lengths, lengths
         n = len(joined)
-        _, rank = np.unique(joined, return_inverse=True)
-        rank, step, at64 = rank.astype(np.int64), 1, None
-        while True:
-            if step == 64:
-                at64 = rank
-            after = np.zeros(n, dtype=np.int64)
-            after[:-step] = rank[step:] + 1
-            both = rank * (n + 1) + after
-            order = np.argsort(both, kind="stable")
-            ordered = both[order]
-            new = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = new
-            step *= 2
-            if new[-1] == n - 1:
-                break
-        suffix = order
-        if at64 is None:  # all suffixes differ before
-            at64 = rank
+        suffix, at64 = self._sort(joined, many)
         # Where the first MATCH symbols of neighbouring suffixes differ.
         tail = np.minimum(suffix + MATCH - 64, n - 1)
         a, b = at64[suffix], at64[tail]
         b = np.where(suffix + MATCH <= n, b, -1 - suffix)
         self.breaks = np.r_[np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]), n]
+        self.break_sample = suffix[self.breaks[1:] - 1]
         last = joined[suffix - 1]
         heads = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         sizes = np.diff(np.r_[heads, n])
@@ -128,6 +108,43 @@ class RunIndex:
         self.first = np.searchsorted(np.sort(joined), np.arange(many + 257))  # rows of smaller symbols
         self.end_suffix = suffix[self.first[1:] - 1]
 
+    @staticmethod
+    def _sort(joined: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix array by doubling, and the ranks of the suffixes by their first 64 symbols.
+
+        Ranks are the number of smaller suffixes; a round only sorts suffixes whose ranks aren't single yet.
+        """
+        n = len(joined)
+        bits = int(many + 256).bit_length()
+        step = 1
+        word = joined
+        while 2 * step * bits <= 62:  # several symbols in one number
+            word = word << bits * step | np.r_[word[step:], np.zeros(min(step, n), np.int64)][:n]
+            step *= 2
+        order = np.argsort(word)
+        rank, at64 = np.empty(n, dtype=np.int64), None
+        heads = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
+        sizes = np.diff(np.r_[heads, n])
+        rank[order] = np.repeat(heads, sizes)
+        left = order[np.repeat(sizes > 1, sizes)]  # in the order of their ranks
+        while len(left):
+            if step == 64:
+                at64 = rank.copy()
+            after = np.where(left + step < n, rank[np.minimum(left + step, n - 1)] + 1, 0)
+            own = rank[left]
+            by = np.argsort(own * (n + 1) + after)
+            left, own, after = left[by], own[by], after[by]
+            heads = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(after) != 0)])
+            sizes = np.diff(np.r_[heads, len(left)])
+            group = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+            base = np.repeat(group, np.diff(np.r_[group, len(left)]))  # where the suffixes of one rank begin
+            rank[left] = own + np.repeat(heads, sizes) - base
+            left = left[np.repeat(sizes > 1, sizes)]
+            step *= 2
+        suffix = np.empty(n, dtype=np.int64)
+        suffix[rank] = np.arange(n)
+        return suffix, rank if at64 is None else at64
+
     def _seen(self, symbol: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often a symbol stands in the transform before a row, and the last run of it that begins before."""
         k = np.searchsorted(self.place, symbol * (self.n + 1) + row, side="left") - 1
@@ -164,7 +181,7 @@ class RunIndex:
             low, high = self.first[symbol] + seen_low, self.first[symbol] + seen_high
             if step >= MATCH:  # back to the interval of the first MATCH symbols
                 b = np.searchsorted(self.breaks, low, side="right")
-                low, high = self.breaks[b - 1], self.breaks[b]
+                low, high, found = self.breaks[b - 1], self.breaks[b], self.break_sample[b - 1]
 
 
 def later_strings(texts: list[bytes]) -> list[np.ndarray]:
@@ -269,29 +286,24 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written to shared storage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (k_id, k_text, lo, hi): byte ranges that strings starting earlier cover; they may overlap."""
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(*row_key(doc_id, text), whole_text(text).alias("text"))
     places = _repeated_places(spark, keyed, id_type)
-    _release(spark)
+    release(spark)
     order = F.struct(F.col("k_id").isNull().alias("no_id"), *KEY, "start").alias("first")
     kinds = places.groupBy("key", "digest").agg(
         F.min(order).alias("first"), F.max("twice").alias("twice"), F.max("n").alias("n")
     )
     kinds = pin(kinds)
+    release(spark)
     size = F.sum(F.col("n") + MATCH).alias("bytes")
     keys = kinds.groupBy("key").agg(F.count("*").alias("many"), F.max("twice").alias("any_twice"), size)
     keys = keys.filter("many > 1 OR any_twice").select("key", (F.col("bytes") > HOT).alias("hot"))
     raw = pin(_bytes(keyed, kinds.join(keys, "key")))
-    _release(spark)
+    release(spark)
     calm = raw.filter("NOT hot").repartition("key").sortWithinPartitions("key", "first", "digest")
     marks = calm.select("key", "digest", "raw").mapInArrow(_mark, f"key bigint, digest bigint, marks {RANGES}")
     strings = raw.filter("hot").select("key", "digest", "raw").mapInArrow(
@@ -303,7 +315,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     later = placed.join(earliest, ["key", "string"]).filter("place <> earliest")
     one = F.struct(F.col("at").alias("a"), F.col("at").alias("b"))
     split = later.groupBy("key", "digest").agg(F.collect_list(one).alias("marks"))
-    marks = marks.filter(F.size("marks") > 0).union(split)
+    marks = pin(marks.filter(F.size("marks") > 0).union(split))
+    release(spark)
 
     told = kinds.select("key", "digest", "first").join(marks, ["key", "digest"], "left")
     each = places.join(told, ["key", "digest"])
@@ -369,6 +382,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     UTF-8. Columns that have the names of results are replaced.
     """
     found = find_repeats(docs, doc_id, text).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__found"))
+    found = pin(found)
+    release(docs.sparkSession)
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("removed", "kept")])
     keyed = plain.withColumn("__hash", F.xxhash64(whole_text(text)))
     same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("__hash") == F.col("k_text"))
