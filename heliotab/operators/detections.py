@@ -163,13 +163,11 @@ def _nms_rounds(dets: DataFrame, min_iou: float, keys: list[str], order: list[st
     cell = ["__lv", "__cx", "__cy"]
     place = F.struct((-F.col(order[0])).alias("s"), *[F.col(c) for c in order[1:]])
     columns = dets.columns
-    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    flat = dets.filter(~solid)
     # Exact copies overlap fully: only the best one can stay.
     row = F.struct(*columns)
-    single = dets.filter(solid).groupBy(*keys, *_BOX).agg(F.min_by(row, place).alias("r")).select("r.*")
+    single = dets.groupBy(*keys, *_BOX).agg(F.min_by(row, place).alias("r")).select("r.*")
     alive = pin(single.withColumns(_home(min_iou)).withColumn("__place", place))
-    kept_parts = [flat]
+    kept_parts = []
     while not alive.groupBy(*keys).count().filter(F.col("count") > group_limit).isEmpty():
         whole = F.struct(*alive.columns)
         champions = pin(alive.groupBy(*keys, *cell).agg(F.min_by(whole, "__place").alias("r")).select("r.*"))
@@ -217,15 +215,23 @@ def nms(
     """Class-wise non-maximum suppression per image.
 
     ``order`` is the score (best is highest) and the columns that break ties (lowest first). Groups of up to
-    ``group_limit`` boxes are handled one per call; larger ones in distributed rounds with the same result.
+    ``group_limit`` boxes are handled one per call; larger ones in distributed rounds with the same result. A box
+    without a positive area, or with a null side, neither suppresses nor is suppressed. Rows whose keys are null are a
+    group like any other.
     """
-    keys, order = list(keys), list(order)
-    hot = pin(dets.groupBy(*keys).count().filter(F.col("count") > group_limit).select(*keys))
+    # A struct of nulls equals another, so null keys are joined and split as other keys are.
+    keyed = dets.withColumn("__keys", F.struct(*keys))
+    keys, order = ["__keys"], list(order)
+    solid = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    boxes = keyed.filter(solid)
+    hot = pin(boxes.groupBy(*keys).count().filter(F.col("count") > group_limit).select(*keys))
     if hot.isEmpty():
-        return _nms_groups(dets, min_iou, keys, order)
-    usual = _nms_groups(dets.join(hot, keys, "left_anti").select(*dets.columns), min_iou, keys, order)
-    crowded = dets.join(hot, keys, "left_semi").select(*dets.columns)
-    return usual.unionByName(_nms_rounds(crowded, min_iou, keys, order, group_limit))
+        kept = _nms_groups(boxes, min_iou, keys, order)
+    else:
+        usual = _nms_groups(boxes.join(hot, keys, "left_anti").select(*keyed.columns), min_iou, keys, order)
+        crowded = boxes.join(hot, keys, "left_semi").select(*keyed.columns)
+        kept = usual.unionByName(_nms_rounds(crowded, min_iou, keys, order, group_limit))
+    return kept.unionByName(keyed.filter(~solid)).drop("__keys")
 
 
 def topk_per_image(

@@ -134,6 +134,15 @@ def test_nms_rounds_equal_greedy(spark, min_iou):
     assert 0 < usual.count() < dets.count()
 
 
+def test_nms_of_odd_boxes_and_null_keys(spark):
+    rows = [(None, 0, 0.0, 0.0, 10.0, 10.0, 0.9, 0), (None, 0, 1.0, 0.0, 10.0, 10.0, 0.8, 1), (None, 0, 90.0, 0.0, 50.0, 9.0, 0.7, 2),
+            (None, 0, 300.0, 0.0, 200.0, 9.0, 0.6, 3), (None, 0, None, 0.0, 5.0, 5.0, 0.5, 4), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.4, 5)]
+    dets = spark.createDataFrame(rows, "image_id int, class int, x1 double, y1 double, x2 double, y2 double, score double, det_idx int")
+    for limit in (100, 1):
+        kept = detections.nms(dets, 0.5, group_limit=limit)
+        assert sorted(r.det_idx for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == dets.columns
+
+
 @pytest.mark.parametrize("min_iou", [0.3, 0.6])
 def test_iou_join_grid_equals_direct(spark, min_iou):
     dets, gts = crowded(spark, 400), crowded(spark, 400, 4).withColumnRenamed("det_idx", "gt_key").drop("score")
