@@ -98,12 +98,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices_by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000):
-    """Parts of a batch with about ``most`` bytes of text each (a longer text is alone); all rows, in order."""
+    """Parts of a batch with about ``most`` bytes of text each (a longer text is alone) and at most
+    50,000 rows; all rows, in order."""
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     start, n = 0, batch.num_rows
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        stop = min(n, max(start + 1, stop))
+        stop = min(n, max(start + 1, stop), start + 50_000)
         yield batch.slice(start, stop - start)
         start = stop
 

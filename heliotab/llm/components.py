@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliotab.llm.common import release
 from heliotab.session import pin
 
 
@@ -30,3 +31,4 @@ def components(links: DataFrame) -> DataFrame:
             return least.select(F.col("a").alias("node"), F.col("least").alias("component"))
         state = tuple(check)
         both = pin(new.select(F.col("x").alias("a"), F.col("y").alias("b")).union(new.select("y", "x")).distinct())
+        release(links.sparkSession)

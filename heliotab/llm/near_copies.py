@@ -28,6 +28,7 @@ from heliotab.llm.common import (
     Prefix,
     list_array,
     mix64,
+    release,
     row_key,
     slices_by_bytes,
     text_buffer,
@@ -42,8 +43,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 BUCKETS = 1 << 18  # of the table of document frequencies
 COMMON = 0.1  # part of all documents
-ROUNDS = 8  # of pivots, at most; what is open then is verified pair by pair
-OPEN_PAIRS = 2  # pivots go on while more pairs than this many times the bucket members are open
+ROUNDS = 4  # of pivots, at most; what is open then is verified pair by pair
+OPEN_PAIRS = 1  # pivots go on while more pairs than this many times the bucket members are open
 
 
 def shingles(column: pa.Array):
@@ -70,10 +71,10 @@ def shingles(column: pa.Array):
     for k in range(SHINGLE):
         inside = at + k < edges[owner + 1]
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, word[np.minimum(at + k, len(word) - 1)], 0)
-    hashed = mix64(mixed)
-    order = np.lexsort((hashed, owner))
-    hashed, owner = hashed[order], owner[order]
-    new = np.r_[True, (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])]
+    # 48 bits of the hash and the row in one number, which sorts fast; a batch has fewer than 2**16 rows.
+    both = np.sort(owner.astype(np.uint64) << np.uint64(48) | mix64(mixed) >> np.uint64(16))
+    new = np.r_[True, both[1:] != both[:-1]]
+    hashed, owner = both & np.uint64((1 << 48) - 1), (both >> np.uint64(48)).astype(np.int64)
     heads = np.flatnonzero(new)
     count = np.diff(np.r_[heads, len(hashed)])
     return hashed[heads], count, np.bincount(owner[heads], minlength=rows), digests
@@ -125,12 +126,14 @@ def samples(hashed: np.ndarray, weight: np.ndarray, sizes: np.ndarray, count: in
     log_w = np.log(weight).astype(np.float32)
     starts = np.cumsum(sizes) - sizes
     out = np.empty((len(sizes), count), dtype=np.uint64)
-    low16 = np.uint64(0xFFFF)
+    low16, low24 = np.uint64(0xFFFF), np.uint64(0xFFFFFF)
     for k in range(count):
-        x = mix64(hashed ^ np.uint64((k + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-        r = gamma[(x & low16).astype(np.int32)]
-        log_c = log_gamma[((x >> np.uint64(16)) & low16).astype(np.int32)]
-        b = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        x = (hashed ^ np.uint64((k + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        r = gamma[(x >> np.uint64(48)).astype(np.int32)]
+        log_c = log_gamma[((x >> np.uint64(32)) & low16).astype(np.int32)]
+        b = ((x >> np.uint64(8)) & low24).astype(np.float32) * np.float32(2.0**-24)
         t = np.floor(log_w / r + b)
         cost = log_c - r * (t - b + np.float32(1))
         least = np.minimum.reduceat(cost, starts)
@@ -143,7 +146,7 @@ def samples(hashed: np.ndarray, weight: np.ndarray, sizes: np.ndarray, count: in
 def _signatures(weights):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices_by_bytes(batch, "text", 1_000_000):
+            for part in slices_by_bytes(batch, "text", 300_000):
                 hashed, count, sizes, digests = shingles(part.column(2))
                 weight = count * weights.value[(hashed & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 full = sizes > 0
@@ -219,6 +222,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
     wanted = wanted.select("node", F.col("where.k_id").alias("w_id"), F.col("where.k_text").alias("k_text"))
     same = lowered["k_id"].eqNullSafe(wanted["w_id"]) & (lowered["k_text"] == wanted["k_text"])
     texts = pin(lowered.join(wanted, same).select("node", "text").dropDuplicates(["node"]))
+    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         side_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -233,15 +237,20 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
     state = members.select("bucket", "node", "weight", F.col("node").alias("label"), F.lit(True).alias("open"))
     known = None
     for turn in range(ROUNDS + 1):
-        summary = state.groupBy("bucket").agg(
-            F.count_if("open").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.max_by(F.struct("node", "label", "weight"), F.when(F.col("open"), F.struct("label", "node"))).alias("p"),
+        # Open pairs are those of open members with different labels.
+        alike = state.groupBy("bucket", "label").agg(
+            F.count_if("open").cast("double").alias("n"),
+            F.max_by(F.struct("node", "label", "weight"), F.when(F.col("open"), F.col("node"))).alias("p"),
+        )
+        summary = alike.groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"),
+            F.max_by("p", F.when(F.col("n") > 0, F.col("label"))).alias("p"),
         )
-        active = pin(summary.filter("n > 0 AND low <> high"))
-        left = active.agg(F.count("n"), F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        active = pin(summary.filter("n > 0 AND labels > 1"))
+        left = active.agg(F.count("n"), F.sum("n"), F.sum(F.expr("(n * n - squares) / 2"))).first()
         if not left[0]:
             break
-        if turn == ROUNDS or (turn and left[2] <= OPEN_PAIRS * left[1]):
+        if turn == ROUNDS or left[2] <= OPEN_PAIRS * left[1]:
             now = state.join(active.select("bucket"), "bucket").filter("open")
             x, y = now.alias("x"), now.alias("y")
             once = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
@@ -271,6 +280,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
                 (F.col("open") & (F.col("node") != F.col("p.node"))).alias("open"),
             )
         )
+        release(spark)
     if known is None:
         known = spark.createDataFrame([], "a binary, b binary, similarity double")
     return rows.select("k_id", "k_text", "node"), known.filter(F.col("similarity") >= similar)
