@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliotab.llm.common import drop_clashing, row_key, whole_text
+from heliotab.llm.common import drop_clashing, release, row_key, whole_text
 from heliotab.session import pin
 
 WILD = "<*>"
@@ -25,9 +25,12 @@ KEY = ("k_id", "k_text")
 
 
 def masked_line(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as ``<*>``."""
-    even = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", WILD)).otherwise(even)
+    """Tokens joined by one space, those with a digit as ``<*>``. Patterns only run over lines that need them."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for space in "\t\r\x0b\x0c":
+        odd = odd | line.contains(space)
+    even = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", WILD)).otherwise(even)
 
 
 def _n_tokens(masked: Column) -> Column:
@@ -35,10 +38,13 @@ def _n_tokens(masked: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines long enough to be dropped: key of the document, position, masked line, its digest, its leaf."""
+    """All lines: key of the document, position, masked line, number of tokens, digest, leaf.
+
+    No filter stands here: it would be pushed down and mask every line a second time.
+    """
     split = docs.select(*row_key(doc_id, text), F.posexplode(F.split(whole_text(text), "\n")).alias("pos", "line"))
     masked = split.select(*KEY, "pos", masked_line(F.col("line")).alias("masked"))
-    counted = masked.withColumn("n", _n_tokens(F.col("masked"))).filter(F.col("n") >= LEAST_TOKENS)
+    counted = masked.withColumn("n", _n_tokens(F.col("masked")))
     leaf = F.xxhash64("n", F.substring_index("masked", " ", LEADING))
     return counted.withColumns({"line": F.unhex(F.md5("masked")), "leaf": leaf})
 
@@ -59,6 +65,7 @@ def line_templates(
     ``template`` is the digest of the seed, ``first`` the first document of the template. Null texts have no lines.
     """
     lines = pin(_lines(docs, doc_id, text).select(*KEY, "pos", "line", "leaf", "n"))
+    lines = lines.filter(F.col("n") >= LEAST_TOKENS)
     per_line = _spread(lines.filter(F.col("n") >= GENERAL_TOKENS), "leaf", "line")
     seeds = (
         per_line.groupBy("leaf")
@@ -66,18 +73,17 @@ def line_templates(
         .filter("kinds > 1")
         .drop("kinds")
     )
-    # Texts are needed only in leaves with several kinds of lines, once a kind.
-    general = _lines(docs, doc_id, text).filter(F.col("n") >= GENERAL_TOKENS)
-    mixed = pin(general.select("leaf", "line", "n", "masked").join(seeds, "leaf"))
-    seed_text = mixed.filter("line = seed").groupBy("leaf").agg(F.min("masked").alias("seed_masked"))
+    # Texts are needed only in leaves with several kinds of lines; a leaf fixes the number of tokens.
+    met = _lines(docs, doc_id, text).select("leaf", "line", "n", "masked").join(seeds, "leaf")
+    mixed = pin(met.groupBy("leaf", "line", "n", "seed").agg(F.min("masked").alias("masked")))
+    release(docs.sparkSession)
+    seed_text = mixed.filter("line = seed").select("leaf", F.col("masked").alias("seed_masked"))
     others = mixed.filter("line <> seed").join(seed_text, "leaf")
     pairs = F.arrays_zip(F.split("masked", " ").alias("a"), F.split("seed_masked", " ").alias("b"))
     equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    joined = (
-        others.filter(equal >= F.lit(float(similar)) * F.col("n"))
-        .groupBy("leaf", "line")
-        .agg(F.min("seed").alias("seed"))
-    )
+    joined = pin(others.filter(equal >= F.lit(float(similar)) * F.col("n")).select("leaf", "line", "seed"))
+    del mixed, seed_text, others
+    release(docs.sparkSession)
     named = (
         lines.join(joined, ["leaf", "line"], "left")
         .select(*KEY, "pos", F.coalesce("seed", "line").alias("template"))
@@ -109,7 +115,8 @@ def drop_recurring_lines(
     """
     templates = line_templates(docs, min_docs, similar, doc_id, text)
     later = ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")))
-    dropped = templates.filter(later).groupBy(*KEY).agg(F.collect_set("pos").alias("__dropped"))
+    dropped = pin(templates.filter(later).groupBy(*KEY).agg(F.collect_set("pos").alias("__dropped")))
+    release(docs.sparkSession)
     keyed = drop_clashing(docs, "n_lines", "n_dropped").withColumn("__text", F.xxhash64(whole_text(text)))
     same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("__text") == F.col("k_text"))
     marked = keyed.join(dropped, same, "left").drop(*KEY, "__text")
