@@ -251,12 +251,14 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
         if not left[0]:
             break
         if turn == ROUNDS or left[2] <= OPEN_PAIRS * left[1]:
-            now = state.join(active.select("bucket"), "bucket").filter("open")
+            # A pair is taken in the first bucket that it shares; there it is open too, or else settled.
+            now = state.filter("open").join(active.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node")
             x, y = now.alias("x"), now.alias("y")
             once = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
             near = F.least("x.weight", "y.weight") >= similar * F.greatest("x.weight", "y.weight")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & near)
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & near & shared)
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
             found = pin(verified(pairs))
             known = found if known is None else known.union(found)
@@ -267,7 +269,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
         pairs = others.filter(near).select(*pair("node", "p.node")).distinct()
         pairs = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
         found = pin(verified(pairs))
-        known = found if known is None else pin(known.union(found))
+        known = found if known is None else pin(known.union(found).distinct())
         linked = known.filter(F.col("similarity") >= similar).select("a", "b", F.lit(True).alias("linked"))
         hits = others.withColumns(dict(zip(("a", "b"), (F.least("node", "p.node"), F.greatest("node", "p.node")))))
         hits = hits.join(linked, ["a", "b"]).select("bucket", "label", F.col("p.label").alias("own"))
