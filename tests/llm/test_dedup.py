@@ -184,16 +184,16 @@ def test_one_of_each_class_stays(awkward, empty):
 
 def test_lines_of_recurring_templates_are_dropped(spark):
     stamp = "2024-01-0{} worker {} finished the nightly job without any error"
-    rows = [(k, f"{prose(60 + k, 10)}\n{stamp.format(k, k)}\nuser {n} logged in from the main office today at noon\nEnd.", "", "", 0)
+    rows = [(k, f"{prose(60 + k, 10)}\n{stamp.format(k, k)}\nlogin of {n} came from the main office today at noon\nEnd.", "", "", 0)
             for k, n in enumerate(["ann", "bob", "cleo", "dan", "ann"])]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
     assert got[0].text == rows[0][1] and got[0].n_dropped == 0
     for k in range(1, 5):
-        assert "worker" not in got[k].text and "logged in" not in got[k].text
+        assert "worker" not in got[k].text and "login" not in got[k].text
         assert got[k].n_dropped == 2 and got[k].text.endswith("End.")
     texts = line_templates.template_texts(docs, line_templates.line_templates(docs)).collect()
-    assert ["user", "<*>", "logged"] in [r.tokens[:3] for r in texts]
+    assert ["login", "of", "<*>"] in [r.tokens[:3] for r in texts]
 
 
 def test_lines_on_awkward_rows(awkward, empty):
