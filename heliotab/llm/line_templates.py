@@ -1,9 +1,14 @@
 """Operator 10: line dedup with a tree of log templates, in DataFrame functions only.
 
 A line is parsed to a fixed depth: by its number of tokens, then by its leading tokens, after tokens with digits became
-``<*>``. In a leaf of the tree the line of most documents is the seed; lines that agree with it in a large enough part
-of their tokens belong to its template, in which the differing tokens are variable fields. Every other line is a
-template of its own. Lines of a template that recurs over documents are dropped, except in its first document.
+``<*>``. In a leaf of the tree the line of most documents is the first seed; lines that agree with it in a large enough
+part of their tokens belong to its template, in which the differing tokens are variable fields. Of the lines that are
+left the one of most documents is the next seed, and so on, until every line is a seed or belongs to one. Lines of a
+template that recurs over documents are dropped, except in its first document.
+
+Lines that agree in that part of their tokens have one of so many blocks of tokens in common as there may be differing
+tokens, and one more. So only lines with a common block are compared. A line that has the most documents in all of its
+blocks is a seed; that is repeated, and when few pairs are left, all of them are compared.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliotab.functions.bind import let
 from heliotab.llm.common import drop_clashing, release, row_key, whole_text
 from heliotab.session import pin
 
@@ -20,6 +26,8 @@ SIMILAR = 0.75  # part of the tokens that agrees with the seed
 LEAST_TOKENS = 3  # shorter lines are kept
 GENERAL_TOKENS = 8  # lines from this length can join a seed that differs from them; shorter ones are compared whole
 MIN_DOCS = 3  # documents from which a template recurs
+ROUNDS = 6  # of seeds by blocks, at most; what is open then is compared pair by pair
+OPEN_PAIRS = 2  # these rounds go on while more pairs than this many times the members of blocks are open
 
 KEY = ("k_id", "k_text")
 
@@ -57,6 +65,85 @@ def _spread(lines: DataFrame, *by: str) -> DataFrame:
     return once.groupBy(*by).agg(F.count("one").alias("n_docs"), first)
 
 
+def _agrees(similar: float) -> Column:
+    """Whether ``masked`` and ``seed_masked``, both of ``n`` tokens, agree in a large enough part of them."""
+    pairs = F.arrays_zip(F.split("masked", " ").alias("a"), F.split("seed_masked", " ").alias("b"))
+    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
+    return equal >= F.lit(float(similar)) * F.col("n")
+
+
+def _blocks(left: DataFrame, similar: float) -> DataFrame:
+    """(line, rank, bucket): one row per line and block of its tokens; equal blocks of a leaf have the same bucket.
+
+    There is one block more than tokens may differ. Leading tokens are equal in a leaf, so blocks are cut of the others.
+    """
+    count = (F.floor((1 - F.lit(float(similar))) * F.col("n") + F.lit(1e-9)) + 1).cast("int")
+
+    def hashed(tokens: Column) -> Column:
+        def bucket(b: Column) -> Column:
+            low, high = (F.floor(x * (F.col("n") - LEADING) / count).cast("int") for x in (b, b + 1))
+            return F.xxhash64("leaf", b, F.slice(tokens, low + LEADING + 1, high - low))
+
+        return F.transform(F.sequence(F.lit(0), count - 1), bucket)
+
+    return left.select("line", "rank", F.explode(let(F.split("masked", " "), hashed)).alias("bucket"))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """(line, seed) of agreeing lines (line, seed, rank), ``rank`` being that of the seed, which outranks the line."""
+    joined = edges.select("line", "seed").limit(0)
+    while edges.limit(1).count():
+        # A line that no other outranks is a seed; what agrees with it belongs to it.
+        top = edges.select("seed").distinct().join(edges.select(F.col("line").alias("seed")), "seed", "left_anti")
+        found = pin(edges.join(top, "seed").groupBy("line").agg(F.max_by("seed", "rank").alias("seed")))
+        joined = joined.union(found)
+        edges = edges.join(found.select("line"), "line", "left_anti")
+        edges = pin(edges.join(found.select(F.col("line").alias("seed")), "seed", "left_anti"))
+    return joined
+
+
+def _further_seeds(left: DataFrame, similar: float) -> DataFrame:
+    """(line, seed) of the lines that don't agree with the first seed of their leaf, but with a later one.
+
+    ``left`` are these lines, once each: (leaf, line, n, masked, n_docs). A line outranks those of fewer documents.
+    Each line that isn't a seed agrees with one that outranks it, and no two seeds agree.
+    """
+    kinds = pin(left.select("leaf", "line", "n", "masked", F.struct("n_docs", "line").alias("rank")))
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        seed = kinds.select(F.col("line").alias("seed"), F.col("masked").alias("seed_masked"), "rank")
+        both = pairs.join(kinds.select("line", "n", "masked"), "line").join(seed, "seed")
+        return both.filter(_agrees(similar)).select("line", "seed", "rank")
+
+    state = _blocks(kinds, similar)
+    shared = state.groupBy("bucket").agg(F.count("line").alias("members")).filter("members > 1").select("bucket")
+    state = pin(state.join(shared, "bucket"))
+    joined = kinds.select("line", F.col("line").alias("seed")).limit(0)
+    for turn in range(ROUNDS + 1):
+        tops = state.groupBy("bucket").agg(F.count("line").alias("members"), F.max("rank").alias("top"))
+        tops = pin(tops.filter("members > 1"))
+        open_ = tops.agg(F.count("members"), F.sum("members"), F.sum(F.expr("members * (members - 1) / 2"))).first()
+        if not open_[0]:
+            break
+        live = pin(state.join(tops.select("bucket", "top"), "bucket"))
+        if turn == ROUNDS or open_[2] <= OPEN_PAIRS * open_[1]:
+            x, y = live.alias("x"), live.alias("y")
+            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rank") < F.col("y.rank")))
+            pairs = met.select(F.col("x.line").alias("line"), F.col("y.line").alias("seed")).distinct()
+            joined = joined.union(_settled(pin(agreeing(pairs))))
+            break
+        first = live.groupBy("line").agg(F.every(F.col("rank") == F.col("top")).alias("is_seed"))
+        first = pin(first.filter("is_seed").select("line"))
+        met = live.filter("rank <> top").select("line", F.col("top.line").alias("seed"))
+        pairs = met.join(first.withColumnRenamed("line", "seed"), "seed", "left_semi").distinct()
+        found = pin(agreeing(pairs).groupBy("line").agg(F.max_by("seed", "rank").alias("seed")))
+        joined = joined.union(found)
+        gone = first.union(found.select("line"))
+        state = pin(live.join(gone, "line", "left_anti").select("line", "rank", "bucket"))
+        release(left.sparkSession)
+    return joined
+
+
 def line_templates(
     docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -78,14 +165,16 @@ def line_templates(
     mixed = pin(met.groupBy("leaf", "line", "n", "seed").agg(F.min("masked").alias("masked")))
     release(docs.sparkSession)
     seed_text = mixed.filter("line = seed").select("leaf", F.col("masked").alias("seed_masked"))
-    others = mixed.filter("line <> seed").join(seed_text, "leaf")
-    pairs = F.arrays_zip(F.split("masked", " ").alias("a"), F.split("seed_masked", " ").alias("b"))
-    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    joined = pin(others.filter(equal >= F.lit(float(similar)) * F.col("n")).select("leaf", "line", "seed"))
-    del mixed, seed_text, others
+    compared = mixed.filter("line <> seed").join(seed_text, "leaf").withColumn("agrees", _agrees(similar))
+    compared = pin(compared.drop("seed_masked"))
+    del mixed, seed_text
+    left = compared.filter(~F.col("agrees"))
+    n_docs = _spread(lines.join(left.select("leaf", "line"), ["leaf", "line"], "left_semi"), "line").drop("first")
+    joined = compared.filter("agrees").select("line", "seed")
+    joined = joined.union(_further_seeds(left.join(n_docs, "line"), similar))
     release(docs.sparkSession)
     named = (
-        lines.join(joined, ["leaf", "line"], "left")
+        lines.join(joined, "line", "left")
         .select(*KEY, "pos", F.coalesce("seed", "line").alias("template"))
     )
     recurring = _spread(named, "template").filter(F.col("n_docs") >= min_docs)

@@ -204,3 +204,37 @@ def test_lines_on_awkward_rows(awkward, empty):
     kept = sum(r.n_lines - r.n_dropped for r in rows.values())
     assert kept > 0 and any(r.n_dropped for r in rows.values())
     assert line_templates.drop_recurring_lines(empty).count() == 0
+
+
+def test_every_family_of_a_leaf_is_found(spark):
+    families = ["in the office of {} the lights went out at noon today", "in the report {} found three new faults on every flat roof",
+                "in the end {} sold all of the old panels to a"]
+    names = [["ann"] * 4 + ["bob"], ["cleo", "dan", "eve", "fay", "gus"], ["hal", "ian", "joy", "kim", "lee"]]
+    rows = [(k, "\n".join(f.format(n[k]) for f, n in zip(families, names)), "", "", 0) for k in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len({(len(f.split()), *f.split()[:2]) for f in families}) == 1
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert got == {0: (0, rows[0][1])} | {k: (3, "") for k in range(1, 5)}
+
+
+@pytest.mark.parametrize("rounds, pairs", [(line_templates.ROUNDS, line_templates.OPEN_PAIRS), (20, -1), (0, 0)])
+def test_seeds_equal_those_taken_one_by_one(spark, monkeypatch, rounds, pairs):
+    monkeypatch.setattr(line_templates, "ROUNDS", rounds)
+    monkeypatch.setattr(line_templates, "OPEN_PAIRS", pairs)
+    rng, lines = random.Random(6), []
+    bases = [[rng.choice("abcd") for _ in range(n)] for n in (8, 9, 14) for _ in range(6)]
+    for _ in range(250):
+        line = list(rng.choice(bases))
+        for _ in range(rng.randrange(5)):
+            line[rng.randrange(2, len(line))] = rng.choice("abcdxyz")
+        lines.append(" ".join(["to", "be", *line[2:]]))
+    docs = spark.createDataFrame([(k, x, "", "", 0) for k, x in enumerate(lines)], SCHEMA)
+    got = {r.k_id: r.template for r in line_templates.line_templates(docs, min_docs=1).collect()}
+    digest = {x: hashlib.md5(x.encode()).digest() for x in lines}
+    seeds = []
+    for x in sorted(set(lines), key=lambda x: (lines.count(x), digest[x]), reverse=True):
+        agree = [s for s in seeds if len(s) == len(x) and sum(map(str.__eq__, x.split(), s.split())) >= 0.75 * len(x.split())]
+        joined = {bytes(got[k]) for k, y in enumerate(lines) if y == x}
+        assert joined <= {digest[s] for s in agree or [x]} and len(joined) == 1
+        seeds += [] if agree else [x]
+    assert len(seeds) > 20
