@@ -1,7 +1,7 @@
 """Operator 10: line dedup with a tree of log templates, in DataFrame functions only.
 
 A line is parsed to a fixed depth: by its number of tokens, then by its leading tokens, after tokens with digits became
-``<*>``. In a leaf of the tree the line of most documents is the first seed; lines that agree with it in a large enough
+``<*>``. Lines that would have too few other tokens, as rows of numbers, are compared whole and unmasked. In a leaf of the tree the line of most documents is the first seed; lines that agree with it in a large enough
 part of their tokens belong to its template, in which the differing tokens are variable fields. Of the lines that are
 left the one of most documents is the next seed, and so on, until every line is a seed or belongs to one. Lines of a
 template that recurs over documents are dropped, except in its first document.
@@ -25,6 +25,7 @@ LEADING = 2  # leading tokens that lead to a leaf
 SIMILAR = 0.75  # part of the tokens that agrees with the seed
 LEAST_TOKENS = 3  # shorter lines are kept
 GENERAL_TOKENS = 8  # lines from this length can join a seed that differs from them; shorter ones are compared whole
+LEAST_FIXED = 2  # tokens without a digit that a masked line has, and at least half of all; others are compared unmasked
 MIN_DOCS = 3  # documents from which a template recurs
 ROUNDS = 6  # of seeds by blocks, at most; what is open then is compared pair by pair
 OPEN_PAIRS = 2  # these rounds go on while more pairs than this many times the members of blocks are open
@@ -33,12 +34,27 @@ KEY = ("k_id", "k_text")
 
 
 def masked_line(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as ``<*>``. Patterns only run over lines that need them."""
+    """Tokens joined by one space, those with a digit as ``<*>`` if enough others are left; else all as they are.
+
+    Patterns only run over lines that need them.
+    """
     odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
     for space in "\t\r\x0b\x0c":
         odd = odd | line.contains(space)
     even = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", WILD)).otherwise(even)
+
+    def known(even: Column) -> Column:
+        return let(F.regexp_replace(even, "[^ ]*[0-9][^ ]*", WILD), lambda m: F.when(_enough_fixed(m), m).otherwise(even))
+
+    return F.when(line.rlike("[0-9]"), let(even, known)).otherwise(even)
+
+
+def _enough_fixed(masked: Column) -> Column:
+    def enough(tokens: Column) -> Column:
+        fixed = F.size(F.filter(tokens, lambda t: t != WILD))
+        return (fixed >= LEAST_FIXED) & (2 * fixed >= F.size(tokens))
+
+    return let(F.split(masked, " "), enough)
 
 
 def _n_tokens(masked: Column) -> Column:
@@ -46,14 +62,16 @@ def _n_tokens(masked: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All lines: key of the document, position, masked line, number of tokens, digest, leaf.
+    """All lines: key of the document, position, masked line, number of tokens, digest, leaf (null without one).
 
     No filter stands here: it would be pushed down and mask every line a second time.
     """
     split = docs.select(*row_key(doc_id, text), F.posexplode(F.split(whole_text(text), "\n")).alias("pos", "line"))
     masked = split.select(*KEY, "pos", masked_line(F.col("line")).alias("masked"))
     counted = masked.withColumn("n", _n_tokens(F.col("masked")))
-    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEADING))
+    # Lines without enough fixed tokens stand in no leaf: they are compared whole.
+    fixed = ~F.col("masked").rlike("[0-9]") & (~F.col("masked").contains(WILD) | _enough_fixed(F.col("masked")))
+    leaf = F.when(fixed, F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
     return counted.withColumns({"line": F.unhex(F.md5("masked")), "leaf": leaf})
 
 
@@ -66,10 +84,17 @@ def _spread(lines: DataFrame, *by: str) -> DataFrame:
 
 
 def _agrees(similar: float) -> Column:
-    """Whether ``masked`` and ``seed_masked``, both of ``n`` tokens, agree in a large enough part of them."""
+    """Whether ``masked`` and ``seed_masked``, both of ``n`` tokens, agree in a large enough part of those that are fixed.
+
+    Tokens that are ``<*>`` in both count neither as equal nor as different.
+    """
     pairs = F.arrays_zip(F.split("masked", " ").alias("a"), F.split("seed_masked", " ").alias("b"))
-    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    return equal >= F.lit(float(similar)) * F.col("n")
+
+    def agrees(equal: Column) -> Column:
+        fixed = F.size(F.filter(equal, lambda p: p["a"] != WILD))
+        return fixed >= F.lit(float(similar)) * (F.col("n") - F.size(equal) + fixed)
+
+    return let(F.filter(pairs, lambda p: p["a"] == p["b"]), agrees)
 
 
 def _blocks(left: DataFrame, similar: float) -> DataFrame:
@@ -153,7 +178,7 @@ def line_templates(
     """
     lines = pin(_lines(docs, doc_id, text).select(*KEY, "pos", "line", "leaf", "n"))
     lines = lines.filter(F.col("n") >= LEAST_TOKENS)
-    per_line = _spread(lines.filter(F.col("n") >= GENERAL_TOKENS), "leaf", "line")
+    per_line = _spread(lines.filter((F.col("n") >= GENERAL_TOKENS) & F.col("leaf").isNotNull()), "leaf", "line")
     seeds = (
         per_line.groupBy("leaf")
         .agg(F.count("line").alias("kinds"), F.max_by("line", F.struct("n_docs", "line")).alias("seed"))
