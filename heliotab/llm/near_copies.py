@@ -6,6 +6,8 @@ of one band are candidates. Candidates are verified by the weighted Jaccard simi
 
 Document frequencies are counted over all documents in a table of fixed size, by the hash of the shingle. A shingle in
 fewer than COMMON of the documents has the full weight 1; beyond, the weight falls with the logarithm of its frequency.
+Copies would so depress their own shingles. Therefore documents that share a band of plain min-hashes with many others
+count as one document together.
 
 Texts with equal words are one node from the start. In a bucket of a band a pivot is compared with all others; those
 that are linked to it need no comparison with each other. That is repeated for the pairs that are still open, and when
@@ -43,6 +45,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 BUCKETS = 1 << 18  # of the table of document frequencies
 COMMON = 0.1  # part of all documents
+PLAIN_BANDS, PLAIN_ROWS = 8, 3  # of the plain min-hashes
+LARGE = 0.001  # part of all documents from which a group of copies is counted as one; so few groups are broadcast
 ROUNDS = 4  # of pivots, at most; what is open then is verified pair by pair
 OPEN_PAIRS = 1  # pivots go on while more pairs than this many times the bucket members are open
 
@@ -80,25 +84,79 @@ def shingles(column: pa.Array):
     return hashed[heads], count, np.bincount(owner[heads], minlength=rows), digests
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(BUCKETS, dtype=np.int64), 0
+def plain_bands(hashed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of plain min-hashes (rows x PLAIN_BANDS), and which of them have any shingle.
+
+    Shingles are dealt over the min-hashes by their hash. ``hashed`` ascends within a row, so the first of each is taken.
+    """
+    many = PLAIN_BANDS * PLAIN_ROWS
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    mixed = mix64(hashed)
+    least = np.zeros(len(sizes) * many, dtype=np.uint64)
+    place = owner * many + (mixed % np.uint64(many)).astype(np.int64)
+    least[place[::-1]] = hashed[::-1] + np.uint64(1)  # the last one written stays
+    least = least.reshape(len(sizes), PLAIN_BANDS, PLAIN_ROWS)
+    key = np.zeros(least.shape[:2], dtype=np.uint64)
+    for k in range(PLAIN_ROWS):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
+    return key + np.arange(PLAIN_BANDS, dtype=np.uint64), least.any(axis=2)
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices_by_bytes(batch):
             hashed, _, sizes, _ = shingles(part.column(0))
-            total += np.bincount((hashed & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            docs += int((sizes > 0).sum())
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(total[seen], docs))], ["bucket", "n"]
-    )
+            bands, full = plain_bands(hashed, sizes)
+            bucket, n = np.unique(bands[full].astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+            docs = int((sizes > 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs], pa.int64())], ["bucket", "n"])
+
+
+def _frequencies(groups):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_of, members = groups.value
+        total, docs = np.zeros(BUCKETS), 0.0
+        for batch in batches:
+            for part in slices_by_bytes(batch):
+                hashed, _, sizes, _ = shingles(part.column(0))
+                share = np.ones(len(sizes))
+                if len(bucket_of):
+                    bands, full = plain_bands(hashed, sizes)
+                    bands = bands.astype(np.int64)
+                    at = np.minimum(np.searchsorted(bucket_of, bands), len(bucket_of) - 1)
+                    share = 1 / np.where(full & (bucket_of[at] == bands), members[at], 1).max(axis=1)
+                bucket = (hashed & np.uint64(BUCKETS - 1)).astype(np.int64)
+                total += np.bincount(bucket, np.repeat(share, sizes), minlength=BUCKETS)
+                docs += float(share[sizes > 0].sum())
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(total[seen], docs))], ["bucket", "n"]
+        )
+
+    return count
 
 
 def shingle_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Weight (idf) by bucket of a shingle's hash, float32 of the fixed size BUCKETS; counted over all documents."""
-    partial = docs.select(F.lower(whole_text(text)).alias("text")).mapInArrow(_frequencies, "bucket int, n bigint")
+    """Weight (idf) by bucket of a shingle's hash, float32 of the fixed size BUCKETS; counted over all documents.
+
+    A document counts 1/n, n being the members of the largest bucket of plain min-hashes that it stands in, if that is
+    a part of at least LARGE of the documents; else 1. At most PLAIN_BANDS / LARGE buckets are that large.
+    """
+    spark = docs.sparkSession
+    lowered = docs.select(F.lower(whole_text(text)).alias("text"))
+    plain = pin(lowered.mapInArrow(_plain, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")))
+    release(spark)
+    many = plain.filter("bucket IS NULL").agg(F.max("n")).first()[0] or 0
+    large = plain.filter(F.col("bucket").isNotNull() & (F.col("n") >= max(2.0, LARGE * many)))
+    large = large.orderBy("bucket").toArrow()
+    groups = spark.sparkContext.broadcast((large["bucket"].to_numpy(), large["n"].to_numpy()))
+    rows = lowered.mapInArrow(_frequencies(groups), "bucket int, n double")
+    # Sums of fractions depend on their order; rounded ones don't.
+    partial = rows.select("bucket", F.round(F.col("n") * (1 << 20)).cast("bigint").alias("n"))
     rows = partial.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    docs_seen = max(1, int(n[bucket == -1].sum()))
+    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy() / (1 << 20)
+    docs_seen = max(1.0, n[bucket == -1].sum())
     frequency = np.zeros(BUCKETS)
     frequency[bucket[bucket >= 0]] = n[bucket >= 0]
     share = np.clip(frequency / docs_seen, 1e-12, 1)

@@ -252,3 +252,19 @@ def test_rows_of_numbers_stay(spark):
     for k in range(1, 5):  # equal rows and lines with enough words still recur
         want[k] = want[k].replace("\nsum 1 2 3", "").replace(f"\npage {k} of 9", "")
     assert got == want
+
+
+def test_links_do_not_depend_on_the_number_of_copies(spark):
+    base = prose(70, 103)
+    copies = [base, *[edited(base, 900 + k, 2) for k in range(100)]]
+    bags = [set(near_copies.shingles(pa.array([t.lower()]))[0].tolist()) for t in copies]
+    near = {k for k in range(1, 101) if len(bags[0] & bags[k]) >= 0.81 * len(bags[0] | bags[k])}
+    assert len(near) > 50
+    for rows in (2020, 303, 202):  # 5, 33 and 50 %
+        others = [prose(2000 + k, 30) for k in range(rows - len(copies))]
+        docs = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(copies + others)], SCHEMA)
+        got = {r.k_id: r.class_id for r in near_copies.near_copy_classes(docs).collect()}
+        assert all(got[k] == 0 for k in near)
+        weights = near_copies.shingle_weights(docs)
+        hashed = near_copies.shingles(pa.array([base.lower()]))[0]
+        assert weights[(hashed & np.uint64(near_copies.BUCKETS - 1)).astype(int)].min() > 0.9
