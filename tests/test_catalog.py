@@ -1,10 +1,17 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
 from check import normalise
+from heliotab.catalog import all_queries
 from heliotab.catalog.views import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +50,17 @@ def test_entry(spark):
     report = entry_point.entry(spark)
     assert report.columns[0] == "session"
     assert report.count() == 15
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_point_lives_without_the_subpackage(tmp_path, with_pipeline):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "heliotab", tmp_path / "heliotab", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * with_pipeline:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), 'Q1' in q, 'Q1' in o, 'pipeline' in q)"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": ""})
+    assert ran.returncode == 0, ran.stderr
+    n, *flags = ran.stdout.split()
+    assert int(n) == len(all_queries()[0]) and flags == ["True", "True", "False"]
