@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotab.llm.audio import media_digests
+from heliotab.llm.bit_slices import top_scores
 from heliotab.llm.common import table
+from heliotab.llm.gnat_codes import vector_codes
 from heliotab.llm.license_scan import scan_licenses
 from heliotab.llm.line_templates import drop_recurring_lines
 from heliotab.llm.mixing import plan_mix
@@ -18,6 +20,7 @@ from heliotab.llm.neighbours import nearest_neighbours
 from heliotab.llm.piece_codec import piece_digests
 from heliotab.llm.quality import quality
 from heliotab.llm.repeats import repeat_digests
+from heliotab.llm.subvector_clusters import subvector_clusters
 from heliotab.llm.toxic_spans import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +166,103 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs over documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_recurring_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+# Vectors without null or non-finite components, as whole numbers; r tells rows apart.
+WHOLE = """
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+# floor(s / n); the operator // cuts towards 0.
+FLOOR_MEAN = "(s - ((s % n) + n) % n) // n"
+SQUARED = "CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+OP11 = f"""
+WITH {WHOLE.format(scale=1024)},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_bit_sliced_search", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten other vectors with the largest inner product for every vector whose id is divisible by 100."""
+    return top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    steps = [
+        WHOLE.format(scale=4096),
+        """parts AS MATERIALIZED (
+  SELECT r, vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS s FROM kept, range(8) t(p))""",
+        """b0 AS MATERIALIZED (
+  SELECT p, e, s FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s FROM parts)
+  WHERE e < 16)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, d * 16 + e) AS e, min(d) AS d
+  FROM (SELECT r, p, e, {SQUARED.format(a="parts.s", b=f"b{k}.s")} AS d FROM parts JOIN b{k} USING (p))
+  GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.s, b{k}.s) AS s
+  FROM b{k} LEFT JOIN (
+    SELECT p, e, list({FLOOR_MEAN} ORDER BY i) AS s
+    FROM (SELECT p, e, i, CAST(sum(s[i]) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT p, e, s, unnest(range(1, len(s) + 1)) AS i FROM a{k} JOIN parts USING (r, p)) GROUP BY p, e, i)
+    GROUP BY p, e) m USING (p, e))""")
+    steps.append(f"""coded AS (
+  SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+@query("op12_gnat_codes", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as the codes of its eight parts, with its error and that of its label."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    steps = [
+        WHOLE.format(scale=1024),
+        "used AS MATERIALIZED (SELECT r, vec_id, v FROM kept WHERE len(v) = 64)",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v FROM used QUALIFY c < 8)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, d * 8 + c) AS c, min(d) AS d
+  FROM (SELECT r, c, {SQUARED.format(a="used.v", b=f"c{k}.v")} AS d FROM used, c{k}) GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, c{k}.v) AS v
+  FROM c{k} LEFT JOIN (
+    SELECT c, list({FLOOR_MEAN} ORDER BY i) AS v
+    FROM (SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{k} JOIN used USING (r)) GROUP BY c, i)
+    GROUP BY c) m USING (c))""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN used USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+@query("op13_subvector_clusters", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after ten rounds from eight hashed starts."""
+    return subvector_clusters(table(spark, sf_dir, "embeddings"))
