@@ -43,14 +43,18 @@ class Block:
         self.shift = max(0, span.bit_length() - slices)
         kept = (values - self.low) >> self.shift
         self.bits = int(kept.max()).bit_length() if width else 0
-        flags = np.zeros((width, self.bits, -(-n // 64) * 64), dtype=np.uint8)
+        words = -(-n // 64)
+        flags = np.zeros((width, self.bits, words * 64), dtype=np.uint8)
         for b in range(self.bits):
             flags[:, b, :n] = ((kept >> b) & 1).T
-        planes = np.packbits(flags, axis=-1, bitorder="little").view(np.uint64).reshape(width * self.bits, -1)
+        self._hold(np.packbits(flags, axis=-1, bitorder="little").view(np.uint64).reshape(width * self.bits, words))
+
+    def _hold(self, planes: np.ndarray) -> None:
+        n = len(self.ids)
         self.planes = np.concatenate([planes, ~planes])
-        every = np.zeros(-(-n // 64) * 64, dtype=np.uint8)
-        every[:n] = 1
-        self.every = np.packbits(every, bitorder="little").view(np.uint64)
+        self.every = np.full(-(-n // 64), np.iinfo(np.uint64).max, dtype=np.uint64)
+        if n % 64:
+            self.every[-1] = (1 << n % 64) - 1
 
     def dumps(self) -> dict[str, bytes]:
         return {
@@ -66,17 +70,12 @@ class Block:
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.known = np.frombuffer(known, dtype=bool)
         self.values = np.frombuffer(rest, dtype=np.int32).astype(np.int64).reshape(len(self.ids), width)
-        n = len(self.ids)
         self.low = self.values.min(axis=0)
-        words = -(-n // 64)
-        planes = np.frombuffer(planes, dtype=np.uint64).reshape(-1, words)
+        planes = np.frombuffer(planes, dtype=np.uint64).reshape(-1, -(-len(self.ids) // 64))
         self.bits = len(planes) // width if width else 0
         span = int((self.values - self.low).max()) if width else 0
         self.shift = max(0, span.bit_length() - self.bits)
-        self.planes = np.concatenate([planes, ~planes])
-        self.every = np.full(words, np.iinfo(np.uint64).max, dtype=np.uint64)
-        if n % 64:
-            self.every[-1] = (1 << n % 64) - 1
+        self._hold(planes)
         return self
 
     def add(self, weights: np.ndarray) -> list[np.ndarray]:
