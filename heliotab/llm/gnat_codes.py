@@ -169,7 +169,10 @@ def vector_codes(
     main = lengths.filter((F.col("width") % parts == 0) & (F.col("width") > 0)).orderBy(F.desc("count"), "width").first()
     width = main["width"] if main else 0
     alike = rows.filter(F.size("v") == width) if width else rows.limit(0)
-    first = alike.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.asc_nulls_last("vec_id")).limit(entries)
+    # At most ``entries`` ids, so that only their vectors are grouped.
+    ids = alike.select(F.col("vec_id").alias("id")).distinct().orderBy(F.asc_nulls_last("id")).limit(entries)
+    first = alike.join(F.broadcast(ids), F.col("vec_id").eqNullSafe(F.col("id")), "left_semi")
+    first = first.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.asc_nulls_last("vec_id"))
     start = floors(first.select("v").toArrow().column(0).combine_chunks(), width, scale)
     books = [Codebook(part, degree) for part in _parts(start, parts)] if width else []
     for _ in range(rounds if width else 0):
