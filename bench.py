@@ -14,7 +14,7 @@ from heliotab.catalog import all_queries
 from heliotab.session import local_session
 
 HEADLINE = (
-    "Q1", "Q1_features", "Q2", "Q3", "Q4", "Q5", "S6", "S4", "S8", "S10", "K1", "J1", "J3", "J4", "J6", "J10", "J11",
+    "Q1", "Q1_features", "Q2", "Q3", "Q4", "Q5", "S6", "S4", "S8", "S10", "K1", "J1", "J3", "J4", "J6", "J10", "J11", "J11_large",
     "A1", "A2", "A5", "A9", "A12", "A13", "W2", "W3", "W5", "W6", "W7", "W8", "W9", "P8", "P20", "P23", "P25", "P27",
     "F1", "T1", "T3", "U1", "U3",
 )

@@ -209,8 +209,49 @@ ZOOM = 4
     f"WITH {_tile_grid(ZOOM)} SELECT source, cast(tx AS int) AS x, cast(ty AS int) AS y, cast(p AS int) AS pos, round(val, 4) + 0 AS v FROM z",
 )
 def j11(t):
-    covered = tiles.covering_tiles(tiles.source_bounds(t.spread(t("v_rasters"))), ZOOM)
-    return pixels(tiles.reproject_tiles(covered, TILE), ["source", "x", "y"], digits=4)
+    return pixels(tiles.reproject_tiles(t.spread(t("v_rasters")), ZOOM, TILE), ["source", "x", "y"], digits=4)
+
+
+# Planes of 640 x 512 pixels, one for a hundred vectors, whose pixels are 15 cm wide.
+_LARGE = """
+    SELECT cast(part AS string) AS source, 0 AS band, 512 AS h, 640 AS w, 3857 AS epsg, cast(part * 211 + 1000 AS double) AS x0,
+           cast(2000 - part * 97 AS double) AS y0, cast(0.15 AS double) AS dx, cast(0.15 AS double) AS dy, min_by(embedding, vec_id) AS v
+    FROM (SELECT *, cast(floor(vec_id / 100) AS bigint) AS part FROM embeddings) e GROUP BY part"""
+LARGE_ZOOM = 20
+
+
+def _large_tiles(zoom: int) -> str:
+    side = f"(2 * pi() * cast(6378137 AS double) / {1 << zoom})"
+    half = "(pi() * cast(6378137 AS double))"
+    at = "(cast(v[cast({c} AS int) % 64 + 1] AS double) * (cast({r} AS int) % 7 + 1))"
+    corner = lambda r, c: at.format(r=r, c=c)
+    next_r, next_c = "least(r + 1, h - 1)", "least(c + 1, w - 1)"
+    return f"""
+    WITH l AS ({_LARGE}),
+    tx AS (SELECT *, unnest(range(cast(floor((x0 + {half}) / {side}) AS int), cast(floor((x0 + w * dx + {half}) / {side}) AS int) + 1)) AS x FROM l),
+    tt AS (SELECT *, unnest(range(cast(floor(({half} - y0) / {side}) AS int), cast(floor(({half} - y0 + h * dy) / {side}) AS int) + 1)) AS y FROM tx),
+    g AS (SELECT *, unnest(range(0, 65536)) AS p FROM tt),
+    q AS (SELECT *, (x * {side} - {half} + (p % 256 + 0.5) * {side} / 256 - x0) / dx AS pu,
+                 (y0 - ({half} - y * {side} - (p // 256 + 0.5) * {side} / 256)) / dy AS pv FROM g),
+    f AS (SELECT *, greatest(0, least(w - 1, pu - 0.5)) AS fu, greatest(0, least(h - 1, pv - 0.5)) AS fv FROM q),
+    k AS (SELECT *, cast(floor(fu) AS int) AS c, cast(floor(fv) AS int) AS r FROM f)
+    SELECT source, cast(x AS int) AS x, cast(y AS int) AS y, count(*) FILTER (WHERE val <> 0) AS n, round(sum(val), 3) + 0 AS total
+    FROM (SELECT source, x, y, CASE WHEN pu >= 0 AND pu < w AND pv >= 0 AND pv < h THEN
+            ({corner("r", "c")} * (1 - (fu - c)) + {corner("r", next_c)} * (fu - c)) * (1 - (fv - r)) +
+            ({corner(next_r, "c")} * (1 - (fu - c)) + {corner(next_r, next_c)} * (fu - c)) * (fv - r) ELSE 0 END AS val FROM k) z
+    GROUP BY source, x, y"""
+
+
+@query("J11_large", _large_tiles(LARGE_ZOOM))
+def j11_large(t):
+    """Full-size planes at a high zoom: pixels that aren't 0 and their sum, per tile."""
+    pixel = "transform(sequence(0, 640 * 512 - 1), i -> cast(v[i % 640 % 64] AS double) * (cast(i / 640 AS int) % 7 + 1)) AS px"
+    large = t.sql(_LARGE).selectExpr("source", "band", "h", "w", "epsg", "x0", "y0", "dx", "dy", pixel)
+    found = tiles.reproject_tiles(t.spread(large), LARGE_ZOOM)
+    total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v)
+    return found.select(
+        "source", "x", "y", F.size(F.filter("px", lambda v: v != 0)).cast("bigint").alias("n"), (F.round(total, 3) + F.lit(0.0)).alias("total")
+    )
 
 
 @query(

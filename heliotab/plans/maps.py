@@ -22,5 +22,4 @@ def layers(planes: DataFrame) -> DataFrame:
 
 def map_tiles(planes: DataFrame, zoom: int, tile_size: int = geo.TILE_SIZE) -> DataFrame:
     """Stretched tiles (source, band, z, x, y, px) of one zoom level."""
-    covered = tiles.covering_tiles(tiles.source_bounds(planes), zoom)
-    return tiles.stretched_tiles(tiles.reproject_tiles(covered, tile_size)).select("source", "band", "z", "x", "y", "px")
+    return tiles.reproject_tiles(planes, zoom, tile_size, stretch=True)
