@@ -58,7 +58,8 @@ def t2(t):
 )
 def t3(t):
     lines = _stream(t, "events", "SELECT job_id AS channel, seq, line FROM v_logs")
-    return log_streams.last_n(_stored(t, "t3", log_streams.stream_last_n(lines)))
+    buffers = _stored(t, "t3", log_streams.stream_last_n(lines), log_streams.replace_buffers)
+    return log_streams.last_n(buffers).select("channel", "seq", "line")
 
 
 @query(

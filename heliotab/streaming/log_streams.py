@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from heliotab.functions import logs, planes
 
@@ -48,33 +48,57 @@ def last_n(lines: DataFrame, n: int = BUFFER_LINES, channel: str = "channel", se
     return lines.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= n).drop("__r")
 
 
+BUFFER = "channel string, shard int, seq bigint, line string"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Buffer(StatefulProcessor):
+    """The newest n lines of one shard of a channel, as list state."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getListState("lines", "seq bigint, line string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.lines.get()) if self.lines.exists() else [], columns=["seq", "line"])
+        for batch in rows:
+            held = pd.concat([held, batch[["seq", "line"]]]).sort_values(["seq", "line"], kind="stable").tail(self.n)
+        held["seq"] = held["seq"].astype("int64")
+        self.lines.put(list(held.itertuples(index=False, name=None)))
+        yield held.assign(channel=key[0], shard=key[1])[["channel", "shard", "seq", "line"]]
+
+    def close(self) -> None:
+        pass
+
+
 def stream_last_n(stream: DataFrame, n: int = BUFFER_LINES, shards: int = SHARDS) -> DataFrame:
-    """Bounded buffer per channel over a stream of (channel, seq, line).
+    """Bounded buffer per channel over a stream of (channel, seq, line); lines without a number are dropped.
 
-    A channel is split into shards by line number, each with its own state of at most n line numbers, so a busy channel
-    is not one task. A line is emitted if it enters the buffer of its shard; the newest n of a channel are among these,
-    and :func:`last_n` over the emitted lines gives the buffer.
+    A channel is split into shards by line number, so a busy channel is not one task. Each shard holds its newest n
+    lines as state in the RocksDB store; an older line gives way to a newer one by its number, whatever order they come
+    in. In update mode the shards that a batch has touched are emitted whole; :func:`replace_buffers` keeps them as a
+    table of at most n rows a channel and shard, and :func:`last_n` over that table gives the buffer.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    shard = F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard")
+    lines = stream.select("channel", F.col("seq").cast("bigint").alias("seq"), "line", shard).filter("seq IS NOT NULL")
+    return lines.groupBy("channel", "shard").transformWithStateInPandas(_Buffer(n), BUFFER, "Update", "None")
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        entered = pd.DataFrame({"channel": pd.Series(dtype=str), "seq": pd.Series(dtype="int64"), "line": pd.Series(dtype=str)})
-        for batch in batches:
-            entered = pd.concat([entered, batch[["channel", "seq", "line"]]]).nlargest(n, "seq")
-        merged = sorted([*held, *entered["seq"].tolist()])[-n:]
-        state.update((merged,))
-        yield entered[entered["seq"] >= merged[0]] if merged else entered
-
-    sharded = stream.select(
-        "channel", F.col("seq").cast("bigint").alias("seq"), "line", F.pmod(F.xxhash64("seq"), F.lit(shards)).alias("shard")
-    )
-    return sharded.groupBy("channel", "shard").applyInPandasWithState(
-        keep,
-        "channel string, seq bigint, line string",
-        "held array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+
+def replace_buffers(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Buffers of :func:`stream_last_n` as a table, everything available so far. A batch replaces the shards that it
+    emits and no others, so that the table is as bounded as the state and a batch that is repeated changes nothing."""
+    # A null channel and an empty one are told apart.
+    part = F.concat_ws("-", F.col("shard").cast("string"), F.coalesce(F.concat(F.lit("c"), "channel"), F.lit("n")))
+
+    def store(batch: DataFrame, _: int) -> None:
+        writer = batch.withColumn("part", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(path)
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.outputMode("update").trigger(availableNow=True).start()
 
 
 def write_run_logs(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

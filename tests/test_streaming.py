@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from heliotab.sources.log_stream import read_log_stream
@@ -20,23 +22,46 @@ def drain(spark, stream, tmp_path, write=log_streams.append_to_table):
 
 def numbered(stream):
     return stream.select(
-        F.regexp_extract("line", r"#(\d+)", 1).cast("bigint").alias("seq"),
+        F.regexp_extract("line", r"#(\d+)", 1).try_cast("bigint").alias("seq"),
         F.regexp_extract("line", r"^(\w+)", 1).alias("channel"),
         "line",
     )
 
 
-def test_last_lines_over_many_batches(spark, tmp_path):
-    lines = [f"{'hot' if i % 4 else 'cold'} #{i}" for i in range(600)]
-    write_lines(tmp_path / "in", [lines[i : i + 100] for i in range(0, 600, 100)])
-    stream = numbered(read_log_stream(spark, str(tmp_path / "in"), files_per_batch=1))
-    emitted = drain(spark, log_streams.stream_last_n(stream, n=20, shards=4), tmp_path)
-    got = {(r.channel, r.seq) for r in log_streams.last_n(emitted, 20).collect()}
-    want = set()
-    for channel in ("hot", "cold"):
-        seqs = [i for i in range(600) if (i % 4 > 0) == (channel == "hot")][-20:]
-        want |= {(channel, i) for i in seqs}
-    assert got == want
+def test_buffers_stay_bounded_over_many_batches(spark, tmp_path):
+    n, shards = 15, 3
+    rng = random.Random(5)
+    numbers = list(range(700))
+    # Out of order by up to some fifty lines, and each batch partly again.
+    numbers.sort(key=lambda i: i + rng.randrange(50))
+    (tmp_path / "in").mkdir()
+    seen = set()
+    for b in range(7):
+        batch = numbers[b * 100 : (b + 1) * 100]
+        lines = [f"{'hot' if i % 4 else 'cold'} #{i}" for i in batch] + ["late #"]
+        (tmp_path / "in" / f"part{b:03d}.log").write_text("\n".join(lines) + "\n")
+        seen |= set(batch)
+        stream = numbered(read_log_stream(spark, str(tmp_path / "in"), files_per_batch=1))
+        buffers = drain(spark, log_streams.stream_last_n(stream, n, shards), tmp_path, log_streams.replace_buffers)
+        counts = buffers.groupBy("channel", "shard").count().collect()
+        assert counts and max(r["count"] for r in counts) <= n and len(counts) <= 2 * shards
+        got = {(r.channel, r.seq) for r in log_streams.last_n(buffers, n).collect()}
+        want = set()
+        for channel in ("hot", "cold"):
+            want |= {(channel, i) for i in sorted(i for i in seen if (i % 4 > 0) == (channel == "hot"))[-n:]}
+        assert got == want
+    assert max(r["count"] for r in counts) == n
+
+
+def test_buffers_of_null_and_empty_channels(spark, tmp_path):
+    write_lines(tmp_path / "in", [["a #1", "b #2"], ["a #3", "c #4", "b #5"]])
+    stream = read_log_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    channel = F.when(C("line").startswith("a"), F.lit(None)).when(C("line").startswith("b"), F.lit("")).otherwise(F.lit("7"))
+    rows = numbered(stream).withColumn("channel", channel)
+    buffers = drain(spark, log_streams.stream_last_n(rows, 1, 1), tmp_path, log_streams.replace_buffers).collect()
+    assert sorted((r.channel is None, r.channel or "", r.seq, r.line) for r in buffers) == [
+        (False, "", 5, "b #5"), (False, "7", 4, "c #4"), (True, "", 3, "a #3"),
+    ]
 
 
 def test_job_status(spark, tmp_path):
