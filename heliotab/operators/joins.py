@@ -6,6 +6,10 @@ AQE splits skewed partitions of the others.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ THERMAL_FOLDERS = ("thermal", "Thermal", "THERMAL", "ir", "IR")
 STEM_ENDINGS = (("_T_JPG", "_T"), ("_JPG", ""), ("_T", ""))
 BARE_ENDING = "_T_JPG"
 THERMAL_EXTENSIONS = (".tif", ".tiff", ".TIF", ".TIFF")
+PATTERNS = 20_000  # names in one automaton
+_BEST = ("shorter", "name", "path")  # order of preference: the longest name first
 WEIGHT_NAMES = ("model_final.pth", "model_best.pth", "model.pth")
 FINAL_WEIGHTS = "model_final.pth"
 
@@ -102,20 +108,73 @@ def _stem_variants(stem: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(stem, shortened[0], bare, *shortened[1:])))
 
 
-def _substrings(df: DataFrame, text: str, lengths: str, out: str) -> DataFrame:
-    """Rows with every distinct substring of ``text`` whose length is in the list ``lengths``."""
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(F.col(lengths), lambda n: n <= F.length(text)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)),
-                    lambda p: F.substr(F.col(text), p, n),
-                ),
-            )
-        )
-    )
-    return df.withColumn(out, F.explode(pieces)).drop(lengths)
+def _contained(images: DataFrame, files: DataFrame) -> DataFrame:
+    """For each (split, low) of ``images`` the best file of that split whose ``low`` contains it or lies in it.
+
+    ``files`` has (split, low, best). Once the images' names are sought in the files' names, once the other way round:
+    the names sought go into automata of at most PATTERNS of a split, and the names to read stream past them. A task
+    holds one automaton and a best file per name in it, whatever a folder holds; nothing is listed pair by pair.
+    """
+    kind = files.schema["best"].dataType.simpleString()
+    sides = [(images.withColumn("best", F.lit(None).cast(kind)), files), (files, images.withColumn("best", F.lit(None).cast(kind)))]
+    parts = []
+    for side, (sought, read) in enumerate(sides):
+        blocks = sought.groupBy("split").agg(F.ceil(F.count("*") / PATTERNS).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("low"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        for turn, (names_, place) in enumerate(((sought, block), (read, every))):
+            joined = names_.join(blocks, "split").withColumn("block", place)
+            parts.append(joined.select("split", F.lit(side).alias("side"), "block", F.lit(turn).alias("turn"), "low", "best.*"))
+    keys = ["split", "side", "block"]
+    met = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    fields = ", ".join(f"{n} {met.schema[n].dataType.simpleString()}" for n in ("split", "low", *_BEST))
+    found = met.sortWithinPartitions(*keys, "turn").mapInArrow(_search, fields)
+    return found.groupBy("split", "low").agg(F.min(F.struct(*_BEST)).alias("best"))
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (split, low, best…) from names sought (turn 0) and read (turn 1); those of one block stand together."""
+    fields = ("split", "low", *_BEST)
+    here = automaton = None
+    best: dict[str, tuple] = {}  # of the names sought
+    empty = False  # whether the empty name, which lies in every other, is sought
+    out: list[tuple] = []
+
+    def close() -> None:
+        if here is not None and here[1] == 0:
+            out.extend((here[0], low, *b) for low, b in best.items() if b is not None)
+
+    for batch in batches:
+        types = [batch.schema.field(n).type for n in fields]
+        columns = [batch.column(n).to_pylist() for n in ("split", "side", "block", "turn", "low", *_BEST)]
+        for split, side, block, turn, low, *rank in zip(*columns):
+            if (split, side, block) != here:
+                close()
+                here, best, empty, automaton = (split, side, block), {}, False, ahocorasick.Automaton()
+            if turn == 0:
+                best[low] = tuple(rank) if side else None
+                empty = empty or not low
+                if low:
+                    automaton.add_word(low, low)
+                continue
+            if automaton.kind == ahocorasick.TRIE:
+                automaton.make_automaton()
+            hits = {low_ for _, low_ in automaton.iter(low)} if len(automaton) else set()
+            if empty:
+                hits.add("")
+            if side == 0:
+                for hit in hits:
+                    if best[hit] is None or tuple(rank) < best[hit]:
+                        best[hit] = tuple(rank)
+            elif hits:
+                out.append((split, low, *min(best[hit] for hit in hits)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], fields)
+            out.clear()
+    close()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], fields)
 
 
 def match_thermal(rgb: DataFrame, thermal: DataFrame) -> DataFrame:
@@ -125,9 +184,8 @@ def match_thermal(rgb: DataFrame, thermal: DataFrame) -> DataFrame:
     ``thermal_path`` and ``stage``: explicit, stem, case, substring, or null. The stages: a named file that exists; the
     stem and its variants; the stem in another case; a stem that contains the other, where the longest file name wins.
 
-    Everything is an equi-join. For the last stage both sides are indexed by substrings of the lengths that occur on
-    the other side, and each index entry keeps its best file only, so a folder with very many files does not give
-    pairs of all with all. Names are matched once per (split, stem), however many copies of an image there are.
+    All stages but the last are equi-joins; for that one see :func:`_contained`. Names are matched once per (split,
+    stem), however many copies of an image there are.
     """
     stem = names.strip_rf_suffix(_root(F.col("path")))
     images = rgb.withColumns({"split": names.folder(F.col("path")), "stem": stem})
@@ -158,28 +216,9 @@ def match_thermal(rgb: DataFrame, thermal: DataFrame) -> DataFrame:
     )
 
     rest = staged.filter("stem_file IS NULL AND case_file IS NULL").select("split", "low").distinct()
-    preference = F.struct((-F.length("name")).alias("shorter"), F.col("name"), F.col("path"))
+    preference = F.struct((-F.length("name")).alias("shorter"), F.col("name"), F.col("path"))  # as _BEST
     best = lower.groupBy("split", "low").agg(F.min(preference).alias("best"))
-    lengths = lambda df: df.groupBy("split").agg(F.collect_set(F.length("low")).alias("lengths"))
-
-    inside_image = (
-        _substrings(rest.join(lengths(best), "split"), "low", "lengths", "piece")
-        .join(best.select("split", F.col("low").alias("piece"), "best"), ["split", "piece"])
-        .groupBy("split", "low")
-        .agg(F.min("best").alias("best"))
-    )
-    inside_thermal = (
-        _substrings(best.join(lengths(rest), "split"), "low", "lengths", "piece")
-        .groupBy("split", F.col("piece").alias("low"))
-        .agg(F.min("best").alias("best"))
-        .join(rest, ["split", "low"], "left_semi")
-    )
-    contained = (
-        inside_image.unionByName(inside_thermal)
-        .groupBy("split", "low")
-        .agg(F.min("best").alias("best"))
-        .select("split", "low", F.col("best.path").alias("part_file"))
-    )
+    contained = _contained(rest, best).select("split", "low", F.col("best.path").alias("part_file"))
     matches = staged.join(contained, ["split", "low"], "left").select(
         "split", "stem", "stem_file", "case_file", "part_file"
     )
