@@ -189,49 +189,47 @@ def match_thermal(rgb: DataFrame, thermal: DataFrame) -> DataFrame:
     """
     stem = names.strip_rf_suffix(_root(F.col("path")))
     images = rgb.withColumns({"split": names.folder(F.col("path")), "stem": stem})
-    index = pin(_thermal_index(thermal))
-    keys = images.select("split", "stem").distinct()
-
-    exact_index = (
-        index.withColumn("ext_rank", _rank_in(F.expr("substring(name, length(root) + 1)"), THERMAL_EXTENSIONS))
-        .filter("ext_rank IS NOT NULL")
-        .groupBy("split", F.col("root").alias("candidate"))
-        .agg(F.min_by("path", "ext_rank").alias("stem_file"))
-    )
-    exact = (
-        keys.select("split", "stem", F.posexplode(_stem_variants(F.col("stem"))).alias("rank", "candidate"))
-        .join(exact_index, ["split", "candidate"])
-        .groupBy("split", "stem")
-        .agg(F.min_by("stem_file", "rank").alias("stem_file"))
-    )
+    index = pin(_thermal_index(thermal).withColumn("low", F.lower("root")))
     # The later stages see the two lower-case extensions only, .tif before .tiff.
-    lower = index.filter("name LIKE '%.tif' OR name LIKE '%.tiff'").withColumn("low", F.lower("root"))
-    case_index = lower.groupBy("split", "low").agg(
-        F.min_by("path", F.struct(F.col("name").endswith(".tiff"), F.col("name"))).alias("case_file")
+    small = F.col("name").endswith(".tif") | F.col("name").endswith(".tiff")
+    extension = _rank_in(F.expr("substring(name, length(root) + 1)"), THERMAL_EXTENSIONS)
+    entry = lambda step, key, rank: F.struct(F.lit(step).alias("step"), key.alias("key"), rank.cast("int").alias("rank"))
+    entries = F.array_compact(
+        F.array(
+            F.when(extension.isNotNull(), entry(0, F.col("root"), extension)),
+            F.when(small, entry(1, F.col("low"), F.col("name").endswith(".tiff"))),
+        )
     )
-    staged = pin(
-        keys.withColumn("low", F.lower("stem"))
-        .join(exact, ["split", "stem"], "left")
-        .join(case_index, ["split", "low"], "left")
+    listed = index.select("split", "name", "path", F.explode(entries).alias("e")).select("split", "name", "path", "e.*")
+    lookup = listed.groupBy("split", "step", "key").agg(F.min_by("path", F.struct("rank", "name")).alias("file"))
+
+    tries = F.concat(
+        F.transform(_stem_variants(F.col("stem")), lambda v, i: entry(0, v, i)),
+        F.array(entry(1, F.lower("stem"), F.lit(len(STEM_ENDINGS) + 2))),
     )
+    keys = images.select("split", "stem").distinct().select("split", "stem", F.explode(tries).alias("t"))
+    tried = keys.select("split", "stem", "t.*").join(lookup, ["split", "step", "key"], "left")
+    hit = F.when(F.col("file").isNotNull(), F.struct(tried["rank"], "step", "file"))
+    staged = tried.groupBy("split", "stem").agg(F.min(hit).alias("hit"))
+    staged = pin(staged.select("split", "stem", F.lower("stem").alias("low"), "hit.step", "hit.file"))
 
-    rest = staged.filter("stem_file IS NULL AND case_file IS NULL").select("split", "low").distinct()
+    rest = staged.filter("file IS NULL").select("split", "low").distinct()
     preference = F.struct((-F.length("name")).alias("shorter"), F.col("name"), F.col("path"))  # as _BEST
-    best = lower.groupBy("split", "low").agg(F.min(preference).alias("best"))
+    best = index.filter(small).groupBy("split", "low").agg(F.min(preference).alias("best"))
     contained = _contained(rest, best).select("split", "low", F.col("best.path").alias("part_file"))
-    matches = staged.join(contained, ["split", "low"], "left").select(
-        "split", "stem", "stem_file", "case_file", "part_file"
-    )
+    matches = staged.join(contained, ["split", "low"], "left").select("split", "stem", "step", "file", "part_file")
     joined = images.join(matches, ["split", "stem"], "left")
     named = _explicit(rgb, thermal)
     if named is None:
         joined = joined.withColumn("explicit_file", F.lit(None).cast("string"))
     else:
         joined = joined.join(named, "path", "left")
-    steps = {"explicit": "explicit_file", "stem": "stem_file", "case": "case_file", "substring": "part_file"}
-    stage = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(s)) for s, c in steps.items()])
+    stage = (
+        F.when(F.col("explicit_file").isNotNull(), "explicit").when(F.col("file").isNotNull(), F.element_at(F.array(F.lit("stem"), F.lit("case")), F.col("step") + 1))
+        .when(F.col("part_file").isNotNull(), "substring")
+    )
     kept = [c for c in rgb.columns if c != "thermal_path"]
-    return joined.select(*kept, F.coalesce(*steps.values()).alias("thermal_path"), stage.alias("stage"))
+    return joined.select(*kept, F.coalesce("explicit_file", "file", "part_file").alias("thermal_path"), stage.alias("stage"))
 
 
 def sidecar_join(rgb: DataFrame, files: DataFrame, subfolder: str | None = None) -> DataFrame:
