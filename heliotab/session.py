@@ -30,6 +30,7 @@ def local_session(cpus: int | str = "*", app: str = "heliotab") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -65,6 +66,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Fix the rows of ``df`` in reliable storage, so that later reads agree even when executors are lost."""
+    """Fix the rows of ``df`` in reliable storage, so that later reads agree even when executors are lost.
+
+    Spark deletes the copy once nothing refers to it where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set,
+    as it is in our own sessions.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

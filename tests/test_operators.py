@@ -41,6 +41,27 @@ def test_running_over_the_whole_table_and_null_groups(spark):
     assert [r["rank"] for r in nulls] == list(range(1, len(nulls) + 1)) and len(nulls) > 0
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_running_over_small_batches(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    df = hot_groups(spark, 400).withColumns(
+        {
+            "g": F.when(C("g") != "g7", C("g")),
+            "x": F.when(C("id") % 11 > 0, (C("id") * 31 % 17 - 9) / 4),
+            "list": F.array("id", "v"),
+            "h": F.when(C("id") % 3 > 0, C("id") % 2),
+        }
+    )
+    got = skew.running(df, ["g", "h"], [C("o").desc(), "id"], {"total": F.coalesce("x", F.lit(0.0)), "n": F.lit(1)}, {"top": C("x")})
+    w = Window.partitionBy("g", "h").orderBy(C("o").desc(), "id")
+    top = F.coalesce(F.max("x").over(w), F.lit(float("-inf")))
+    want = df.withColumns({"total": F.sum(F.coalesce("x", F.lit(0.0))).over(w), "n": F.row_number().over(w), "top": top})
+    found, expected = sorted(map(repr, got.collect())), sorted(map(repr, want.collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == expected
+    assert skew.running(df.limit(0), ["g"], ["id"], {"n": F.lit(1)}).count() == 0
+
+
 def test_hot_group_is_spread_over_slices(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     sliced = skew.slices(hot_groups(spark, 20000), ["g"], ["o", "id"])
