@@ -11,7 +11,7 @@ from heliotab.catalog.readers import coerced, model_docs
 from heliotab.catalog.registry import query
 from heliotab.functions import boxes
 from heliotab.operators.evaluate import coco_eval
-from heliotab.operators.scoring import batch_score, build_examples
+from heliotab.operators.scoring import batch_score, batched, build_examples
 from heliotab.plans import inspection, maps, quality, sessions, training
 from heliotab.sources.metadata import parse_model_meta
 
@@ -91,12 +91,15 @@ def q5(t):
 def peak_predictor():
     """Stand-in for a user's model: one unit box at the highest value of the last channel."""
 
-    def predict(image: np.ndarray):
-        plane = image[-1]
-        y, x = divmod(int(plane.argmax()), plane.shape[1])
-        return [[float(x), float(y), x + 1.0, y + 1.0]], [float(plane[y, x]) / 255.0], [0]
+    def predict(images: np.ndarray):
+        last = images[:, -1].reshape(len(images), -1)
+        found = []
+        for at, value in zip(last.argmax(axis=1), last.max(axis=1)):
+            y, x = divmod(int(at), images.shape[3])
+            found.append(([[float(x), float(y), x + 1.0, y + 1.0]], [float(value) / 255.0], [0]))
+        return found
 
-    return predict
+    return batched(predict)
 
 
 def _scoring_inputs(t):
@@ -236,7 +239,8 @@ def q2(t):
     )
     images = rasters.select("image_id", F.lit(640).alias("width"), F.lit(512).alias("height"))
     anns = t("v_anns").withColumn("bbox", F.array("x", "y", "w", "h"))
-    tensors, _ = training.training_set(images, anns, rasters, thermal)
+    # In doubles, as the SQL computes.
+    tensors, _ = training.training_set(images, anns, rasters, thermal, pixel="double")
     counts = training.training_boxes(images, anns).groupBy("image_id").agg(F.count("*").alias("n_boxes"))
     total = F.aggregate("px", F.lit(0.0), lambda s, v: s + v)
     return tensors.join(counts, "image_id", "left").select(

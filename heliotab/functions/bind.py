@@ -15,8 +15,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     computed once per array element. A lambda variable is bound once.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def materialise(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that the optimizer does not inline again into the expressions above it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +63,103 @@ def mean_of_planes(planes: Column) -> Column:
     return F.transform(total, lambda v: v / count)
 
 
+PARTIAL_BYTES = 64_000_000  # of sums that a task holds before it hands them on
+
+
+def _hashable(row: tuple) -> tuple:
+    return tuple(tuple(v) if isinstance(v, list) else v for v in row)
+
+
+def _listed(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as one list column."""
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    flat = np.concatenate(values) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
+
+
+def _sums_of(px: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a plane, 0 where they are null, and 1 where they aren't."""
+    values = px.values.cast(pa.float64())
+    return values.fill_null(0.0).to_numpy(zero_copy_only=False), np.asarray(values.is_valid()).astype(np.int64)
+
+
+def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+    out = longer.copy()
+    out[: len(shorter)] += shorter
+    return out
+
+
 def mean_planes(df: DataFrame, key: str = "image_id", px: str = "px") -> DataFrame:
-    """Planes of an image in separate rows to one plane.
+    """Planes of an image in separate rows to one plane: the mean of the values at each position.
 
-    Pixels are averaged by position with partial aggregation, so an image with very many planes is not gathered in
-    one task; the collected list is one plane long.
+    Null pixels don't count; a plane that is shorter than others has no say beyond its end, and null or empty planes
+    have none. Planes are added up in each task as arrays, up to PARTIAL_BYTES of sums at a time, and only these sums
+    are shuffled: no pixel is a row, and an image with very many planes is as many rows as tasks hold it.
     """
     keys = [c for c in df.columns if c not in (px, "band")]
-    pixels = df.select(*keys, F.posexplode(px).alias("pos", "v"))
-    means = pixels.groupBy(*keys, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    return means.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias(px))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([row[0][i] for row in held.values()], t) for i, t in enumerate(types)]
+            sums, counts = [_listed([row[n] for row in held.values()], t) for n, t in ((1, pa.float64()), (2, pa.int64()))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, sums, counts], [*keys, "__sum", "__n"])
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            for i, row in enumerate(rows):
+                total, n = _sums_of(batch.column(px)[i])
+                of = _hashable(row)
+                if of in held:
+                    held[of][1:] = [_padded_sum(held[of][1], total), _padded_sum(held[of][2], n)]
+                    continue
+                held[of] = [row, total, n]
+                size += total.nbytes * 2
+                if size > PARTIAL_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total, n = None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            types = [batch.schema.field(k).type for k in keys]
+            rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            for i, row in enumerate(rows):
+                more, count = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("__sum", "__n"))
+                if here is not None and _hashable(row) == _hashable(here):
+                    total, n = _padded_sum(total, more), _padded_sum(n, count)
+                    continue
+                if here is not None:
+                    out.append((here, total, n))
+                here, total, n = row, more, count
+            if out:
+                yield means(out, types)
+        if here is not None:
+            yield means([(here, total, n)], types)
+
+    def means(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([r[0][i] for r in rows], t) for i, t in enumerate(types)]
+        values = [np.divide(t, n, out=np.full(len(t), np.nan), where=n > 0) for _, t, n in rows]
+        nulls = np.concatenate([n == 0 for _, _, n in rows])
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        flat = pa.array(np.concatenate(values), mask=nulls)
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*keys, px])
+
+    filled = df.select(*keys, F.col(px)).filter(F.size(px) > 0)
+    partial = filled.mapInArrow(add, f"{kinds}, __sum array<double>, __n array<bigint>")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = partial.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return sorted_.mapInArrow(merge, f"{kinds}, `{px}` array<double>")
 
 
 def _grid(n: int, new_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,25 +217,78 @@ def resize_plane(df: DataFrame, new_h: Column, new_w: Column, mode: str = "neare
     return resized.withColumns({"h": new_h.cast("int"), "w": new_w.cast("int")})
 
 
-def stack_channels(channels: list[Column], thermal: Column, layout: str) -> Column:
-    """Four channels in CHW order, as one array.
+def scaled_for_scoring(plane: np.ndarray) -> np.ndarray:
+    """:func:`normalize_thermal_infer` of one plane."""
+    known = plane[~np.isnan(plane)]
+    if not len(known):
+        return plane
+    low, high = known.min(), known.max()
+    if high > 1.5:
+        return np.clip(plane, 0.0, 100.0) / 100.0
+    return (plane - low) / (high - low) if high > low else np.where(np.isnan(plane), plane, 0.0)
+
+
+def scaled_for_training(plane: np.ndarray) -> np.ndarray:
+    """:func:`normalize_thermal_train` of one plane."""
+    high = plane.max() if len(plane) else 0.0
+    return np.clip(plane / high if high > 1 else plane, 0.0, 1.0)
+
+
+def fitted(plane: np.ndarray, h: int, w: int, new_h: int, new_w: int, mode: str) -> np.ndarray:
+    """:func:`fit_plane` of one plane."""
+    if (h, w) == (new_h, new_w):
+        return plane
+    return (_nearest if mode == "nearest" else _linear)(plane.reshape(h, w), new_h, new_w).ravel()
+
+
+def stacked(colours: list[np.ndarray], thermal: np.ndarray | None, layout: str) -> np.ndarray | None:
+    """:func:`stack_channels` of one image: its channels one after another."""
+    if layout == "train":
+        band = np.zeros(len(colours[0])) if thermal is None else np.clip(thermal, 0.0, 1.0)
+        return np.concatenate([np.asarray(c, dtype=float) / 255.0 for c in colours] + [band])
+    return None if thermal is None else np.concatenate([*[np.asarray(c, dtype=float) for c in colours], thermal * 255.0])
+
+
+def _checked(layout: str, pixel: str) -> None:
+    if layout not in ("train", "score"):
+        raise ValueError(f"unknown layout {layout!r}")
+    if pixel not in ("float", "double"):
+        raise ValueError(f"unknown pixel type {pixel!r}")
+
+
+def stack_channels(channels: list[Column], thermal: Column, layout: str, pixel: str = "double") -> Column:
+    """Four channels in CHW order, as one array of ``pixel`` (float or double), stacked over Arrow batches.
 
     ``train``: colours / 255 and a thermal plane in [0, 1], zeros where thermal is missing.
     ``score``: blue, green, red as they are and 255 * thermal; null where thermal is missing.
     """
-    first = channels[0]
-    if layout == "train":
-        colours = [F.transform(c, lambda v: v.cast("double") / F.lit(255.0)) for c in channels]
-        clipped = F.transform(
-            thermal, lambda v: F.least(F.greatest(v.cast("double"), F.lit(0.0)), F.lit(1.0))
-        )
-        band = F.coalesce(clipped, F.array_repeat(F.lit(0.0), F.size(first)))
-    elif layout == "score":
-        colours = [F.transform(c, lambda v: v.cast("double")) for c in channels]
-        band = F.transform(thermal, lambda v: v.cast("double") * F.lit(255.0))
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return F.concat(*colours, band)
+    _checked(layout, pixel)
+
+    def stack(a: pd.Series, b: pd.Series, c: pd.Series, band: pd.Series) -> pd.Series:
+        plane = lambda t: None if t is None else np.asarray(t, dtype=float)
+        return pd.Series([None if x is None else stacked([x, y, z], plane(t), layout) for x, y, z, t in zip(a, b, c, band)])
+
+    return F.pandas_udf(stack, f"array<{pixel}>")(*channels, thermal)
+
+
+def training_tensor(
+    channels: list[Column], thermal: Column, th: Column, tw: Column, height: Column, width: Column, pixel: str = "float"
+) -> Column:
+    """Training tensor of an image in one pass over Arrow batches: the thermal plane scaled, fitted to the image by the
+    nearest pixel, and stacked behind the colours; zeros where it is missing."""
+    _checked("train", pixel)
+
+    def build(
+        a: pd.Series, b: pd.Series, c: pd.Series, t: pd.Series, th: pd.Series, tw: pd.Series, h: pd.Series, w: pd.Series
+    ) -> pd.Series:
+        out = []
+        for x, y, z, plane, ph, pw, ih, iw in zip(a, b, c, t, th, tw, h, w):
+            if plane is not None:
+                plane = fitted(scaled_for_training(np.asarray(plane, dtype=float)), int(ph), int(pw), int(ih), int(iw), "nearest")
+            out.append(None if x is None else stacked([x, y, z], plane, "train"))
+        return pd.Series(out)
+
+    return F.pandas_udf(build, f"array<{pixel}>")(*channels, thermal, th, tw, height, width)
 
 
 def stretch_u8(value: Column, low: Column, high: Column) -> Column:

@@ -6,32 +6,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliotab.functions.bind import materialise
+from heliotab.functions.planes import fitted, scaled_for_scoring
 from heliotab.operators.listings import scored_or_reason
 
-# A predictor takes an array (channels, height, width) and returns boxes, scores and classes.
-Predictor = Callable[[np.ndarray], tuple[list, list, list]]
+# A predictor takes an image (channels, height, width) of float32 and returns boxes, scores and classes. One marked with
+# :func:`batched` takes images of one size (number, channels, height, width) and returns these three for each.
+Predictor = Callable[[np.ndarray], tuple[list, list, list] | list[tuple[list, list, list]]]
+BATCH_IMAGES = 16
+BATCH_BYTES = 64_000_000
+_COLOURS = ("blue", "green", "red")
+_PREDICTED = "file string, boxes array<array<double>>, scores array<double>, classes array<int>"
+
+
+def batched(predictor: Callable[[np.ndarray], list[tuple[list, list, list]]]) -> Predictor:
+    """Mark a predictor that takes images by the batch."""
+    predictor.takes_batches = True
+    return predictor
 
 
 def inputs_for(rasters: DataFrame, planes: DataFrame | None, mode: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to score (file, h, w, px in CHW order) and failure rows (file, reason).
+    """Rows to score (file, h, w, colours and, for thermal scoring, the plane th, tw, tpx) and failure rows (file, reason).
 
     ``rasters`` has file, height, width, blue, green, red and reason; ``planes`` has file, h, w, px, where null pixels
     stand for a plane that could not be read. Thermal scoring needs a readable plane per image.
     """
-    from heliotab.functions.planes import fit_plane, normalize_thermal_infer, stack_channels
-
-    colours = [F.col(c) for c in ("blue", "green", "red")]
+    plane: list[str] = []
     if mode == "rgb":
         reason = F.col("reason")
-        px = F.concat(*[F.transform(c, lambda v: v.cast("double")) for c in colours])
         joined = rasters
     elif mode == "rgbtherm":
         if planes is None:
             raise ValueError("thermal scoring needs planes")
+        plane = ["th", "tw", "tpx"]
         side = planes.select("file", F.col("h").alias("th"), F.col("w").alias("tw"), F.col("px").alias("tpx"), F.lit(True).alias("found"))
         joined = rasters.join(side, "file", "left")
         reason = (
@@ -39,32 +49,64 @@ def inputs_for(rasters: DataFrame, planes: DataFrame | None, mode: str) -> tuple
             .when(F.col("found").isNull(), "no_thermal_sidecar")
             .when(F.col("tpx").isNull(), "thermal_read_failed")
         )
-        joined = materialise(joined, "scaled", normalize_thermal_infer(F.col("tpx")))
-        fitted = fit_plane(F.col("scaled"), F.col("th"), F.col("tw"), F.col("height"), F.col("width"), "linear")
-        joined = materialise(joined, "fitted", fitted)
-        px = stack_channels(colours, F.col("fitted"), "score")
     else:
         raise ValueError(f"unknown scoring mode {mode!r}")
     judged = joined.withColumn("why", reason)
-    ready = judged.filter("why IS NULL").select("file", F.col("height").alias("h"), F.col("width").alias("w"), px.alias("px"))
+    size = [F.col("height").cast("int").alias("h"), F.col("width").cast("int").alias("w")]
+    ready = judged.filter("why IS NULL").select("file", *size, *_COLOURS, *plane)
     failed = judged.filter("why IS NOT NULL").select("file", F.col("why").alias("reason"))
     return ready, failed
 
 
-def predict(inputs: DataFrame, predictor_factory: Callable[[], Predictor]) -> DataFrame:
-    """Predictions (file, boxes, scores, classes) of prepared inputs; the model is built once per Python worker."""
+def _image(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """Channels of one image as float32: blue, green, red and, where there is one, 255 times the scaled plane."""
+    h, w = batch.column("h")[row].as_py(), batch.column("w")[row].as_py()
+    pixels = lambda name: batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+    image = np.empty((4 if "tpx" in batch.schema.names else 3, h * w), dtype=np.float32)
+    for channel, name in enumerate(_COLOURS):
+        image[channel] = pixels(name)
+    if len(image) == 4:
+        scaled = scaled_for_scoring(pixels("tpx").astype(np.float64))
+        image[3] = fitted(scaled, batch.column("th")[row].as_py(), batch.column("tw")[row].as_py(), h, w, "linear") * 255.0
+    return image.reshape(-1, h, w)
+
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def predict(inputs: DataFrame, predictor_factory: Callable[[], Predictor], batch_images: int = BATCH_IMAGES) -> DataFrame:
+    """Predictions (file, boxes, scores, classes) of prepared inputs; the model is built once per task.
+
+    Pixels go from Arrow to float32 buffers of the model's layout in the task and are no column of any table. Images of
+    one size that follow each other are given to the model together, at most ``batch_images`` and BATCH_BYTES.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = predictor_factory()
+        together = getattr(predictor, "takes_batches", False)
+        schema = pa.schema(
+            [("file", pa.string()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("scores", pa.list_(pa.float64())), ("classes", pa.list_(pa.int32()))]
+        )
         for batch in batches:
-            rows = []
-            for file, h, w, px in zip(batch["file"], batch["h"], batch["w"], batch["px"]):
-                image = np.asarray(px, dtype=np.float32).reshape(-1, int(h), int(w))
-                rows.append((file, *predictor(image)))
-            yield pd.DataFrame(rows, columns=["file", "boxes", "scores", "classes"])
-
-    schema = "file string, boxes array<array<double>>, scores array<double>, classes array<int>"
-    return inputs.select("file", "h", "w", "px").mapInPandas(score, schema)
+            found: list[tuple] = []
+            files, waiting = batch.column("file").to_pylist(), []
+
+            def ask() -> None:
+                if waiting:
+                    images = np.stack(waiting)
+                    found.extend(predictor(images) if together else [predictor(image) for image in images])  # noqa: B023
+                    waiting.clear()  # noqa: B023
+
+            for row in range(batch.num_rows):
+                image = _image(batch, row)
+                most = min(batch_images, max(1, BATCH_BYTES // max(1, image.nbytes)))
+                if waiting and (waiting[0].shape != image.shape or len(waiting) >= most):
+                    ask()
+                waiting.append(image)
+            ask()
+            boxes, scores, classes = zip(*found) if found else ((), (), ())
+            columns = [files, [[list(map(float, b)) for b in row] for row in boxes], [list(map(float, s)) for s in scores]]
+            columns.append([list(map(int, c)) for c in classes])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+    return inputs.mapInArrow(score, _PREDICTED)
 
 
 def batch_score(

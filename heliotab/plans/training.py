@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotab.functions import boxes, planes
-from heliotab.functions.bind import materialise
 from heliotab.operators.joins import filter_empty
 
 
@@ -47,8 +46,8 @@ def colour_augment(seed: int = 0):
     return lambda df: boxes.random_rotate(boxes.random_flip(df, "horizontal", seed), seed=seed)
 
 
-def training_tensors(rasters: DataFrame, thermal: DataFrame) -> DataFrame:
-    """Four-channel tensors (CHW) per image; images without a plane get zeros in the thermal channel.
+def training_tensors(rasters: DataFrame, thermal: DataFrame, pixel: str = "float") -> DataFrame:
+    """Four-channel tensors (CHW, of ``pixel``) per image; images without a plane get zeros in the thermal channel.
 
     ``rasters`` has image_id, height, width, red, green, blue; ``thermal`` has image_id, path, h, w, px.
     """
@@ -56,23 +55,20 @@ def training_tensors(rasters: DataFrame, thermal: DataFrame) -> DataFrame:
         "image_id", F.col("path").alias("thermal_path"), F.col("h").alias("th"), F.col("w").alias("tw"), F.col("px").alias("tpx")
     )
     joined = rasters.join(side, "image_id", "left")
-    joined = materialise(joined, "scaled", planes.normalize_thermal_train(F.col("tpx")))
-    fitted = planes.fit_plane(F.col("scaled"), F.col("th"), F.col("tw"), F.col("height"), F.col("width"), "nearest")
-    joined = materialise(joined, "fitted", fitted)
     colours = [F.col(c) for c in ("red", "green", "blue")]
     return joined.select(
         "image_id",
         "height",
         "width",
         planes.thermal_kind(F.col("thermal_path"), F.col("tpx")).alias("kind"),
-        planes.stack_channels(colours, F.col("fitted"), "train").alias("px"),
+        planes.training_tensor(colours, *[F.col(c) for c in ("tpx", "th", "tw", "height", "width")], pixel).alias("px"),
     ).withColumn("channels", (F.size("px") / (F.col("height") * F.col("width"))).cast("int"))
 
 
-def training_set(images: DataFrame, annotations: DataFrame, rasters: DataFrame, thermal: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def training_set(images: DataFrame, annotations: DataFrame, rasters: DataFrame, thermal: DataFrame, seed: int = 0, pixel: str = "float") -> tuple[DataFrame, DataFrame]:
     """Tensors and boxes of the images that have a usable annotation."""
     kept = filter_empty(images, annotations)
-    tensors = training_tensors(rasters.join(kept.select("image_id"), "image_id", "left_semi"), thermal)
+    tensors = training_tensors(rasters.join(kept.select("image_id"), "image_id", "left_semi"), thermal, pixel)
     return tensors, training_boxes(kept, annotations, thermal_augment(seed))
 
 
