@@ -14,6 +14,7 @@ from heliotab.operators.evaluate import coco_eval
 from heliotab.operators.scoring import batch_score, batched, build_examples
 from heliotab.plans import inspection, maps, quality, sessions, training
 from heliotab.sources.metadata import parse_model_meta
+from heliotab.sources.predictions import coerce_predictions
 
 C = F.col
 
@@ -211,6 +212,51 @@ def q1_features(t):
     )
 
 
+# Documents of sessions that use the same image names, with classes as exporters write them. The SQL states what each means:
+# the number, and the id that names it.
+_WRITTEN = (("1", 1, 1), ("1.0", 1, 0), ('"2"', 2, 2), ("-1", -1, 0), ("null", 0, 0), ("true", 1, 0), ("9", 9, 9), ("3.5", 3, 0))
+_SESSION_DOCS = """
+    SELECT doc, 's' || cast(l_linenumber % 3 AS string) AS session, 'im' || cast(l_orderkey % 997 AS string) || '.jpg' AS name,
+           cast(l_partkey % 8 AS int) AS k FROM v_docs"""
+_SESSION_GEO = """
+    SELECT DISTINCT session, name, cast(length(name) AS double) + CASE session WHEN 's0' THEN 10 WHEN 's1' THEN 20 END AS lat,
+           cast(7 AS double) AS lon FROM docs"""
+
+
+@query(
+    "Q1_sessions",
+    f"""
+    WITH docs AS ({_SESSION_DOCS}), geo AS ({_SESSION_GEO}),
+         written(k, number, named) AS (VALUES {", ".join(f"({k}, {n}, {i})" for k, (_, n, i) in enumerate(_WRITTEN))})
+    SELECT d.session, d.doc, d.name, 0 AS kind_rank, g.lat, -1 AS class, '' AS classname FROM docs d
+    JOIN geo g ON g.session = d.session AND g.name = d.name WHERE g.lat IS NOT NULL
+    UNION ALL
+    SELECT d.session, d.doc, d.name, 1, g.lat, w.number, coalesce(c.class_name, cast(w.named AS VARCHAR)) FROM docs d
+    JOIN geo g ON g.session = d.session AND g.name = d.name JOIN written w ON w.k = d.k LEFT JOIN v_classes c ON c.class_id = w.named
+    WHERE g.lat IS NOT NULL""",
+)
+def q1_sessions(t):
+    """Features of sessions whose images have the same names; the third session has no positions."""
+    docs = t.sql(_SESSION_DOCS)
+    docs.createOrReplaceTempView("docs")
+    label = F.element_at(F.array(*[F.lit(text) for text, _, _ in _WRITTEN]), C("k") + 1)
+    text = F.format_string('{"file":"%s","boxes":[[1,2,3,4]],"scores":[0.75],"classes":[%s]}', "name", label)
+    preds = coerce_predictions(docs.select("doc", "session", C("name").alias("stem"), text.alias("value")))
+    images = docs.select("session", "name").distinct()
+    geo = t.spark.sql(_SESSION_GEO)
+    rows = inspection.inspection_features(preds.drop("stem", "value", "_corrupt"), images, geo, t("v_classes"))
+    part = lambda p, kind: F.try_variant_get("v", f"$.properties.{p}", kind)
+    return rows.withColumn("v", F.try_parse_json("feature")).select(
+        "session",
+        "doc",
+        "name",
+        "kind_rank",
+        "lat",
+        F.coalesce(part("class", "int"), F.lit(-1)).alias("class"),
+        F.coalesce(part("classname", "string"), F.lit("")).alias("classname"),
+    )
+
+
 @query(
     "Q2",
     f"""

@@ -388,8 +388,7 @@ def k3(t):
         (C("image_id") % 9).alias("n"),
     )
     writers.write_manifest(rows, out)
-    schema = "file string, overlay string, thumb string, n bigint, session string"
-    return t.spark.read.schema(schema).json(out).select("session", "file", "overlay", "n")
+    return metadata.read_manifest(t.spark, out).select("session", "file", "overlay", C("n").cast("bigint").alias("n"))
 
 
 @query(

@@ -282,14 +282,24 @@ def class_table(models: DataFrame) -> DataFrame:
     return models.select(F.col("name").alias("model"), F.posexplode("class_names").alias("class_id", "class_name"))
 
 
-def with_class_names(dets: DataFrame, classes: DataFrame, class_id: str = "class") -> DataFrame:
+def _looked_up(label: Column) -> Column:
+    """Id by which a class given as text is named: itself if it is all digits, else 0."""
+    return F.when(label.rlike("^[0-9]+$"), label).otherwise(F.lit("0"))
+
+
+def with_class_names(dets: DataFrame, classes: DataFrame, class_id: str = "class", label: str | None = None) -> DataFrame:
     """Class name of each detection, or the text of its id.
 
-    Negative ids are not plain digits, hence look up class 0.
+    The name goes by the text ``label`` where there is one (``1`` names class 1, ``1.0`` class 0), as :func:`resolve_class`
+    has it, and by the id else. Negative ids are not plain digits, hence look up class 0.
     """
-    lookup = F.when(F.col(class_id) >= 0, F.col(class_id)).otherwise(0)
-    joined = dets.withColumn("class_id", lookup).join(classes.select("class_id", "class_name"), "class_id", "left")
-    return joined.withColumn("classname", F.coalesce("class_name", F.col("class_id").cast("string"))).drop("class_name")
+    text = F.col(class_id).cast("string") if label is None else F.coalesce(label, F.lit("0"))
+    sought = dets.withColumn("__text", F.coalesce(_looked_up(text), F.lit("0")))
+    named = sought.withColumn("class_id", F.col("__text").try_cast("int")).join(
+        classes.select("class_id", "class_name"), "class_id", "left"
+    )
+    whole = F.coalesce(F.col("class_id").cast("string"), F.col("__text"))
+    return named.withColumn("classname", F.coalesce("class_name", whole)).drop("class_name", "__text")
 
 
 def resolve_class(value: Column, class_names: Column) -> Column:
@@ -299,7 +309,7 @@ def resolve_class(value: Column, class_names: Column) -> Column:
     is the truncated number.
     """
     text = value.cast("string")
-    lookup = F.when(text.rlike("^[0-9]+$"), text.try_cast("int")).otherwise(0)
+    lookup = _looked_up(text).try_cast("int")
     name = F.coalesce(F.get(class_names, lookup), lookup.cast("string"))
     number = F.coalesce(text.try_cast("double").cast("int"), F.lit(0))
     return F.struct(number.alias("class"), name.alias("classname"))

@@ -16,16 +16,15 @@ def located_features(located: DataFrame, classes: DataFrame, threshold: float =
 
     Both come out of one pass over the documents: the point is the first entry of the list that is exploded.
     """
-    entry = lambda i, box, score, label: F.struct(
-        i.alias("det_idx"), box.alias("box"), score.alias("score"), label.alias("class")
-    )
-    point = entry(
-        F.lit(-1), F.lit(None).cast("array<double>"), F.lit(None).cast("double"), F.lit(None).cast("int")
-    )
-    entries = F.concat(F.array(point), detection_list(threshold))
+    written = "labels" in located.columns
+    fields = {"box": "array<double>", "score": "double", "class": "int"} | ({"label": "string"} if written else {})
+    point = F.struct(F.lit(-1).alias("det_idx"), *[F.lit(None).cast(kind).alias(name) for name, kind in fields.items()])
+    entries = F.concat(F.array(point), detection_list(threshold, written))
     kept = ["session", "doc", "name", "lat", "lon", "url"]
     rows = located.select(*kept, F.explode(entries).alias("d")).select(*kept, "d.*")
-    named = with_class_names(rows, classes)
+    # Like a score, a class that is null counts as 0.
+    rows = rows.withColumn("class", F.when(F.col("det_idx") >= 0, F.coalesce("class", F.lit(0))))
+    named = with_class_names(rows, classes, label="label" if written else None)
     is_point = F.col("det_idx") < 0
     score = F.coalesce("score", F.lit(0.0))
     image = F.struct(F.lit("image").alias("type"), F.col("name"), F.col("url"))

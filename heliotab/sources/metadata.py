@@ -55,8 +55,21 @@ def parse_manifest(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Manifest rows (session, file, overlay, thumb, n) below a path, in both forms that exist.
+
+    A ``manifest.json`` is one list, named after its folder; ``write_manifest`` stores a row a line below a folder per
+    session, in as many files as there are tasks. What isn't JSON gives no rows.
+    """
     texts = read_texts(spark, path, "manifest.json")
-    return parse_manifest(texts.select(names.basename(names.folder(F.col("path"))).alias("session"), "text"))
+    single = parse_manifest(texts.select(names.basename(names.folder(F.col("path"))).alias("session"), "text"))
+    reader = spark.read.schema("file string, overlay string, thumb string, n int").option("recursiveFileLookup", "true")
+    lines = reader.option("pathGlobFilter", "part-*").json(path)
+    # The session is in the path: escaped as the name of a folder, and that as part of a URI.
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    session = plain(plain(F.regexp_extract("_metadata.file_path", r"/session=([^/]*)/[^/]*$", 1)))
+    session = F.nullif(F.nullif(session, F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(""))
+    named = lines.select(session.alias("session"), "file", "overlay", "thumb", "n")
+    return single.unionByName(named.filter("coalesce(file, overlay, thumb, cast(n AS string)) IS NOT NULL"))
 
 
 def parse_geojson(docs: DataFrame, text: str = "text") -> DataFrame:

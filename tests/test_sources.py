@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heliotab.catalog.encode import jpeg_with_gps, npy_bytes, npz_bytes, tiff_bytes, zip_bytes
 from heliotab.functions import boxes
 from heliotab.operators.windows import dedupe_names
+from heliotab.plans.inspection import located_features
 from heliotab.sinks import writers
 from heliotab.sources import archives, coco, exif, files, metadata, planes, predictions, rasters
 
@@ -204,3 +205,32 @@ def test_copy_if_absent(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "name string, v int").write.parquet(path)
     writers.copy_if_absent(spark.createDataFrame([("a", 9), ("b", 2)], "name string, v int"), path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_manifest_in_both_forms(spark, tmp_path):
+    odd = ["sessions/a b", "50%+1", "ü=x", "plain"]
+    rows = spark.createDataFrame([(s, f"{k}.jpg", "o", None, k) for k, s in enumerate(odd)], "session string, file string, overlay string, thumb string, n int")
+    writers.write_manifest(rows.repartition(3), str(tmp_path / "out"))
+    (tmp_path / "out" / "old").mkdir()
+    (tmp_path / "out" / "old" / "manifest.json").write_text('[{"file":"z","overlay":"o","thumb":"t","n":3}]')
+    (tmp_path / "out" / "bad").mkdir()
+    (tmp_path / "out" / "bad" / "manifest.json").write_text("[{")
+    got = metadata.read_manifest(spark, str(tmp_path / "out")).collect()
+    assert {(r.session, r.file, r.overlay, r.thumb, r.n) for r in got} == {(s, f"{k}.jpg", "o", None, k) for k, s in enumerate(odd)} | {("old", "z", "o", "t", 3)}
+    one = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("session=sessions"))
+    assert [r.session for r in metadata.read_manifest(spark, str(one)).collect()] == ["sessions/a b"]
+    assert metadata.read_manifest(spark, str(tmp_path / "out" / "old")).count() == 1
+
+
+def test_classes_are_named_by_their_text(spark):
+    classes = ["1", '"1"', "1.0", "-1", "7", "null", "1e0", '"01"', "12345678901"]
+    text = '{"file":"a.jpg","boxes":[%s],"scores":[%s],"classes":[%s]}' % (",".join(["[0,0,1,1]"] * 9), ",".join(["0.9"] * 9), ",".join(classes))
+    preds = predictions.coerce_predictions(spark.createDataFrame([("d", "a", text)], "doc string, stem string, value string"))
+    assert preds.first().labels == ["1", "1", "1.0", "-1", "7", None, "1.0", "01", "12345678901"]
+    named = spark.createDataFrame([(0, "a"), (1, "b")], "class_id int, class_name string")
+    located = preds.selectExpr("'s' AS session", "doc", "file AS name", "1D AS lat", "2D AS lon", "'u' AS url", "boxes", "scores", "classes", "labels")
+    rows = located_features(located, named).filter("kind_rank = 1").orderBy("det_idx").collect()
+    assert [r.classname for r in rows] == ["b", "b", "a", "a", "7", "a", "a", "b", "12345678901"]
+    assert [r["class"] for r in rows] == [1, 1, 1, -1, 7, 0, 1, 1, 0]
+    plain = located_features(located.drop("labels"), named).filter("kind_rank = 1").orderBy("det_idx").collect()
+    assert [r.classname for r in plain] == ["b", "b", "b", "a", "7", "a", "b", "b", "a"]
