@@ -175,8 +175,9 @@ def expand(sql: str, dialect: int) -> str:
     if not ctes:
         return sql
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body[: len(head)].upper() == head:
+            return head + ",\n".join(ctes) + ",\n" + body[len(head) :]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 

@@ -188,5 +188,9 @@ def pr_curve(matches: DataFrame, n_gt: DataFrame, key: str = "class", order: Seq
 
 
 def preflight_sample(df: DataFrame, n: int = PREFLIGHT_SAMPLE, seed: int = PREFLIGHT_SEED, key: str = "image_id") -> DataFrame:
-    """Repeatable sample of at most ``n`` rows: the ones whose key hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Repeatable sample of at most ``n`` rows: those with the smallest md5 of ``seed:key``, ties by key.
+
+    Each task keeps its ``n`` smallest, so that no more leave it. Other engines can make the same draw.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(drawn, key).limit(n)
