@@ -23,6 +23,18 @@ C = F.col
 _SINGLE = "SELECT doc, class, x1, y1, x2, y2, score, det_key FROM v_single"
 _SINGLE_GT = "SELECT doc, class, g_x1 AS x1, y1, g_x2 AS x2, y2, area, iscrowd, det_key AS gt_key FROM v_single"
 
+# The curves and their averages, from detections that are counted (class, thr, range, met, score, doc, det_key) and the
+# numbers of boxes n (class, range, n).
+_CURVE = """k AS (SELECT class, thr, range, count(*) FILTER (met) OVER w AS tp, count(*) FILTER (NOT met) OVER w AS fp FROM c WHERE counted
+          WINDOW w AS (PARTITION BY class, thr, range ORDER BY score DESC, doc, det_key ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT k.class, thr, k.range, tp / n AS recall, tp / (tp + fp + 2.220446049250313e-16) AS precision FROM k
+          JOIN n ON n.class = k.class AND n.range = k.range AND n > 0),
+    g AS (SELECT class, thr, range, i * 0.01::DOUBLE AS point FROM n, thr x(thr), range(0, 101) q(i) WHERE n > 0),
+    s AS (SELECT class, thr, range, floor(recall * 100 + 1e-9) AS step, max(precision) AS precision FROM r GROUP BY ALL),
+    ap AS (SELECT g.class, g.thr, g.range, g.point, coalesce(max(s.precision), 0) AS precision FROM g
+           LEFT JOIN s ON s.class = g.class AND s.thr = g.thr AND s.range = g.range AND s.step >= round(g.point * 100) GROUP BY ALL),
+    curve AS (SELECT class, thr, range, avg(precision) AS ap FROM ap GROUP BY class, thr, range)"""
+
 _AP = f"""
     areas(area, lo, hi) AS (VALUES ('all', 0::DOUBLE, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)),
     thr AS (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS iou FROM range(0, 10) r(k)),
@@ -34,15 +46,7 @@ _AP = f"""
           FROM p, thr t, areas a),
     c AS (SELECT *, CASE WHEN met THEN g_in WHEN crowded THEN false ELSE d_in END AS counted FROM f),
     n AS (SELECT class, range, count(*) FILTER (iscrowd = 0 AND g_in) AS n FROM c WHERE thr = 0.5 GROUP BY class, range),
-    k AS (SELECT class, thr, range, count(*) FILTER (met) OVER w AS tp, count(*) FILTER (NOT met) OVER w AS fp FROM c WHERE counted
-          WINDOW w AS (PARTITION BY class, thr, range ORDER BY score DESC, doc, det_key ROWS UNBOUNDED PRECEDING)),
-    r AS (SELECT k.class, thr, k.range, tp / n AS recall, tp / (tp + fp + 2.220446049250313e-16) AS precision FROM k
-          JOIN n ON n.class = k.class AND n.range = k.range AND n > 0),
-    g AS (SELECT class, thr, range, i * 0.01::DOUBLE AS point FROM n, thr x(thr), range(0, 101) q(i) WHERE n > 0),
-    s AS (SELECT class, thr, range, floor(recall * 100 + 1e-9) AS step, max(precision) AS precision FROM r GROUP BY ALL),
-    ap AS (SELECT g.class, g.thr, g.range, g.point, coalesce(max(s.precision), 0) AS precision FROM g
-           LEFT JOIN s ON s.class = g.class AND s.thr = g.thr AND s.range = g.range AND s.step >= round(g.point * 100) GROUP BY ALL),
-    curve AS (SELECT class, thr, range, avg(precision) AS ap FROM ap GROUP BY class, thr, range)"""
+    {_CURVE}"""
 _OVERALL = """
     SELECT 'AP' AS metric, avg(ap) AS value FROM curve WHERE range = 'all'
     UNION ALL SELECT 'AP50', avg(ap) FROM curve WHERE range = 'all' AND thr = 0.5
@@ -68,12 +72,69 @@ def a12(t):
     return coco_eval(dets, gts).withColumn("value", F.round("value", 6))
 
 
-@query("A12_shared_images")
+def _competing(dets: str, gts: str) -> str:
+    """The protocol with detections that compete for boxes: along the ranks of an image and class, the boxes taken so
+    far are a list per curve."""
+    side = lambda a, b: f"greatest(0, least(d.{b}, g.{b}) - greatest(d.{a}, g.{a}))"
+    return f"""
+    WITH RECURSIVE areas(area, lo, hi) AS (VALUES ('all', 0::DOUBLE, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)),
+    thr AS (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS iou FROM range(0, 10) r(k)),
+    d AS MATERIALIZED (SELECT *, (x2 - x1) * (y2 - y1) AS da FROM
+      (SELECT *, row_number() OVER (PARTITION BY image_id, class ORDER BY score DESC, det_key) AS r FROM ({dets}) x) y WHERE r <= 100),
+    gt AS MATERIALIZED ({gts}),
+    p AS (SELECT image_id, class, r, iscrowd, gt_key, area, CASE iscrowd WHEN 1 THEN inter / da ELSE inter / (da + ga - inter) END AS share
+          FROM (SELECT d.image_id, d.class, d.r, g.iscrowd, g.gt_key, g.area, d.da, (g.x2 - g.x1) * (g.y2 - g.y1) AS ga,
+                       {side("x1", "x2")} * {side("y1", "y2")} AS inter
+                FROM d JOIN gt g ON d.image_id = g.image_id AND d.class = g.class) i WHERE inter > 0),
+    crowd AS (SELECT image_id, class, r, max(share) AS share FROM p WHERE iscrowd = 1 GROUP BY image_id, class, r),
+    near AS (SELECT image_id, class, r, thr.iou AS thr, areas.area AS range,
+                    list({{'share': share, 'gt': gt_key, 'inside': p.area BETWEEN lo AND hi}} ORDER BY share DESC, gt_key DESC) AS boxes
+             FROM p JOIN thr ON share >= 0.5 AND share >= thr.iou - 1e-10, areas WHERE iscrowd = 0 GROUP BY ALL),
+    step AS MATERIALIZED (
+      SELECT d.image_id, d.class, d.r, d.score, d.det_key, thr.iou AS thr, areas.area AS range, coalesce(boxes, []) AS boxes,
+             coalesce(crowd.share, 0) AS crowd, coalesce(crowd.share, 0) >= thr.iou - 1e-10 OR NOT da BETWEEN lo AND hi AS spare
+      FROM d CROSS JOIN thr CROSS JOIN areas
+      LEFT JOIN near n ON n.image_id = d.image_id AND n.class = d.class AND n.r = d.r AND n.thr = thr.iou AND n.range = areas.area
+      LEFT JOIN crowd ON crowd.image_id = d.image_id AND crowd.class = d.class AND crowd.r = d.r),
+    walk AS (
+      SELECT image_id, class, thr, range, cast(0 AS BIGINT) AS r, cast([] AS BIGINT[]) AS taken, false AS met, false AS skipped
+      FROM step WHERE r = 1
+      UNION ALL
+      SELECT image_id, class, thr, range, r,
+             CASE WHEN own IS NOT NULL THEN list_append(taken, own.gt) WHEN crowd < other.share THEN list_append(taken, other.gt) ELSE taken END,
+             own IS NOT NULL, own IS NULL AND coalesce(crowd < other.share, false)
+      FROM (SELECT s.*, w.taken, list_filter(s.boxes, lambda b: b.inside AND NOT list_contains(w.taken, b.gt))[1] AS own,
+                   list_filter(s.boxes, lambda b: NOT b.inside AND NOT list_contains(w.taken, b.gt))[1] AS other
+            FROM walk w JOIN step s ON s.image_id = w.image_id AND s.class = w.class AND s.thr = w.thr AND s.range = w.range AND s.r = w.r + 1) x),
+    c AS (SELECT s.image_id AS doc, s.class, s.thr, s.range, s.score, s.det_key, w.met, NOT w.skipped AND (w.met OR NOT s.spare) AS counted
+          FROM walk w JOIN step s ON s.image_id = w.image_id AND s.class = w.class AND s.thr = w.thr AND s.range = w.range AND s.r = w.r),
+    n AS (SELECT class, areas.area AS range, count(*) FILTER (gt.area BETWEEN lo AND hi) AS n FROM gt, areas WHERE iscrowd = 0 GROUP BY class, areas.area),
+    {_CURVE}
+    SELECT metric, cast(NULL AS VARCHAR) AS class, round(value, 6) AS value FROM ({_OVERALL}) o
+    UNION ALL SELECT 'AP', cast(class AS VARCHAR), round(avg(ap), 6) FROM curve WHERE range = 'all' GROUP BY class"""
+
+
+@query("A12_shared_images", _competing("SELECT * FROM v_dets", "SELECT * FROM v_gts"))
 def a12_shared(t):
-    """As A12 with the boxes of an order on one image, where detections compete for boxes; no plain SQL."""
+    """As A12 with the boxes of an order on one image, where detections compete for boxes."""
     return coco_eval(t("v_dets"), t("v_gts")).withColumn("value", F.round("value", 6))
 
 
+# Some three boxes of a class on an image (at sf0.01), near each other.
+_NEAR = """
+    SELECT image_id % 4999 AS image_id, class, x1 % 40 AS x1, y1 % 30 AS y1, x1 % 40 + x2 - x1 AS x2, y1 % 30 + y2 - y1 AS y2, score,
+           min(det_key) AS det_key FROM v_dets GROUP BY ALL"""
+_NEAR_GT = """
+    SELECT image_id % 4999 AS image_id, class, x1 % 40 + 1 AS x1, y1 % 30 AS y1, x1 % 40 + x2 - x1 AS x2, y1 % 30 + y2 - y1 + 2 AS y2,
+           (x2 - x1 - 1) * (y2 - y1 + 2) AS area, iscrowd, min(gt_key) AS gt_key FROM v_gts WHERE x2 - x1 > 1 GROUP BY ALL"""
+
+
+@query("A12_competing", _competing(_NEAR, _NEAR_GT))
+def a12_competing(t):
+    """As A12 with several boxes in one place."""
+    return coco_eval(t.sql(_NEAR), t.sql(_NEAR_GT)).withColumn("value", F.round("value", 6))
+
+
 @query(
     "Q5",
     f"""

@@ -235,8 +235,14 @@ def nms(
 
 
 def topk_per_image(
-    dets: DataFrame, k: int = MAX_DETECTIONS, keys: Sequence[str] = ("image_id",), order: Sequence[str] = ("score", "det_idx")
+    dets: DataFrame,
+    k: int = MAX_DETECTIONS,
+    keys: Sequence[str] = ("image_id",),
+    order: Sequence[str] = ("score", "det_idx"),
+    rank: str | None = None,
 ) -> DataFrame:
-    """Best k detections per image. Spark cuts each partition to k rows per image before the shuffle."""
+    """Best k detections per image, with their rank if that is given a name. Spark cuts each partition to k rows per
+    image before the shuffle."""
     best_first = Window.partitionBy(*keys).orderBy(F.col(order[0]).desc(), *[F.col(c) for c in order[1:]])
-    return dets.withColumn("__rank", F.row_number().over(best_first)).filter(F.col("__rank") <= k).drop("__rank")
+    ranked = dets.withColumn(rank or "__rank", F.row_number().over(best_first)).filter(F.col(rank or "__rank") <= k)
+    return ranked if rank else ranked.drop("__rank")

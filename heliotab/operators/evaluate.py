@@ -2,82 +2,170 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliotab.operators.detections import MAX_DETECTIONS, iou_join, topk_per_image
+from heliotab.operators.detections import MAX_DETECTIONS, topk_per_image
 from heliotab.operators.skew import SLICE, slices
+from heliotab.session import pin
 
 # Fixed values of the protocol.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 RECALL_POINTS = 101
 RECALL_STEP = 0.01
+GT_BLOCK = 20_000  # boxes of an image and class that meet its detections in one group
+MOST_PAIRS = 2_000_000  # compared at a time
 
 _CURVES = [(t, a) for t in range(len(THRESHOLDS)) for a in AREAS]
 _EPS = float(np.spacing(1))
 
 
-def _candidates(dets: DataFrame, gts: DataFrame, keys: list[str], max_dets: int) -> DataFrame:
-    """Overlapping pairs that can still matter for the matching.
+# ------------------------------------------------------------------------------------------------------ matching
+#
+# A curve, that is a threshold and an area range, is a bit. The matching of all curves is done at once: what a box still
+# is free for, and what a detection has met, are masks.
+
+_ALL = (1 << len(_CURVES)) - 1
+_BOX = ("x1", "y1", "x2", "y2")
+
+
+def _reach(overlap: np.ndarray) -> np.ndarray:
+    """Curves whose threshold an overlap reaches."""
+    reached = np.searchsorted(np.array(THRESHOLDS) - 1e-10, overlap, side="right")
+    return (np.int64(1) << (reached * len(AREAS))) - 1
 
-    A detection meets at most ``max_dets - 1`` boxes taken by others. Its best ``max_dets`` partners of each size class
-    therefore contain its match in every area range, and further ones can be left out without changing the result.
-    """
-    pairs = iou_join(dets, gts, THRESHOLDS[0], keys)
-    edges = sorted({e for low, high in AREAS.values() for e in (low, high)})
-    # Area ranges include both ends, so an area on an edge is a class of its own.
-    size_class = sum(((F.col("g_area") >= e).cast("int") + (F.col("g_area") > e).cast("int") for e in edges), F.lit(0))
-    best = Window.partitionBy(*keys, "det_key", "__class").orderBy(F.col("iou").desc(), F.col("g_gt_key").desc())
-    ranked = pairs.withColumn("__class", size_class).withColumn("__r", F.row_number().over(best))
-    return ranked.filter(F.col("__r") <= max_dets).drop("__class", "__r")
 
+def _inside(area: np.ndarray) -> np.ndarray:
+    """Curves whose area range holds an area."""
+    every = sum(1 << (t * len(AREAS)) for t in range(len(THRESHOLDS)))
+    masks = [np.where((area >= low) & (area <= high), every << i, 0) for i, (low, high) in enumerate(AREAS.values())]
+    return np.bitwise_or.reduce(np.array(masks, dtype=np.int64).reshape(len(masks), -1))
 
-def _match(dets: list, ious: list, areas: list, gts: list, crowds: list) -> tuple[list[int], list[int]]:
-    """Greedy matching of one image and class, for all thresholds and areas.
 
-    The lists describe the candidate pairs, best detection first. Returned are two bit masks per detection, with a bit
-    per curve: matched, and matched to a box outside the area range.
+def _settle(dets: list[tuple[float, list[tuple]]]) -> list[tuple[int, int]]:
+    """Greedy matching of one image and class: masks of the curves in which a detection, best first, is matched, and
+    in which it is matched to a box outside the area range.
+
+    A detection is its crowd share and the boxes near it, best first, each with overlap, key, reached curves and curves
+    whose area range it is in.
     """
-    partners: dict = {}
-    for det, overlap, area, gt, crowd in zip(dets, ious, areas, gts, crowds):
-        partners.setdefault(det, (crowd, []))[1].append((overlap, gt, area))
-    for _, near in partners.values():
-        near.sort(reverse=True)
-    hits, skipped = [0] * len(partners), [0] * len(partners)
-    for c, (t, name) in enumerate(_CURVES):
-        low, high = AREAS[name]
-        least = THRESHOLDS[t] - 1e-10
-        taken = set()
-        for d, (crowd, near) in enumerate(partners.values()):
-            outer = None
-            for overlap, gt, area in near:
-                if overlap < least:
-                    break
-                if gt in taken:
-                    continue
-                if low <= area <= high:
-                    taken.add(gt)
-                    hits[d] |= 1 << c
-                    break
-                outer = outer or (overlap, gt)
-            if hits[d] >> c & 1 or outer is None:
-                continue
+    taken: dict = {}
+    out = []
+    for crowd, near in dets:
+        hit = skip = 0
+        for _, gt, reached, inside in near:
+            got = reached & inside & ~hit & ~taken.get(gt, 0)
+            if got:
+                taken[gt] = taken.get(gt, 0) | got
+                hit |= got
+        rest = _ALL & ~hit
+        for overlap, gt, reached, inside in near:
+            outer = rest & reached & ~inside & ~taken.get(gt, 0)
+            rest &= ~outer
             # Among ignored boxes a crowd with the larger share is met instead, and leaves the others free.
-            if crowd < outer[0]:
-                taken.add(outer[1])
-                hits[d] |= 1 << c
-                skipped[d] |= 1 << c
-    return hits, skipped
+            if outer and crowd < overlap:
+                taken[gt] = taken.get(gt, 0) | outer
+                skip |= outer
+        out.append((hit, skip))
+    return out
+
+
+def _masks(settled: list[tuple[int, int]], share: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks ``hits`` and ``ignored`` of detections: what is unmatched is ignored in a crowd or outside the area range."""
+    hit, skip = (np.array([m[i] for m in settled], dtype=np.int64) for i in (0, 1))
+    unmatched = _reach(share) | (_ALL & ~_inside(area))
+    return hit, skip | (unmatched & ~(hit | skip))
+
+
+def _pairs(det: np.ndarray, gt: np.ndarray, det_group: np.ndarray, gt_start: np.ndarray, gt_end: np.ndarray) -> Iterator[tuple]:
+    """Numbers of all (detection, box) of equal groups, some MOST_PAIRS at a time."""
+    each = (gt_end - gt_start)[det_group]
+    before = np.concatenate([[0], np.cumsum(each)])
+    start = 0
+    while start < len(det):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + MOST_PAIRS, side="right")) - 1)
+        n = each[start:stop]
+        first = np.repeat(gt_start[det_group[start:stop]] - (np.cumsum(n) - n), n)
+        yield np.repeat(np.arange(start, stop), n), first + np.arange(n.sum())
+        start = stop
+
+
+def _overlaps(det: np.ndarray, gt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common area of boxes, 0 where they don't overlap, and the area of the first ones."""
+    width = np.minimum(det[:, 2], gt[:, 2]) - np.maximum(det[:, 0], gt[:, 0])
+    height = np.minimum(det[:, 3], gt[:, 3]) - np.maximum(det[:, 1], gt[:, 1])
+    return np.where((width > 0) & (height > 0), width * height, 0.0), (det[:, 2] - det[:, 0]) * (det[:, 3] - det[:, 1])
+
+
+@dataclass
+class _Groups:
+    """Rows of whole groups, detections before boxes: detections with their crowd share and the boxes near them."""
+
+    det: np.ndarray  # row numbers
+    group: np.ndarray  # of each detection
+    share: np.ndarray
+    area: np.ndarray
+    near: list[list[tuple]]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, starts: np.ndarray) -> _Groups:
+        number = lambda n: pc.fill_null(batch.column(n).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+        boxes = np.stack([number(c) for c in _BOX], axis=1)
+        kind = batch.column("__kind").to_numpy(zero_copy_only=False)
+        group = np.cumsum(np.isin(np.arange(batch.num_rows), starts)) - 1
+        det, gt, crowd = (np.flatnonzero(kind == k) for k in range(3))
+        found = cls(det, group[det], np.zeros(len(det)), _overlaps(boxes[det], boxes[det])[1], [[] for _ in det])
+        edges = lambda rows: [np.searchsorted(group[rows], np.arange(len(starts)), side=s) for s in ("left", "right")]
+        for d, c in _pairs(det, crowd, found.group, *edges(crowd)):
+            common, own = _overlaps(boxes[det[d]], boxes[crowd[c]])
+            np.maximum.at(found.share, d[common > 0], (common / np.where(own == 0, 1, own))[common > 0])
+        areas = number("__area")
+        for d, g in _pairs(det, gt, found.group, *edges(gt)):
+            common, own = _overlaps(boxes[det[d]], boxes[gt[g]])
+            union = own + _overlaps(boxes[gt[g]], boxes[gt[g]])[1] - common
+            overlap = np.where(common > 0, common / np.where(union == 0, 1, union), 0.0)
+            kept = np.flatnonzero(overlap >= THRESHOLDS[0])
+            kept = kept[np.lexsort((-g[kept], -overlap[kept], d[kept]))]
+            row = gt[g[kept]]
+            columns = (overlap[kept], row, _reach(overlap[kept]), _inside(areas[row]))
+            for i, near in zip(d[kept].tolist(), zip(*[c.tolist() for c in columns])):
+                found.near[i].append(near)
+        return found
+
 
+def _group_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a new group starts in sorted rows."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for key in keys:
+        column = batch.column(key)
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        differ = pc.fill_null(pc.not_equal(before, after), True).to_numpy(zero_copy_only=False)
+        new[1:] |= differ
+    return np.flatnonzero(new)
 
-def _match_masks(dets: pd.Series, ious: pd.Series, areas: pd.Series, gts: pd.Series, crowds: pd.Series) -> pd.DataFrame:
-    rows = [_match(*[list(v) for v in row]) for row in zip(dets, ious, areas, gts, crowds)]
-    return pd.DataFrame(rows, columns=["hits", "skipped"])
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows again, in batches that end where a group does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        starts = _group_starts(rows, keys)
+        if len(starts) > 1:
+            yield rows.slice(0, int(starts[-1])), starts[:-1]
+        held = [rows.slice(int(starts[-1]))]
+    if held:
+        yield held[0], np.zeros(1, dtype=np.int64)
 
 
 def match_detections(
@@ -86,58 +174,127 @@ def match_detections(
     """Detections (the best ``max_dets`` per image and class) with the bit masks ``hits`` and ``ignored``, one bit per
     threshold and area range.
 
-    ``dets`` has x1..y2, score and det_key; ``gts`` has x1..y2, area, iscrowd and gt_key; the keys break ties.
+    ``dets`` has x1..y2, score and det_key; ``gts`` has x1..y2, area, iscrowd and gt_key; the keys break ties. Rows with
+    a null key match nothing.
+
+    Detections and boxes of an image and class meet in one pass over sorted rows; no pair becomes a row. Boxes of one
+    beyond GT_BLOCK go in blocks, to each of which its detections are sent. A detection meets at most ``max_dets - 1``
+    boxes taken by others, so its best ``max_dets`` partners of each size class contain its match in every area range;
+    the blocks hand on these, and one more pass settles them.
     """
     keys = list(keys)
-    best = topk_per_image(dets, max_dets, keys, ("score", "det_key"))
-    single = gts.filter("iscrowd = 0").select(*keys, "x1", "y1", "x2", "y2", "area", "gt_key")
-    # A crowd box can be met by any number of detections, whose overlap counts against their own area.
-    crowd = gts.filter("iscrowd = 1").select(*keys, *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
-    width = F.least("x2", "g_x2") - F.greatest("x1", "g_x1")
-    height = F.least("y2", "g_y2") - F.greatest("y1", "g_y1")
-    share = F.try_divide(width * height, (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    touched = (
-        best.join(crowd, keys)
-        .filter("x1 < g_x2 AND g_x1 < x2 AND y1 < g_y2 AND g_y1 < y2")
-        .groupBy(*keys, "det_key")
-        .agg(F.max(share).alias("crowd_share"))
-    )
-    pairs = (
-        _candidates(best, single, keys, max_dets)
-        .join(touched, [*keys, "det_key"], "left")
-        .select(*keys, "det_key", "score", "iou", "g_area", "g_gt_key", F.coalesce("crowd_share", F.lit(0.0)).alias("crowd_share"))
-    )
-    # At most max_dets detections with max_dets partners per size class: the list of a group is bounded.
-    fields = ("det_key", "iou", "g_area", "g_gt_key", "crowd_share")
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), *fields))).alias("p")
-    masks = F.pandas_udf(_match_masks, "hits array<bigint>, skipped array<bigint>")
-    lists = {f: F.col(f"p.{f}") for f in fields}
-    grouped = pairs.groupBy(*keys).agg(listed).withColumn("m", masks(*lists.values()))
-    found = F.arrays_zip(F.array_distinct(lists["det_key"]).alias("det_key"), F.col("m.hits"), F.col("m.skipped"))
-    matched = grouped.select(*keys, F.explode(found).alias("f")).select(
-        *keys, F.col("f.det_key").alias("det_key"), F.col("f.hits").alias("hit_mask"), F.col("f.skipped").alias("skip_mask")
-    )
-    joined = best.join(matched, [*keys, "det_key"], "left").join(touched, [*keys, "det_key"], "left")
-    none = F.lit(0).cast("bigint")
-    hit, skip = F.coalesce("hit_mask", none), F.coalesce("skip_mask", none)
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    share = F.coalesce("crowd_share", F.lit(0.0))
-    unmatched = none
-    for t, least in enumerate(THRESHOLDS):
-        bits = _bits(lambda c, t=t: c[0] == t)
-        unmatched = unmatched.bitwiseOR(F.when(share >= least - 1e-10, bits).otherwise(none))
-    for name, (low, high) in AREAS.items():
-        bits = _bits(lambda c, name=name: c[1] == name)
-        unmatched = unmatched.bitwiseOR(F.when((area < low) | (area > high), bits).otherwise(none))
-    return joined.select(
-        *best.columns,
-        hit.bitwiseAND(F.bitwise_not(skip)).alias("hits"),
-        skip.bitwiseOR(unmatched.bitwiseAND(F.bitwise_not(hit))).alias("ignored"),
+    best = topk_per_image(dets, max_dets, keys, ("score", "det_key"), "__rank")
+    boxes = gts.filter("iscrowd IN (0, 1)").select(
+        *keys, *_BOX, F.col("area").alias("__area"), (F.col("iscrowd") + 1).cast("int").alias("__kind"), F.col("gt_key").alias("__gt")
     )
+    # One row at most for each GT_BLOCK boxes.
+    large = boxes.groupBy(*keys).count().filter(F.col("count") > GT_BLOCK)
+    large = large.select(*keys, F.ceil(F.col("count") / GT_BLOCK).cast("int").alias("__blocks"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    placed = boxes.join(large, keys, "left").withColumn("__block", F.pmod(F.xxhash64("__gt", *_BOX), blocks).cast("int"))
+    sent = best.join(large, keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = sent.withColumn("__kind", F.lit(0)).unionByName(placed, allowMissingColumns=True).fillna(1, ["__blocks"])
+    group = [*keys, "__block"]
+    parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = met.repartition(parts, *group).sortWithinPartitions(*group, "__kind", "__rank", "__gt")
+
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    kept = [*dets.columns, "__rank"]
+    whole = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
+    # What a block hands on: its share of the crowds and the boxes near each detection.
+    partial = f"__share double, __overlap array<double>, __area array<double>, __gt array<{kinds['__gt']}>"
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, group):
+            found = _Groups.of(batch, starts)
+            rows = batch.select(kept).take(pa.array(found.det))
+            known = np.ones(len(found.det), dtype=bool)
+            for key in keys:
+                known &= np.asarray(rows.column(key).is_valid())
+            near = [n if k else [] for n, k in zip(found.near, known)]
+            share = np.where(known, found.share, 0.0)
+            settled: list[tuple[int, int]] = []
+            edges = np.flatnonzero(np.diff(found.group, prepend=-1)).tolist() + [len(found.group)]
+            for a, b in zip(edges, edges[1:]):
+                settled += _settle(list(zip(share[a:b].tolist(), near[a:b])))
+            hits, ignored = _masks(settled, share, found.area)
+            split = batch.column("__blocks").take(pa.array(found.det)).to_numpy(zero_copy_only=False) > 1
+            empty = pa.nulls(len(found.det), pa.float64())
+            lists = [pa.nulls(len(found.det), pa.list_(t)) for t in (pa.float64(), pa.float64(), batch.column("__gt").type)]
+            if split.any():
+                handed = [_best_partners(n, batch, max_dets) if s else None for n, s in zip(near, split)]
+                types = (pa.float64(), pa.float64(), batch.column("__gt").type)
+                lists = [pa.array([h and h[i] for h in handed], pa.list_(t)) for i, t in enumerate(types)]
+                empty = pa.array(share, mask=~split)
+            names = [*kept, "hits", "ignored", "__share", "__overlap", "__area", "__gt"]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits), pa.array(ignored), empty, *lists], names)
+
+    matched = pin(ordered.mapInArrow(match, f"{whole}, hits bigint, ignored bigint, {partial}"))
+    result = [*dets.columns, "hits", "ignored"]
+    done = matched.filter("__share IS NULL").select(*result)
+    handed = matched.filter("__share IS NOT NULL")
+    if handed.isEmpty():
+        return done
+    again = handed.repartition(parts, *keys).sortWithinPartitions(*keys, "__rank")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, keys):
+            yield _merged(batch, starts, kept, max_dets)
 
+    return done.unionByName(again.mapInArrow(merge, f"{whole}, hits bigint, ignored bigint").select(*result))
 
-def _bits(test) -> Column:
-    return F.lit(sum(1 << i for i, curve in enumerate(_CURVES) if test(curve))).cast("bigint")
+
+def _size_class(area: float) -> int:
+    """Area ranges include both ends, so an area on an edge is a class of its own."""
+    edges = sorted({e for low, high in AREAS.values() for e in (low, high)})
+    return sum((area >= e) + (area > e) for e in edges)
+
+
+def _of_each_class(near: list[tuple], most: int) -> list[tuple]:
+    """The first ``most`` of each size class of (overlap, area, key), best first."""
+    seen: dict[int, int] = {}
+    out = []
+    for entry in near:
+        size = _size_class(entry[1])
+        seen[size] = seen.get(size, 0) + 1
+        if seen[size] <= most:
+            out.append(entry)
+    return out
+
+
+def _best_partners(near: list[tuple], batch: pa.RecordBatch, most: int) -> tuple[list, list, list]:
+    area, key = batch.column("__area"), batch.column("__gt")
+    listed = [(overlap, area[row].as_py(), key[row].as_py()) for overlap, row, _, _ in near]
+    return tuple(zip(*_of_each_class(listed, most))) or ((), (), ())
+
+
+def _merged(batch: pa.RecordBatch, starts: np.ndarray, kept: list[str], most: int) -> pa.RecordBatch:
+    """Detections of groups that went in blocks, settled on what the blocks have handed on."""
+    columns = [batch.column(c).to_pylist() for c in ("__share", "__overlap", "__area", "__gt")]
+    first, share, settled, area = [], [], [], []
+    corner = [batch.column(c).to_pylist() for c in _BOX]
+    rank = batch.column("__rank").to_pylist()
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        dets: list[tuple[float, list[tuple]]] = []
+        for row in range(start, stop):
+            listed = list(zip(*[columns[i][row] for i in (1, 2, 3)]))
+            if row > start and rank[row] == rank[row - 1]:
+                crowd, near = dets[-1]
+                dets[-1] = max(crowd, columns[0][row]), near + listed
+                continue
+            first.append(row)
+            dets.append((columns[0][row], listed))
+            area.append((corner[2][row] - corner[0][row]) * (corner[3][row] - corner[1][row]))
+        ready = []
+        for crowd, near in dets:
+            near = _of_each_class(sorted(near, key=lambda e: (e[0], e[2]), reverse=True), most)
+            overlap, size = np.array([e[0] for e in near]), np.array([e[1] for e in near])
+            ready.append((crowd, [(e[0], e[2], r, i) for e, r, i in zip(near, _reach(overlap).tolist(), _inside(size).tolist())]))
+        share += [crowd for crowd, _ in ready]
+        settled += _settle(ready)
+    hits, ignored = _masks(settled, np.array(share), np.array(area))
+    rows = batch.select(kept).take(pa.array(first))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits), pa.array(ignored)], [*kept, "hits", "ignored"])
 
 
 def _curve_points(rows: pd.DataFrame, before: pd.DataFrame, order: list[str]) -> list[tuple]:

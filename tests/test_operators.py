@@ -266,6 +266,27 @@ def test_average_precision_against_the_protocol(spark, seed):
         assert got[key] == pytest.approx(want[key], abs=1e-9), key
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_boxes_in_blocks_match_as_whole(spark, monkeypatch, block):
+    dets, gts = labelled(3, 8)
+    dets.append({**dets[0]})
+    for rows in (dets, gts):
+        rows.append({**rows[0], "image_id": None})
+    d, g = spark.createDataFrame(dets, DETS), spark.createDataFrame(gts, GTS)
+    whole = sorted(map(repr, evaluate.match_detections(d, g).collect()))
+    monkeypatch.setattr(evaluate, "GT_BLOCK", block)
+    assert sorted(map(repr, evaluate.match_detections(d, g).collect())) == whole
+    assert len(whole) == len(dets) and evaluate.match_detections(d.limit(0), g).count() == 0
+    assert {r.hits for r in evaluate.match_detections(d, g.limit(0)).collect()} == {0}
+
+
+def test_pairs_come_in_parts(monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_PAIRS", 5)
+    group, start, end = np.array([0, 0, 1, 2, 2]), np.array([0, 3, 3]), np.array([3, 3, 10])
+    parts = [list(zip(d.tolist(), g.tolist())) for d, g in evaluate._pairs(np.arange(5), np.arange(10), group, start, end)]
+    assert sum(parts, []) == [(d, g) for d in range(5) for g in range(start[group[d]], end[group[d]])] and len(parts) > 2
+
+
 def test_perfect_detections_score_one(spark):
     _, gts = labelled(7)
     g = spark.createDataFrame([x for x in gts if not x["iscrowd"]], GTS)
