@@ -115,7 +115,8 @@ def scan(index: Index, vectors: np.ndarray, ids: np.ndarray, asked: np.ndarray,
         else:
             alive = others
         ask = asked[n] / np.abs(asked[n]).max()
-        score = (scaled_x[alive] @ ask) / (norm_x[alive] * np.linalg.norm(ask))
+        # Row by row in one order of summation, so that equal vectors score alike wherever they stand.
+        score = (scaled_x[alive] * ask).sum(axis=1) / (norm_x[alive] * np.linalg.norm(ask))
         best = np.lexsort((ids[alive], -score))[:k]
         out_q.append(np.full(len(best), n))
         out_x.append(alive[best])
@@ -131,7 +132,7 @@ def nearest_neighbours(
     """Rows (query_id, rank, vec_id, score): for each row that ``queries`` selects its k nearest other rows by cosine.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id or
-    with another length than most rows have (the shorter length on a tie). Rows with the query's id are the query's
+    with another length than most rows have (the shorter length on a tie), as a cosine needs equal lengths. Rows with the query's id are the query's
     own. A query id that is repeated asks once, with its smallest vector; other repeated rows are candidates each. With
     fewer candidates than k a query gets all of them. Extra columns don't matter.
     """

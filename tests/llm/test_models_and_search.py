@@ -57,6 +57,26 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [neighbours.CHUNK, 37])
+def test_equal_vectors_are_ranked_by_id(spark, monkeypatch, chunk):
+    """Groups of 61 vectors, all but the query equal, over several chunks."""
+    monkeypatch.setattr(neighbours, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = rng.normal(size=64)
+        rows += [(g * 61 + k, (base + (0.01 * rng.normal(size=64) if (g * 61 + k) % 50 == 0 else 0)).tolist()) for k in range(61)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest_neighbours(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    for q, found in got.items():
+        equal = [i for i in range(q // 61 * 61, q // 61 * 61 + 61) if i % 50][:5]
+        assert [r.vec_id for r in found] == equal
+        assert len({r.score for r in found}) == 1
+    assert len(got) == 49
+
+
 def test_abandoning_candidates_keeps_the_nearest():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(3000, 64)), rng.normal(size=(20, 64))
