@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import ascii_letters, punctuation
 
 import ahocorasick
 import numpy as np
@@ -86,9 +87,7 @@ class Pieces:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, len(piece) << BITS | i)
         self.automaton.make_automaton()
-        # A run of spaces and what follows it is a unit, unless a piece has a space after another character.
-        units = all(SPACE not in piece.lstrip(SPACE) for piece in self.ids)
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if units else ".+", re.DOTALL)
+        self.cut = self._units_of_text()
         self.suits: dict[int, bool] = {}
         self.units = Remembered(self._unit)
         self.runs = Remembered(self._run)
@@ -105,6 +104,21 @@ class Pieces:
         self.spaced = np.array([t.startswith(SPACE) for t in self.text])
         self.silent = np.array([p.type == CONTROL for p in proto.pieces])
 
+    def _units_of_text(self) -> re.Pattern:
+        """Pattern of the units that a text is cut into, each in a place that no piece reaches across.
+
+        A run of spaces and what follows it is a unit, unless a piece has a space after another character. Where no
+        piece has them together, a line break is one too, and letters are apart from the marks behind them: so words are
+        remembered whatever stands behind them.
+        """
+        if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
+            return re.compile(".+", re.DOTALL)
+        breaks = "" if any("\n" in piece for piece in self.ids) else "\n"
+        marks = "".join(c for c in punctuation if not any(a + c in self.together for a in ascii_letters))
+        behind = re.escape(marks + breaks) + SPACE
+        units = f"{SPACE}*[A-Za-z]+(?=[{behind}]|\\Z)|{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|{breaks}" if breaks else "")
+        return re.compile(units, re.DOTALL)
+
     def merge(self, text: str) -> list[str]:
         """The merges themselves: best score first, then the leftmost. For short texts."""
         parts, score = list(text), self.score
