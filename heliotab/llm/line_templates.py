@@ -232,8 +232,9 @@ def drop_recurring_lines(
     dropped = pin(templates.filter(later).groupBy(*KEY).agg(F.collect_set("pos").alias("__dropped")))
     release(docs.sparkSession)
     keyed = drop_clashing(docs, "n_lines", "n_dropped").withColumn("__text", F.xxhash64(whole_text(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("__text") == F.col("k_text"))
-    marked = keyed.join(dropped, same, "left").drop(*KEY, "__text")
+    dropped = dropped.withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"})
+    same = F.col(doc_id).eqNullSafe(F.col("__k_id")) & (F.col("__text") == F.col("__k_text"))
+    marked = keyed.join(dropped, same, "left").drop("__k_id", "__k_text", "__text")
     parts = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(parts, lambda _, at: ~F.array_contains("__dropped", at)), "\n")
     out = marked.withColumns(

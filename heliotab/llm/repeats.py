@@ -382,15 +382,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     UTF-8. Columns that have the names of results are replaced.
     """
     found = find_repeats(docs, doc_id, text).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__found"))
-    found = pin(found)
+    found = pin(found.withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"}))
     release(docs.sparkSession)
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("removed", "kept")])
     keyed = plain.withColumn("__hash", F.xxhash64(whole_text(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("__hash") == F.col("k_text"))
+    same = F.col(doc_id).eqNullSafe(F.col("__k_id")) & (F.col("__hash") == F.col("__k_text"))
     both = F.arrow_udf(_keep, "struct<spans:array<struct<lo:int,hi:int>>,kept:binary>")
     made = keyed.join(found, same, "left").withColumn("__made", both(whole_text(text), F.col("__found")))
     out = made.withColumns({"removed": F.col("__made.spans"), "kept": F.col("__made.kept")})
-    return out.drop(*KEY, "__hash", "__found", "__made")
+    return out.drop("__k_id", "__k_text", "__hash", "__found", "__made")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators give their results; a table may have them already.
 CLASHING = ("size", "target", "copies", "ids", "decoded", "media", "audio", "score", "spans", "pooled", "n_lines",
-            "n_dropped", "removed", "kept", "template", "coverage", "label", "node", "bands", "first", "pos")
+            "n_dropped", "removed", "kept", "template", "coverage", "label", "node", "bands", "first", "pos", "k_id", "k_text", "line",
+            "digest", "key", "masked", "seed", "class_id", "row", "asks")
 
 
 def prose(seed: int, words: int) -> str:
