@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotab.llm.common import Prefix, ragged, release, row_key, slices_by_bytes, text_buffer, whole_text
+from heliotab.llm.common import Prefix, mix64, ragged, release, row_key, slices_by_bytes, text_buffer, whole_text
 from heliotab.session import pin
 
 MATCH = 100  # bytes
 GRAM = 24  # bytes
 RUNS = MATCH - GRAM + 1  # in a string
+SIDE = -(-(MATCH - GRAM) // 2)  # bytes that a string has before its key's run, or behind it
+PIECE = 512  # strings of a text that are streamed together
 BLOCK = 1 << 20  # bytes of segments in one index, about
 HOT = 4 << 20  # bytes of segments of one key from which it is split
 KEY = ("k_id", "k_text")
@@ -151,60 +153,114 @@ class RunIndex:
         good = (k >= 0) & (self.symbol[k] == symbol)
         return np.where(good, self.before[k] + np.minimum(self.size[k], row - self.head[k]), 0), k
 
-    def stream(self):
-        """Matching statistics of the texts, from right to left, all texts in step, up to MATCH symbols.
+    def stream(self, chosen: np.ndarray | None = None):
+        """Matching statistics of the texts (those ``chosen``), from right to left, all in step, up to MATCH symbols.
 
-        Yields, for each step that has strings of MATCH bytes, their texts, their starts, the first row and the size of
-        the interval of their occurrences, and the place of one occurrence, found by the samples.
+        A long text goes in pieces of PIECE strings, each of which reads on to the end of its last one. Yields, for each
+        step that has strings of MATCH bytes, their texts, their starts, the first row and the size of the interval of
+        their occurrences, and the place of one occurrence, found by the samples.
         """
-        order = np.argsort(-self.lengths, kind="stable")
-        lengths = self.lengths[order]
-        ends = self.start[order] + lengths
+        texts = np.arange(len(self.lengths)) if chosen is None else np.asarray(chosen)
+        strings = np.maximum(self.lengths[texts] - MATCH + 1, 0)
+        many = -(-strings // PIECE)
+        text, part = np.repeat(texts, many), ragged(np.zeros(len(texts), np.int64), many) * PIECE
+        lengths = np.minimum(PIECE, np.repeat(strings, many) - part) + MATCH - 1
+        by = np.argsort(-lengths, kind="stable")
+        text, lengths = text[by], lengths[by]
+        ends = self.start[text] + part[by] + lengths
         symbol = self.text[ends - 1]
         low, high = self.first[symbol], self.first[symbol + 1]
         found = self.end_suffix[symbol]
         for step in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
             if step >= MATCH:
-                live = lengths >= step
-                yield order[live], (ends - step)[live] - self.start[order[live]], low[live], (high - low)[live], found[live]
-            live = int(np.searchsorted(-lengths, -step, side="left"))  # texts longer than the step
+                yield text, ends - step - self.start[text], low, high - low, found
+            live = int(np.searchsorted(-lengths, -step, side="left"))  # pieces longer than the step
             if not live:
                 return
-            order, lengths, ends = order[:live], lengths[:live], ends[:live]
+            text, lengths, ends = text[:live], lengths[:live], ends[:live]
             low, high, found = low[:live], high[:live], found[:live]
             symbol = self.text[ends - step - 1]
-            seen_low, _ = self._seen(symbol, low)
-            seen_high, k = self._seen(symbol, high)
+            seen, k = self._seen(np.r_[symbol, symbol], np.r_[low, high])
+            k = k[live:]
             # The symbol stands at the end of the interval, or at the end of its last run before: there is the sample.
             at_end = self.head[k] + self.size[k] >= high
             found = np.where(at_end, found - 1, self.sample[k] - 1)
-            low, high = self.first[symbol] + seen_low, self.first[symbol] + seen_high
+            low, high = self.first[symbol] + seen[:live], self.first[symbol] + seen[live:]
             if step >= MATCH:  # back to the interval of the first MATCH symbols
                 b = np.searchsorted(self.breaks, low, side="right")
                 low, high, found = self.breaks[b - 1], self.breaks[b], self.break_sample[b - 1]
 
 
-def later_strings(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the starts of its strings of MATCH bytes that occur in a text before, or earlier in the same."""
+def later_strings(texts: list[bytes], unread: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text the starts of its strings of MATCH bytes that occur in a text before, or earlier in the same.
+
+    Texts marked ``unread`` are only indexed. They must hold no string twice, nor one that is in a text before.
+    """
     index = RunIndex(texts)
-    first = np.full(index.n, index.n, dtype=np.int64)
+    first, read = np.full(index.n, index.n, dtype=np.int64), np.zeros(index.n, dtype=np.int64)
     steps = []
-    for text, start, row, size, found in index.stream():
+    for text, start, row, size, found in index.stream(None if unread is None else np.flatnonzero(~unread)):
         repeated = size > 1
-        text, start, row = text[repeated], start[repeated], row[repeated]
+        text, start, row, size = text[repeated], start[repeated], row[repeated], size[repeated]
         place = index.start[text] + start
         np.minimum.at(first, row, np.minimum(place, found[repeated]))
-        steps.append((text, start, row, place))
+        np.add.at(read, row, 1)
+        steps.append((text, start, row, size, place))
     if not steps:
         return [np.zeros(0, np.int64) for _ in texts]
-    text, start, row, place = map(np.concatenate, zip(*steps))
-    later = place > first[row]
+    text, start, row, size, place = map(np.concatenate, zip(*steps))
+    # An occurrence that wasn't read comes before all that were.
+    later = (place > first[row]) | (read[row] < size)
     text, start = text[later], start[later]
     order = np.lexsort((start, text))
     counts = np.bincount(text, minlength=len(texts))
     return np.split(start[order], np.cumsum(counts)[:-1])
 
 
+def _may_share(texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts may have a string in common with another of their key or with themselves, and which of these come
+    first of their key and need not be read.
+
+    A string has its key's run in it, so at least SIDE bytes before the run or behind it. A text whose key's run has
+    other bytes on both sides than in every other text of the key has no string in common with any.
+    """
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    prefix = Prefix(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    run = prefix.every(GRAM)
+    owner = np.repeat(np.arange(len(texts)), lengths)[: len(run)]
+    ends = starts + lengths
+    at = np.flatnonzero(run == keys.astype(np.uint64)[owner])
+    at = at[at + GRAM <= ends[owner[at]]]
+    many = np.bincount(owner[at], minlength=len(texts))
+    _, group = np.unique(keys, return_inverse=True)
+    # Keys whose run stands several times in a text are left whole.
+    whole = np.bincount(group, many != 1) > 0
+    shared = whole[group]
+    one = at[many[owner[at]] == 1]
+    for low, high in ((one - SIDE, one), (one + GRAM, one + GRAM + SIDE)):
+        text = owner[one]
+        inside = (low >= starts[text]) & (high <= ends[text])
+        text, low, high = text[inside], low[inside], high[inside]
+        _, place, n = np.unique(mix64(prefix.parts(low, high) ^ keys[text].astype(np.uint64)), return_inverse=True, return_counts=True)
+        shared[text[n[place] > 1]] = True
+    kept = np.flatnonzero(shared)
+    head = np.zeros(len(texts), dtype=bool)
+    head[kept[np.unique(group[kept], return_index=True)[1]]] = True
+    return shared, head & ~whole[group]
+
+
+def _later_of_keys(texts: list[bytes], keys: np.ndarray) -> list[np.ndarray]:
+    """:func:`later_strings` of whole keys, of which only texts that can matter are indexed."""
+    shared, head = _may_share(texts, keys)
+    out = [np.zeros(0, np.int64)] * len(texts)
+    kept = np.flatnonzero(shared)
+    if len(kept):
+        for i, starts in zip(kept.tolist(), later_strings([texts[i] for i in kept], head[kept])):
+            out[i] = starts
+    return out
+
+
 SEGMENT = "key bigint, digest bigint, start int, n int, twice boolean"
 
 
@@ -250,8 +306,8 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def done() -> pa.RecordBatch:
-        marks = [_ranges(x) for x in later_strings([raw for _, _, raw in block])]
-        keys, digests = [b[0] for b in block], [b[1] for b in block]
+        keys, digests, texts = (list(c) for c in zip(*block))
+        marks = [_ranges(x) for x in _later_of_keys(texts, np.array(keys, dtype=np.int64))]
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(marks, _RANGE)], ["key", "digest", "marks"]
         )
@@ -353,22 +409,36 @@ def _bytes(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
     return cut.select("p.key", "p.digest", "p.first", "p.hot", part.alias("raw"))
 
 
+_KEPT = pa.struct([("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("kept", pa.binary())])
+
+
+def _kept_part(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Merged spans of each text and its other bytes."""
+    data, offsets = text_buffer(text)
+    row = np.repeat(np.arange(len(text)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    change = np.zeros(len(data) + 1, dtype=np.int32)
+    for name, step in (("lo", 1), ("hi", -1)):
+        np.add.at(change, flat.field(name).to_numpy(zero_copy_only=False) + offsets[row], step)
+    covered = np.cumsum(change[:-1]) > 0
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    fresh = covered & (edge[:-1] | ~np.r_[False, covered[:-1]])
+    ends = covered & (edge[1:] | ~np.r_[covered[1:], False])
+    low, high = np.flatnonzero(fresh), np.flatnonzero(ends) + 1
+    of = np.searchsorted(offsets, low, side="right") - 1
+    place = lambda at: pa.array((at - offsets[of]).astype(np.int32))
+    merged = pa.StructArray.from_arrays([place(low), place(high)], ["lo", "hi"])
+    cuts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(text)))].astype(np.int32)
+    left = np.r_[0, np.cumsum(~covered)][offsets].astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(left), pa.py_buffer(data[~covered].tobytes())])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), merged), kept], ["spans", "kept"]).cast(_KEPT)
+
+
 def _keep(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, s in zip(text, spans):
-        raw, merged, kept, at = (t.as_py() or "").encode(), [], [], 0
-        for lo, hi in sorted((r["lo"], r["hi"]) for r in s.as_py() or []):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        for lo, hi in merged:
-            kept.append(raw[at:lo])
-            at = hi
-        kept.append(raw[at:])
-        out.append({"spans": [{"lo": lo, "hi": hi} for lo, hi in merged], "kept": b"".join(kept)})
-    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    return pa.array(out, pa.struct([("spans", span), ("kept", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([text, spans], ["text", "spans"])
+    parts = [_kept_part(p.column(0), p.column(1)) for p in slices_by_bytes(batch, "text", 2_000_000)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _KEPT)
 
 
 _keep.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}

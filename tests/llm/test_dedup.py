@@ -268,3 +268,52 @@ def test_links_do_not_depend_on_the_number_of_copies(spark):
         weights = near_copies.shingle_weights(docs)
         hashed = near_copies.shingles(pa.array([base.lower()]))[0]
         assert weights[(hashed & np.uint64(near_copies.BUCKETS - 1)).astype(int)].min() > 0.9
+
+
+@pytest.mark.parametrize("piece", [1, 7, 512])
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_that_share_nothing_are_left_out(monkeypatch, seed, piece):
+    """Segments of a few keys, cut out of edited copies: marks equal those of the whole index."""
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rng = random.Random(seed)
+    bases = [bytes(rng.choice(b"abcdefgh ") for _ in range(700)) for _ in range(5)]
+    rows = []
+    for k in range(60):
+        raw = bytearray(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 3])):
+            raw[rng.randrange(len(raw))] = rng.choice(b"xyz")
+        if k % 9 == 0:
+            raw += raw[200:420] * 2
+        data, offsets = np.frombuffer(bytes(raw), np.uint8), np.array([0, len(raw)])
+        key, _, start, n, digest, _ = repeats.segments(data, offsets)
+        rows += [(int(a.astype(np.int64)), k, int(s), bytes(raw[s : s + m + repeats.MATCH - 1]), int(d)) for a, s, m, d in zip(key, start, n, digest)]
+    rows.sort()
+    once = {}
+    for row in rows:
+        once.setdefault((row[0], row[4]), row)
+    rows = sorted(once.values())
+    texts, keys = [r[3] for r in rows], np.array([r[0] for r in rows])
+    want = repeats.later_strings(texts)
+    got = repeats._later_of_keys(texts, keys)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and sum(map(len, want)) > 100
+    shared, head = repeats._may_share(texts, keys)
+    assert not shared.all() and head.any()
+
+
+def test_kept_bytes_equal_plain_cutting():
+    rng = random.Random(6)
+    texts, spans = [], []
+    for _ in range(60):
+        text = rng.choice([None, "", prose(rng.randrange(9), rng.randrange(1, 60))])
+        n = len((text or "").encode())
+        cut = sorted(rng.sample(range(n + 1), 2)) if n > 3 else None
+        spans.append(None if cut is None else [dict(lo=cut[0], hi=cut[1])] + [dict(lo=a, hi=min(n, a + 9)) for a in rng.sample(range(n), 2)] + [dict(lo=0, hi=2)])
+        texts.append(text)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    got = repeats._keep(pa.array(texts, pa.string()), pa.array(spans, kind)).to_pylist()
+    for text, listed, row in zip(texts, spans, got):
+        raw = (text or "").encode()
+        gone = [any(s["lo"] <= i < s["hi"] for s in listed or []) for i in range(len(raw))]
+        assert row["kept"] == bytes(b for b, g in zip(raw, gone) if not g)
+        runs = [i for i in range(len(raw)) if gone[i] and (i == 0 or not gone[i - 1])]
+        assert [s["lo"] for s in row["spans"]] == runs and sum(s["hi"] - s["lo"] for s in row["spans"]) == sum(gone)
