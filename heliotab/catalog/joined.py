@@ -246,8 +246,9 @@ def _large_tiles(zoom: int) -> str:
 def j11_large(t):
     """Full-size planes at a high zoom: pixels that aren't 0 and their sum, per tile."""
     pixel = "transform(sequence(0, 640 * 512 - 1), i -> cast(v[i % 640 % 64] AS double) * (cast(i / 640 AS int) % 7 + 1)) AS px"
-    large = t.sql(_LARGE).selectExpr("source", "band", "h", "w", "epsg", "x0", "y0", "dx", "dy", pixel)
-    found = tiles.reproject_tiles(t.spread(large), LARGE_ZOOM)
+    # Spread before the pixels are made.
+    large = t.spread(t.sql(_LARGE)).selectExpr("source", "band", "h", "w", "epsg", "x0", "y0", "dx", "dy", pixel)
+    found = tiles.reproject_tiles(large, LARGE_ZOOM)
     total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v)
     return found.select(
         "source", "x", "y", F.size(F.filter("px", lambda v: v != 0)).cast("bigint").alias("n"), (F.round(total, 3) + F.lit(0.0)).alias("total")

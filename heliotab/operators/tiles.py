@@ -93,18 +93,24 @@ def _block_schema(planes: DataFrame) -> str:
     return ", ".join(f"{name} {kinds[name]}" for name in (*_PLANE, *_GEOMETRY))
 
 
+def _pixel_kind(planes: DataFrame) -> str:
+    return "float32" if planes.schema["px"].dataType.simpleString() == "array<float>" else "float64"
+
+
 def plane_blocks(planes: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks of ``size`` x ``size`` pixels of each plane, with a margin of one pixel to the right and below.
 
-    Cells are a row-major array of doubles in bytes; unreadable planes (null) have no blocks.
+    Cells are a row-major array in bytes, of 4 a pixel for planes of floats and else of 8; unreadable planes (null)
+    have no blocks.
     """
     names = [*_PLANE, *_GEOMETRY]
+    kind = _pixel_kind(planes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, w = (batch.column(n).to_pylist() for n in ("h", "w"))
             for i in range(batch.num_rows):
-                plane = batch.column("px")[i].values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(h[i], w[i])
+                plane = batch.column("px")[i].values.to_numpy(zero_copy_only=False).astype(kind).reshape(h[i], w[i])
                 # One row of blocks at a time.
                 for r in range(0, h[i], size):
                     cells = [plane[r : r + size + 1, c : c + size + 1].tobytes() for c in range(0, w[i], size)]
@@ -154,7 +160,7 @@ def _piece(cells: np.ndarray, row: dict, tile_size: int, size: int):
     return rows.start, columns.start, upper * (1 - b[:, None]) + lower * b[:, None]
 
 
-def _pieces(asked: DataFrame, kinds: str, tile_size: int, size: int) -> DataFrame:
+def _pieces(asked: DataFrame, kinds: str, pixel: str, tile_size: int, size: int) -> DataFrame:
     """Pieces of the tiles, from blocks that stand before the tiles which ask for them."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +178,7 @@ def _pieces(asked: DataFrame, kinds: str, tile_size: int, size: int) -> DataFram
             plain = batch.drop_columns(["cells"]).to_pylist()
             for i, row in enumerate(plain):
                 if sent[i].is_valid:
-                    cells = np.frombuffer(sent[i].as_buffer(), dtype=np.float64)
+                    cells = np.frombuffer(sent[i].as_buffer(), dtype=pixel)
                     rest = min(size + 1, row["w"] - row["block_col"] * size)
                     cells, held = cells.reshape(-1, rest), [row[n] for n in place]
                     continue
@@ -283,7 +289,7 @@ def reproject_tiles(
     drop = ["x_from", "x_to", "y_from", "y_to", "lots"]
     met = sent.drop(*drop).unionByName(wanted.drop(*drop), allowMissingColumns=True)
     met = met.repartition(parts, *place).sortWithinPartitions(*place, F.col("cells").isNull())
-    pieces = _pieces(met, kinds, tile_size, block)
+    pieces = _pieces(met, kinds, _pixel_kind(planes), tile_size, block)
     every = covering_tiles(source_bounds(geometry), zoom).select("source", "band", "z", "x", "y")
     tile = ["source", "band", "z", "x", "y"]
     joined = pieces.unionByName(every, allowMissingColumns=True).repartition(parts, *tile).sortWithinPartitions(*tile)

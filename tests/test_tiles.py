@@ -117,6 +117,17 @@ def test_stretch_equals_the_columns(spark):
         assert tiles.stretched(np.array(cases[r.i])).tolist() == r.u8
 
 
+def test_planes_of_floats_are_sent_as_floats(spark):
+    row = plane("s", 20, 30, 3857, 0.0, 0.0, 1e5, 3)
+    row = (*row[:-1], [float(np.float32(v)) for v in row[-1]])
+    wide = spark.createDataFrame([row], SCHEMA)
+    narrow = spark.createDataFrame([row], SCHEMA.replace("px array<double>", "px array<float>"))
+    size = lambda df: tiles.plane_blocks(df, 8).select(F.sum(F.length("cells"))).first()[0]
+    assert size(wide) == 2 * size(narrow)
+    rows = [sorted(map(tuple, tiles.reproject_tiles(df, 5, 16, block=8).collect())) for df in (wide, narrow)]
+    assert rows[0] == rows[1] and any(any(r[-1]) for r in rows[0])
+
+
 def test_map_tiles_are_whole_numbers(spark):
     df = spark.createDataFrame([plane("s", 30, 40, 4326, 10.0, 50.0, 0.01)], SCHEMA)
     rows = maps.map_tiles(df, 10, 32).collect()
