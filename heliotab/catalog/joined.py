@@ -223,7 +223,7 @@ LARGE_ZOOM = 20
 def _large_tiles(zoom: int) -> str:
     side = f"(2 * pi() * cast(6378137 AS double) / {1 << zoom})"
     half = "(pi() * cast(6378137 AS double))"
-    at = "(cast(v[cast({c} AS int) % 64 + 1] AS double) * (cast({r} AS int) % 7 + 1))"
+    at = "cast(cast(cast(v[cast({c} AS int) % 64 + 1] AS double) * (cast({r} AS int) % 7 + 1) AS float) AS double)"
     corner = lambda r, c: at.format(r=r, c=c)
     next_r, next_c = "least(r + 1, h - 1)", "least(c + 1, w - 1)"
     return f"""
@@ -245,7 +245,9 @@ def _large_tiles(zoom: int) -> str:
 @query("J11_large", _large_tiles(LARGE_ZOOM))
 def j11_large(t):
     """Full-size planes at a high zoom: pixels that aren't 0 and their sum, per tile."""
-    pixel = "transform(sequence(0, 640 * 512 - 1), i -> cast(v[i % 640 % 64] AS double) * (cast(i / 640 AS int) % 7 + 1)) AS px"
+    # Floats, as thermal planes are.
+    value = "cast(cast(v[i % 640 % 64] AS double) * (cast(i / 640 AS int) % 7 + 1) AS float)"
+    pixel = f"transform(sequence(0, 640 * 512 - 1), i -> {value}) AS px"
     # Spread before the pixels are made.
     large = t.spread(t.sql(_LARGE)).selectExpr("source", "band", "h", "w", "epsg", "x0", "y0", "dx", "dy", pixel)
     found = tiles.reproject_tiles(large, LARGE_ZOOM)
