@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from heliotab.functions import geo
 
 MAX_BANDS = 3
-BLOCK = 256  # rows and columns of a block of a plane
+BLOCK = 1024  # rows and columns of a block of a plane
 LOT = 1024  # tiles that one copy of a block serves
 BATCH_BYTES = 16_000_000  # of results that wait in a task
 _PLANE = ("source", "band")
@@ -160,58 +160,92 @@ def _piece(cells: np.ndarray, row: dict, tile_size: int, size: int):
     return rows.start, columns.start, upper * (1 - b[:, None]) + lower * b[:, None]
 
 
+def _answers(batches: Iterator[pa.RecordBatch], pixel: str, tile_size: int, size: int) -> Iterator[tuple]:
+    """The piece of each tile that asks a block, or None; blocks stand before the tiles which ask for them."""
+    cells = held = None
+    place = ("source", "band", "block_row", "block_col", "lot")
+    for batch in batches:
+        sent = batch.column("cells")
+        for i, row in enumerate(batch.drop_columns(["cells"]).to_pylist()):
+            if sent[i].is_valid:
+                cells = np.frombuffer(sent[i].as_buffer(), dtype=pixel)
+                rest = min(size + 1, row["w"] - row["block_col"] * size)
+                cells, held = cells.reshape(-1, rest), [row[n] for n in place]
+                continue
+            # A plane that can't be read has sent no block.
+            yield batch.schema, row, _piece(cells, row, tile_size, size) if held == [row[n] for n in place] else None
+
+
 def _pieces(asked: DataFrame, kinds: str, pixel: str, tile_size: int, size: int) -> DataFrame:
-    """Pieces of the tiles, from blocks that stand before the tiles which ask for them."""
+    """Pieces of the tiles."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = held = None
-        place = ("source", "band", "block_row", "block_col", "lot")
         names = ("source", "band", "z", "x", "y", "row", "col", "cols", "cells")
-        for batch in batches:
-            out, waiting = [], 0
-            kinds = [batch.schema.field(n).type for n in ("source", "band", "z", "x", "y")]
-            kinds += [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            flush = lambda: pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names  # noqa: B023
-            )
-            sent = batch.column("cells")
-            plain = batch.drop_columns(["cells"]).to_pylist()
-            for i, row in enumerate(plain):
-                if sent[i].is_valid:
-                    cells = np.frombuffer(sent[i].as_buffer(), dtype=pixel)
-                    rest = min(size + 1, row["w"] - row["block_col"] * size)
-                    cells, held = cells.reshape(-1, rest), [row[n] for n in place]
-                    continue
-                # A plane that can't be read has sent no block.
-                piece = _piece(cells, row, tile_size, size) if held == [row[n] for n in place] else None
-                if piece is not None:
-                    first, start, values = piece
-                    out.append((*[row[n] for n in names[:5]], first, start, values.shape[1], values.tobytes()))
-                    waiting += values.nbytes
-                if waiting > BATCH_BYTES:
-                    yield flush()
-                    out, waiting = [], 0
-            if out:
+        out: list[tuple] = []
+        types: list[pa.DataType] = []
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for schema, row, piece in _answers(batches, pixel, tile_size, size):
+            if piece is None:
+                continue
+            types = [schema.field(n).type for n in names[:5]] + [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            first, start, values = piece
+            out.append((*[row[n] for n in names[:5]], first, start, values.shape[1], values.tobytes()))
+            waiting += values.nbytes
+            if waiting > BATCH_BYTES:
                 yield flush()
+                waiting = 0
+        if out:
+            yield flush()
 
     return asked.mapInArrow(answer, f"{kinds}, z int, x int, y int, row int, col int, cols int, cells binary")
 
 
+_TILE = ("source", "band", "z", "x", "y")
+
+
+def _tile_batch(done: list[tuple[tuple, np.ndarray]], types: list[pa.DataType], tile_size: int) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*[k for k, _ in done]), types)]
+    offsets = pa.array(np.arange(len(done) + 1) * tile_size * tile_size, pa.int32())
+    px = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([t for _, t in done])))
+    done.clear()
+    return pa.RecordBatch.from_arrays([*columns, px], [*_TILE, "px"])
+
+
+def _whole(asked: DataFrame, kinds: str, pixel: str, tile_size: int, size: int, stretch: bool) -> DataFrame:
+    """Tiles of planes that are one block: the piece is all that a tile holds."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[tuple, np.ndarray]] = []
+        types: list[pa.DataType] = []
+        for schema, row, piece in _answers(batches, pixel, tile_size, size):
+            types = [schema.field(n).type for n in _TILE]
+            tile = np.zeros((tile_size, tile_size))
+            if piece is not None:
+                first, start, values = piece
+                tile[first : first + len(values), start : start + values.shape[1]] = values
+            done.append((tuple(row[n] for n in _TILE), stretched(tile.ravel()) if stretch else tile.ravel()))
+            if len(done) * tile.nbytes > BATCH_BYTES:
+                yield _tile_batch(done, types, tile_size)
+        if done:
+            yield _tile_batch(done, types, tile_size)
+
+    return asked.mapInArrow(answer, f"{kinds}, z int, x int, y int, px array<{'int' if stretch else 'double'}>")
+
+
 def _assembled(pieces: DataFrame, kinds: str, tile_size: int, stretch: bool) -> DataFrame:
     """Tiles put together from pieces, those of a tile one after another; a row without piece stands for the tile."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("source", "band", "z", "x", "y")
-        key, tile, done = None, None, []
+        names = _TILE
+        key, tile = None, None
+        done: list[tuple[tuple, np.ndarray]] = []
         types: list[pa.DataType] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(c, k) for c, k in zip(zip(*[k for k, _ in done]), types)]
-            px = np.concatenate([t for _, t in done])
-            offsets = pa.array(np.arange(len(done) + 1) * tile_size * tile_size, pa.int32())
-            done.clear()
-            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(px))], [*names, "px"])
-
         for batch in batches:
             types = [batch.schema.field(n).type for n in names]
             keys = list(zip(*[batch.column(n).to_pylist() for n in names]))
@@ -223,13 +257,13 @@ def _assembled(pieces: DataFrame, kinds: str, tile_size: int, stretch: bool) ->
                         done.append((key, stretched(tile.ravel()) if stretch else tile.ravel()))
                     key, tile = here, np.zeros((tile_size, tile_size))
                     if len(done) * tile.nbytes > BATCH_BYTES:
-                        yield flush()
+                        yield _tile_batch(done, types, tile_size)
                 if cells[i].is_valid:
                     values = np.frombuffer(cells[i].as_buffer(), dtype=np.float64).reshape(-1, widths[i])
                     tile[rows[i] : rows[i] + len(values), cols[i] : cols[i] + widths[i]] = values
         if tile is not None:
             done.append((key, stretched(tile.ravel()) if stretch else tile.ravel()))
-            yield flush()
+            yield _tile_batch(done, types, tile_size)
 
     return pieces.mapInArrow(join, f"{kinds}, z int, x int, y int, px array<{'int' if stretch else 'double'}>")
 
@@ -259,11 +293,23 @@ def reproject_tiles(
     left corner, 0 outside the source; with ``stretch`` between their percentiles as 0..255.
 
     (source, band) tells planes apart. Each block of a plane is shuffled once per LOT tiles that it is needed for, which
-    is once but for planes blown up to many tiles; besides, only tile pixels move. No task holds more than a block, a
-    tile and BATCH_BYTES of results. An unreadable plane (null, or not h x w pixels) gives tiles of 0.
+    is once but for planes blown up to many tiles. Tiles of planes that are one block come out of that as they are; of
+    larger planes the pieces are shuffled once more, to their tiles. No task holds more than a block, a tile and
+    BATCH_BYTES of results. An unreadable plane (null, or not h x w pixels) gives tiles of 0.
     """
     parts = int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = ", ".join(_block_schema(planes).split(", ")[:2])
+    single = F.coalesce((F.col("h") <= block) & (F.col("w") <= block), F.lit(True))
+    small, large = planes.filter(single), planes.filter(~single)
+    whole = _whole(_meeting(small, zoom, tile_size, block, parts), kinds, _pixel_kind(planes), tile_size, block, stretch)
+    pieces = _pieces(_meeting(large, zoom, tile_size, block, parts), kinds, _pixel_kind(planes), tile_size, block)
+    every = covering_tiles(source_bounds(large.select(*_PLANE, *_GEOMETRY)), zoom).select(*_TILE)
+    joined = pieces.unionByName(every, allowMissingColumns=True).repartition(parts, *_TILE).sortWithinPartitions(*_TILE)
+    return whole.unionByName(_assembled(joined, kinds, tile_size, stretch))
+
+
+def _meeting(planes: DataFrame, zoom: int, tile_size: int, block: int, parts: int) -> DataFrame:
+    """Blocks of planes and the tiles that ask for them, block by block."""
     geometry = planes.select(*_PLANE, *_GEOMETRY)
     # The same blocks twice: with their cells, and without for the tiles that need them.
     count = lambda n: F.greatest(F.lit(0), F.floor((F.col(n) + block - 1) / block).cast("int") - 1)
@@ -288,12 +334,7 @@ def reproject_tiles(
     place = ["source", "band", "block_row", "block_col", "lot"]
     drop = ["x_from", "x_to", "y_from", "y_to", "lots"]
     met = sent.drop(*drop).unionByName(wanted.drop(*drop), allowMissingColumns=True)
-    met = met.repartition(parts, *place).sortWithinPartitions(*place, F.col("cells").isNull())
-    pieces = _pieces(met, kinds, _pixel_kind(planes), tile_size, block)
-    every = covering_tiles(source_bounds(geometry), zoom).select("source", "band", "z", "x", "y")
-    tile = ["source", "band", "z", "x", "y"]
-    joined = pieces.unionByName(every, allowMissingColumns=True).repartition(parts, *tile).sortWithinPartitions(*tile)
-    return _assembled(joined, kinds, tile_size, stretch)
+    return met.repartition(parts, *place).sortWithinPartitions(*place, F.col("cells").isNull())
 
 
 def rgb_tiles(tiles: DataFrame, keys: tuple[str, ...] = ("source", "z", "x", "y")) -> DataFrame:

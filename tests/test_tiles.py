@@ -77,11 +77,13 @@ def test_full_plane_at_zoom_20_is_cut_into_blocks(spark):
     px = rng.normal(size=h * w).round(3)
     row = ("s", 0, h, w, 3857, 1000.0, 2000.0, step, step, px.tolist())
     df = spark.createDataFrame([row], SCHEMA)
-    blocks = tiles.plane_blocks(df).select("block_row", "block_col", F.length("cells").alias("n")).collect()
+    blocks = tiles.plane_blocks(df, 256).select("block_row", "block_col", F.length("cells").alias("n")).collect()
     assert sorted((r.block_row, r.block_col) for r in blocks) == [(r, c) for r in range(2) for c in range(3)]
     assert sum(r.n for r in blocks) < 1.02 * h * w * 8
-    got = {(r.x, r.y): np.array(r.px) for r in tiles.reproject_tiles(df, 20).collect()}
+    got = {(r.x, r.y): np.array(r.px) for r in tiles.reproject_tiles(df, 20, block=256).collect()}
     assert len(got) in (9, 12, 16)
+    whole = {(r.x, r.y): np.array(r.px) for r in tiles.reproject_tiles(df, 20).collect()}
+    assert whole.keys() == got.keys() and all(np.array_equal(whole[k], got[k]) for k in got)
     for (x, y), found in got.items():
         grid = np.add.outer(np.arange(0, 256, 51) * 256, np.arange(0, 256, 51)).ravel()
         want = plain_corner(row, x, y, grid)
