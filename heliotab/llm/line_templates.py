@@ -62,7 +62,7 @@ def _n_tokens(masked: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All lines: key of the document, position, masked line, number of tokens, digest, leaf (null without one).
+    """All lines: key of the document, position, masked line, number of tokens, leaf (null without one).
 
     No filter stands here: it would be pushed down and mask every line a second time.
     """
@@ -72,7 +72,11 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # Lines without enough fixed tokens stand in no leaf: they are compared whole.
     fixed = ~F.col("masked").rlike("[0-9]") & (~F.col("masked").contains(WILD) | _enough_fixed(F.col("masked")))
     leaf = F.when(fixed, F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
-    return counted.withColumns({"line": F.unhex(F.md5("masked")), "leaf": leaf})
+    return counted.withColumn("leaf", leaf)
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5("masked")).alias("line")
 
 
 def _spread(lines: DataFrame, *by: str) -> DataFrame:
@@ -176,7 +180,7 @@ def line_templates(
 
     ``template`` is the digest of the seed, ``first`` the first document of the template. Null texts have no lines.
     """
-    lines = pin(_lines(docs, doc_id, text).select(*KEY, "pos", "line", "leaf", "n"))
+    lines = pin(_lines(docs, doc_id, text).select(*KEY, "pos", _digest(), "leaf", "n"))
     lines = lines.filter(F.col("n") >= LEAST_TOKENS)
     per_line = _spread(lines.filter((F.col("n") >= GENERAL_TOKENS) & F.col("leaf").isNotNull()), "leaf", "line")
     seeds = (
@@ -186,7 +190,7 @@ def line_templates(
         .drop("kinds")
     )
     # Texts are needed only in leaves with several kinds of lines; a leaf fixes the number of tokens.
-    met = _lines(docs, doc_id, text).select("leaf", "line", "n", "masked").join(seeds, "leaf")
+    met = _lines(docs, doc_id, text).select("leaf", "n", "masked").join(seeds, "leaf").select("leaf", _digest(), "n", "masked", "seed")
     mixed = pin(met.groupBy("leaf", "line", "n", "seed").agg(F.min("masked").alias("masked")))
     release(docs.sparkSession)
     seed_text = mixed.filter("line = seed").select("leaf", F.col("masked").alias("seed_masked"))
