@@ -33,7 +33,7 @@ OPEN_PAIRS = 2  # these rounds go on while more pairs than this many times the m
 KEY = ("k_id", "k_text")
 
 
-def masked_line(line: Column) -> Column:
+def masked_line(line: Column, digits: Column | None = None) -> Column:
     """Tokens joined by one space, those with a digit as ``<*>`` if enough others are left; else all as they are.
 
     Patterns only run over lines that need them.
@@ -46,7 +46,7 @@ def masked_line(line: Column) -> Column:
     def known(even: Column) -> Column:
         return let(F.regexp_replace(even, "[^ ]*[0-9][^ ]*", WILD), lambda m: F.when(_enough_fixed(m), m).otherwise(even))
 
-    return F.when(line.rlike("[0-9]"), let(even, known)).otherwise(even)
+    return F.when(line.rlike("[0-9]") if digits is None else digits, let(even, known)).otherwise(even)
 
 
 def _enough_fixed(masked: Column) -> Column:
@@ -67,12 +67,13 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     No filter stands here: it would be pushed down and mask every line a second time.
     """
     split = docs.select(*row_key(doc_id, text), F.posexplode(F.split(whole_text(text), "\n")).alias("pos", "line"))
-    masked = split.select(*KEY, "pos", masked_line(F.col("line")).alias("masked"))
+    told = split.withColumn("digits", F.col("line").rlike("[0-9]"))
+    masked = told.select(*KEY, "pos", "digits", masked_line(F.col("line"), F.col("digits")).alias("masked"))
     counted = masked.withColumn("n", _n_tokens(F.col("masked")))
     # Lines without enough fixed tokens stand in no leaf: they are compared whole.
-    fixed = ~F.col("masked").rlike("[0-9]") & (~F.col("masked").contains(WILD) | _enough_fixed(F.col("masked")))
+    fixed = (~F.col("digits") | ~F.col("masked").rlike("[0-9]")) & (~F.col("masked").contains(WILD) | _enough_fixed(F.col("masked")))
     leaf = F.when(fixed, F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
-    return counted.withColumn("leaf", leaf)
+    return counted.withColumn("leaf", leaf).drop("digits")
 
 
 def _digest() -> Column:
