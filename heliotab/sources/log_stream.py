@@ -16,6 +16,8 @@ def read_log_stream(spark: SparkSession, folder: str, glob: str | None = None, f
     return reader.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
 
 
-def read_table_stream(spark: SparkSession, folder: str, schema, glob: str) -> DataFrame:
-    """Parquet files of a folder as a stream, for logs that were collected into tables."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def read_table_stream(spark: SparkSession, folder: str, schema, name: str) -> DataFrame:
+    """A Parquet table of a folder as a stream, for logs that were collected into tables. The table is one file or a
+    folder of part files."""
+    # A pattern that matches the name alone: the source takes a single file by pattern only.
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")

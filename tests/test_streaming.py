@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from heliotab.sources.log_stream import read_log_stream
+from heliotab.sources.log_stream import read_log_stream, read_table_stream
 from heliotab.streaming import log_streams
 
 C = F.col
@@ -83,3 +83,17 @@ def test_run_logs(spark, tmp_path):
     log_streams.write_run_logs(stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
     rows = spark.read.schema("value string, job string").text(str(tmp_path / "out")).collect()
     assert sorted((r.job, r.value[-1]) for r in rows) == [("test", "c"), ("train", "a")]
+
+
+def test_tables_of_one_file_and_of_many_as_streams(spark, tmp_path):
+    rows = spark.range(40).withColumn("line", F.concat(F.lit("l"), "id"))
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    rows.filter("id < 3").write.parquet(str(tmp_path / "other_events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "single"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "single").glob("*.parquet")).rename(tmp_path / "one" / "events.parquet")
+    for folder in (tmp_path, tmp_path / "one"):
+        counts = read_table_stream(spark, str(folder), rows.schema, "events.parquet").groupBy().count()
+        work = folder / "work"
+        work.mkdir()
+        assert drain(spark, counts, work, log_streams.replace_table).collect()[0][0] == 40
