@@ -4,13 +4,14 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from heliotab.plans.inspection import inspection_features, inspection_report
 from heliotab.session import shared_dir
 from heliotab.sinks import writers
-from heliotab.sources.archives import expand_archives
+from heliotab.sources.archives import _expand, expand_archives
 from heliotab.sources.exif import decode_exif_gps, positions
 from heliotab.sources.metadata import read_pairs
 
@@ -80,6 +81,19 @@ def test_damaged_members_do_not_end_the_job(spark, tmp_path):
     assert got["a.jpg"] is None and bytes(got["b.jpg"]) == b"b.jpg" * 50 and set(got) == {"a.jpg", "b.jpg"}
 
 
+def test_small_archives_leave_together():
+    raw = []
+    for i in range(300):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("a.jpg", str(i))
+        raw.append(out.getvalue())
+    files = pa.RecordBatch.from_pydict({"archive": [str(i) for i in range(300)], "content": [*raw[:-1], b"PK?"]})
+    members = list(_expand(iter([files.slice(0, 100), files.slice(100)]), None))
+    assert len(members) == 1
+    assert members[0].column("content").to_pylist() == [str(i).encode() for i in range(299)]
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Context:
         master = "spark://host:7077"
