@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -297,29 +296,55 @@ def _merged(batch: pa.RecordBatch, starts: np.ndarray, kept: list[str], most: in
     return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits), pa.array(ignored)], [*kept, "hits", "ignored"])
 
 
-def _curve_points(rows: pd.DataFrame, before: pd.DataFrame, order: list[str]) -> list[tuple]:
-    """Best precision per curve and recall step over one slice of a class, given the totals of the slices before it."""
-    points = []
-    if rows.empty or before.empty:
-        return points
-    rows = rows.sort_values(["score", *order], ascending=[False] + [True] * len(order), kind="stable")
-    hits, ignored = rows["hits"].to_numpy(np.int64), rows["ignored"].to_numpy(np.int64)
+def _slice_points(batches: Iterator[pa.RecordBatch], class_key: str, before: dict) -> Iterator[pa.RecordBatch]:
+    """Best precision per curve and recall step of each class in a slice of sorted rows, given the totals of the slices
+    before it. What is held is a running total and a best precision per curve and step of one class."""
     grid = np.arange(RECALL_POINTS) * RECALL_STEP
-    for c, (t, name) in enumerate(_CURVES):
-        n = before["n"].iloc[0][list(AREAS).index(name)]
-        counted = (ignored >> c & 1) == 0
-        matched = (hits >> c & 1) == 1
-        tp = before["tp"].iloc[0][c] + np.cumsum(matched & counted)
-        fp = before["fp"].iloc[0][c] + np.cumsum(~matched & counted)
-        if not n or not tp[-1]:
-            continue
-        precision = tp / (tp + fp + _EPS)
-        step = np.searchsorted(grid, tp / n, side="right") - 1
-        best = np.zeros(RECALL_POINTS)
-        np.maximum.at(best, step, precision)
-        for reached in np.unique(step[tp > 0]):
-            points.append((THRESHOLDS[t], name, int(reached), float(best[reached])))
-    return points
+    names_ = ["iou", "area", "step", "precision", class_key]
+    now, kind, totals, best = None, None, None, None
+
+    def points() -> Iterator[pa.RecordBatch]:
+        if totals is None or not best.any():
+            return
+        curve, step = np.nonzero(best)
+        columns = [
+            pa.array([THRESHOLDS[_CURVES[c][0]] for c in curve.tolist()], pa.float64()),
+            pa.array([_CURVES[c][1] for c in curve.tolist()], pa.string()),
+            pa.array(step, pa.int32()),
+            pa.array(best[curve, step]),
+            pa.array([now[0]] * len(curve), kind),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names_)
+
+    for batch in batches:
+        kind = batch.column(class_key).type
+        starts = [*_group_starts(batch, [class_key, SLICE]).tolist(), batch.num_rows]
+        hits, ignored = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hits", "ignored"))
+        for start, stop in zip(starts, starts[1:]):
+            key = (batch.column(class_key)[start].as_py(), batch.column(SLICE)[start].as_py())
+            if key != now:
+                yield from points()
+                now, best = key, np.zeros((len(_CURVES), RECALL_POINTS))
+                found = before.get(key)
+                totals = found and (np.array(found[0]), np.array(found[1]), found[2])
+            if totals is None:
+                continue
+            tp_before, fp_before, n = totals
+            for c, (_, name) in enumerate(_CURVES):
+                of_range = n[list(AREAS).index(name)]
+                counted = (ignored[start:stop] >> c & 1) == 0
+                matched = (hits[start:stop] >> c & 1) == 1
+                tp = tp_before[c] + np.cumsum(matched & counted)
+                fp = fp_before[c] + np.cumsum(~matched & counted)
+                tp_before[c], fp_before[c] = tp[-1], fp[-1]
+                if not of_range or not tp[-1]:
+                    continue
+                # Steps only rise along a curve.
+                step = np.searchsorted(grid, tp / of_range, side="right") - 1
+                first = np.flatnonzero(np.diff(step, prepend=-1))
+                top = np.maximum.reduceat(tp / (tp + fp + _EPS), first)
+                best[c, step[first]] = np.maximum(best[c, step[first]], top)
+    yield from points()
 
 
 def average_precision(
@@ -332,7 +357,9 @@ def average_precision(
     slice only reports the best precision of each recall step.
     """
     order = list(order)
-    sliced = slices(matches.select(class_key, "score", *order, "hits", "ignored"), [class_key], [F.col("score").desc(), *order])
+    falling = [F.col("score").desc(), *[F.asc_nulls_last(c) for c in order]]
+    rows = matches.select(class_key, "score", *order, "hits", "ignored")
+    sliced = slices(rows, [class_key], [F.col("score").desc(), *order], sort=[F.col(class_key), *falling])
     bit = lambda mask, c: F.getbit(mask, F.lit(c)).cast("bigint")
     counted = lambda c: F.lit(1) - bit("ignored", c)
     curves = range(len(_CURVES))
@@ -359,16 +386,16 @@ def average_precision(
         .join(n_gt.select(class_key, F.array(*[f"n_{a}" for a in AREAS]).alias("n")), class_key)
         .select(F.col(class_key).alias("c"), F.col(SLICE).alias("s"), "tp", "fp", "n")
     )
+    # A slice is a range of classes and scores: there are at most as many rows as classes and slices together.
+    before = {(r["c"], r["s"]): (r["tp"], r["fp"], r["n"]) for r in offsets.collect()}
+    known = matches.sparkSession.sparkContext.broadcast(before)
     key_type = matches.schema[class_key].dataType.simpleString()
-
-    def points(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(_curve_points(rows, before, order), columns=["iou", "area", "step", "precision"])
-        return found.assign(**{class_key: rows[class_key].iloc[0] if len(rows) else None})
-
     best = (
-        sliced.groupBy(class_key, SLICE)
-        .cogroup(offsets.groupBy("c", "s"))
-        .applyInPandas(points, f"iou double, area string, step int, precision double, {class_key} {key_type}")
+        sliced.select(class_key, SLICE, "hits", "ignored")
+        .mapInArrow(
+            lambda batches: _slice_points(batches, class_key, known.value),
+            f"iou double, area string, step int, precision double, `{class_key}` {key_type}",
+        )
         .groupBy(class_key, "iou", "area", "step")
         .agg(F.max("precision").alias("precision"))
     )

@@ -26,13 +26,17 @@ def _ordered(order: Sequence[str | Column]) -> list[Column]:
 
 
 def slices(
-    df: DataFrame, part: Sequence[str], order: Sequence[str | Column], tiebreak: bool = True
+    df: DataFrame, part: Sequence[str], order: Sequence[str | Column], tiebreak: bool = True, sort: Sequence[Column] = ()
 ) -> DataFrame:
-    """Rows range-partitioned by group and order, with their partition in the column ``SLICE``, in fixed storage."""
+    """Rows range-partitioned by group and order, with their partition in the column ``SLICE``, in fixed storage.
+
+    With ``sort`` the rows of a partition are sorted by it.
+    """
     order = _ordered(order)
     tie = [F.xxhash64(*df.columns)] if tiebreak else []
     ranged = df.repartitionByRange(*[F.col(p).asc() for p in part], *order, *tie)
-    return pin(ranged.withColumn(SLICE, F.spark_partition_id()))
+    sorted_ = ranged.sortWithinPartitions(*sort) if sort else ranged
+    return pin(sorted_.withColumn(SLICE, F.spark_partition_id()))
 
 
 def _segmented(values: np.ndarray, group: np.ndarray, starts: np.ndarray, largest: bool) -> np.ndarray:

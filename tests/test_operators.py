@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -287,6 +288,19 @@ def test_pairs_come_in_parts(monkeypatch):
     assert sum(parts, []) == [(d, g) for d in range(5) for g in range(start[group[d]], end[group[d]])] and len(parts) > 2
 
 
+def test_a_slice_is_summed_batch_by_batch():
+    rng = np.random.default_rng(4)
+    hits = rng.integers(0, 1 << 40, 400)
+    rows = pa.RecordBatch.from_pydict(
+        {"class": ["a"] * 150 + ["b"] * 250, skew.SLICE: pa.array([3] * 400, pa.int32()), "hits": hits, "ignored": rng.integers(0, 1 << 40, 400) & ~hits}
+    )
+    before = {(c, 3): ([k] * 40, [2] * 40, [500, 300, 100, None]) for k, c in enumerate("ab")}
+    found = lambda batches: [r for b in evaluate._slice_points(iter(batches), "class", before) for r in b.to_pylist()]
+    whole = found([rows])
+    assert {r["class"] for r in whole} == {"a", "b"} and "large" not in {r["area"] for r in whole}
+    assert found([rows.slice(i, 7) for i in range(0, 400, 7)]) == whole
+
+
 def test_perfect_detections_score_one(spark):
     _, gts = labelled(7)
     g = spark.createDataFrame([x for x in gts if not x["iscrowd"]], GTS)
