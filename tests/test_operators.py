@@ -156,6 +156,38 @@ def test_nms_rounds_equal_greedy(spark, min_iou):
     assert 0 < usual.count() < dets.count()
 
 
+@pytest.mark.parametrize("min_iou", [0.2, 0.5, 0.7])
+def test_kept_boxes_are_found_by_their_cells(monkeypatch, min_iou):
+    monkeypatch.setattr(detections, "LATE_BOXES", 20)
+    monkeypatch.setattr(detections, "BOX_PAIRS", 50)
+    rng = np.random.default_rng(2)
+    corner, size = rng.uniform(-200, 200, (1500, 2)), np.exp2(rng.uniform(0, 5, (1500, 2)))
+    boxes = np.concatenate([corner, corner + size], axis=1)
+    group = np.repeat([0.0, np.nan, 1.0], [900, 100, 500])
+    columns = {c: boxes[:, i] for i, c in enumerate(("x1", "y1", "x2", "y2"))}
+    keys = pa.StructArray.from_arrays([pa.array(group)], ["g"])
+    rows = pa.RecordBatch.from_pydict({"k": keys, "i": np.arange(1500), **columns})
+    kept = pa.Table.from_batches(detections._suppress(iter([rows.slice(i, 333) for i in range(0, 1500, 333)]), "k", min_iou))
+    starts = ((0, 900), (900, 1000), (1000, 1500))
+    assert kept.column("i").to_pylist() == [int(i) + a for a, b in starts for i in detections._greedy(boxes[a:b], min_iou)]
+
+
+def test_large_groups_take_no_rounds(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("a group that one task can go through went in rounds")
+
+    monkeypatch.setattr(detections, "_nms_rounds", rounds)
+    dets = spark.range(20000).select(
+        F.lit(1).alias("image_id"), F.lit(0).alias("class"), (C("id") % 90).cast("double").alias("x1"), (C("id") % 41).cast("double").alias("y1"),
+        (C("id") % 90 + 9).cast("double").alias("x2"), (C("id") % 41 + 7).cast("double").alias("y2"),
+        (C("id") * 7919 % 1009).cast("double").alias("score"), C("id").alias("det_idx"),
+    )
+    kept = detections.nms(dets).toPandas()
+    rows = dets.toPandas().sort_values(["score", "det_idx"], ascending=[False, True])
+    best = rows.iloc[detections._greedy(rows[["x1", "y1", "x2", "y2"]].to_numpy(), 0.5)]
+    assert sorted(kept["det_idx"]) == sorted(best["det_idx"])
+
+
 def test_nms_of_odd_boxes_and_null_keys(spark):
     rows = [(None, 0, 0.0, 0.0, 10.0, 10.0, 0.9, 0), (None, 0, 1.0, 0.0, 10.0, 10.0, 0.8, 1), (None, 0, 90.0, 0.0, 50.0, 9.0, 0.7, 2),
             (None, 0, 300.0, 0.0, 200.0, 9.0, 0.6, 3), (None, 0, None, 0.0, 5.0, 5.0, 0.5, 4), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.4, 5)]
