@@ -92,6 +92,19 @@ def test_training_tensors_equal_the_columns(spark):
     assert floats.schema["px"].dataType.simpleString() == "array<float>"
 
 
+def test_training_tensors_leave_in_parts(spark, monkeypatch):
+    rows = [(i, 1, 2, *([None] * 3 if i == 3 else [[51 * i, 0]] * 3)) for i in range(6)]
+    rasters = spark.createDataFrame(rows, "image_id int, height int, width int, red array<int>, green array<int>, blue array<int>").coalesce(1)
+    planes_ = [(i, "a.tif", 1, 2, None if i == 4 else [0.5, None if i == 5 else 0.25]) for i in range(6)]
+    thermal = spark.createDataFrame(planes_, "image_id int, path string, h int, w int, px array<double>")
+    monkeypatch.setattr(planes, "_HELD_PIXELS", 9)
+    got = {r.image_id: r.px for r in training.training_tensors(rasters, thermal, "double").collect()}
+    last = {4: [0.0, 0.0], 5: [0.5, None]}
+    for i in range(6):
+        want = None if i == 3 else [v for _ in range(3) for v in (51 * i / 255, 0.0)] + last.get(i, [0.5, 0.25])
+        assert got[i] == want
+
+
 def test_predictors_see_batches_of_one_size(spark):
     sizes = [(2, 3)] * 9 + [(1, 1)] * 2 + [(2, 3)] * 3
     rows = [(f"{i:02d}", h, w, *[[i] * (h * w)] * 3, None) for i, (h, w) in enumerate(sizes)]
