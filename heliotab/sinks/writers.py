@@ -12,8 +12,9 @@ from heliotab.operators.skew import collect_chunks
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON row per image below its session's folder, with the reason where scoring failed."""
-    df.select("session", "file", "boxes", "scores", "classes", "reason").write.mode(mode).partitionBy("session").json(path)
+    """One JSON row per image below its session's folder, packed, with the reason where scoring failed."""
+    rows = df.select("session", "file", "boxes", "scores", "classes", "reason")
+    rows.write.mode(mode).partitionBy("session").option("compression", "lz4").json(path)
 
 
 def geojson_lines(features: DataFrame, key: str = "session") -> DataFrame:

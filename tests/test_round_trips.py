@@ -14,6 +14,7 @@ from heliotab.sinks import writers
 from heliotab.sources.archives import _expand, expand_archives
 from heliotab.sources.exif import decode_exif_gps, positions
 from heliotab.sources.metadata import read_pairs
+from heliotab.sources.predictions import read_prediction_table
 
 
 def test_sessions_with_equal_names_stay_apart(spark):
@@ -81,6 +82,17 @@ def test_damaged_members_do_not_end_the_job(spark, tmp_path):
     assert got["a.jpg"] is None and bytes(got["b.jpg"]) == b"b.jpg" * 50 and set(got) == {"a.jpg", "b.jpg"}
 
 
+def test_predictions_are_written_packed(spark, tmp_path):
+    rows = [(f"s{i % 3}", f"{i}.jpg", [[1.0, 2.0, 3.0, 4.0]], [0.5], [i], None) for i in range(9)]
+    schema = "session string, file string, boxes array<array<double>>, scores array<double>, classes array<int>, reason string"
+    preds = spark.createDataFrame(rows, schema)
+    writers.write_predictions(preds, str(tmp_path / "preds"))
+    files = [f.name for f in (tmp_path / "preds").glob("session=*/part-*")]
+    assert files and all(name.endswith(".json.lz4") for name in files)
+    back = read_prediction_table(spark, str(tmp_path / "preds")).select(*preds.columns)
+    assert sorted(map(tuple, back.drop("boxes").collect())) == sorted(map(tuple, preds.drop("boxes").collect()))
+
+
 def test_small_archives_leave_together():
     raw = []
     for i in range(300):
