@@ -11,7 +11,9 @@ count as one document together.
 
 Texts with equal words are one node from the start. In a bucket of a band a pivot is compared with all others; those
 that are linked to it need no comparison with each other. That is repeated for the pairs that are still open, and when
-few of them are left, all of them are verified.
+few of them are left, all of them are verified: in small buckets as pairs, in others cell by cell, a cell being two
+parts of a bucket, so that no pair of a large bucket becomes a row. In a cell texts go that have too little in common
+with all of the other part together; what is left is compared in matrices, and links that connect the cell are returned.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ PLAIN_BANDS, PLAIN_ROWS = 8, 3  # of the plain min-hashes
 LARGE = 0.001  # part of all documents from which a group of copies is counted as one; so few groups are broadcast
 ROUNDS = 4  # of pivots, at most; what is open then is verified pair by pair
 OPEN_PAIRS = 1  # pivots go on while more pairs than this many times the bucket members are open
+SMALL_BUCKET = 8  # open members up to which a bucket's pairs are rows
+CELL_ROWS, CELL_BYTES = 256, 4_000_000  # of each of the two parts that make a cell of a larger bucket
+CELL_COLUMNS = 4096  # shingles that are compared at once in a cell
 
 
 def shingles(column: pa.Array):
@@ -253,6 +258,111 @@ def _similarities(weights):
     return similarity
 
 
+def _shared_weight(rows, columns, weight, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Weight that each text of ``upper`` shares with each of ``lower``; entries (row, column) are sorted by column."""
+    out = np.zeros((len(upper), len(lower)))
+    for low in range(0, len(weight), CELL_COLUMNS):
+        a, b = np.searchsorted(columns, (low, low + CELL_COLUMNS))
+        dense = np.zeros((max(upper.max(), lower.max()) + 1, min(CELL_COLUMNS, len(weight) - low)))
+        dense[rows[a:b], columns[a:b] - low] = 1
+        out += (dense[upper] * weight[low : low + CELL_COLUMNS]) @ dense[lower].T
+    return out
+
+
+def linked_pairs(texts: pa.Array, part: np.ndarray, weights: np.ndarray, similar: float):
+    """(x, y, similarity) of all pairs of texts of part 0 and part 1 that are similar; of all pairs, if there is one part.
+
+    A shingle that occurs n times in a text is n shingles, so the weight that two texts share is a sum over those that
+    both have. A text whose shingles on the other side weigh less than ``similar`` of its own weight has no link.
+    """
+    hashed, count, sizes, _ = shingles(texts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(owner, count * weights[(hashed & np.uint64(BUCKETS - 1)).astype(np.int64)], minlength=len(sizes))
+    kinds, kind = np.unique(hashed, return_inverse=True)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    rows, entry = np.repeat(owner, count), np.repeat(kind, count) << 32 | nth
+    one = not (part.any() and (part == 0).any())
+    side = np.zeros(len(part), np.int64) if one else part.astype(np.int64)
+    alive = total > 0
+    while True:
+        keep = alive[rows]
+        rows, entry = rows[keep], entry[keep]
+        column = np.unique(entry, return_inverse=True)[1]
+        seen = np.stack([np.bincount(column[side[rows] == s], minlength=column.max(initial=-1) + 1) for s in (0, 1)])
+        shared = seen[0] > 1 if one else (seen > 0).all(axis=0)
+        rows, entry = rows[shared[column]], entry[shared[column]]
+        weight = weights[(kinds[entry >> 32] & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+        # Sums in another order may differ in the last digits.
+        left = alive & (np.bincount(rows, weight, minlength=len(sizes)) >= (similar - 1e-9) * total)
+        if (left == alive).all():
+            break
+        alive = left
+    upper, lower = (np.flatnonzero(alive & (side == s)) for s in ((0, 0) if one else (0, 1)))
+    if not len(upper) or not len(lower):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    names, column = np.unique(entry, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    weight = weights[(kinds[names >> 32] & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+    both = _shared_weight(rows[order], column[order], weight, upper, lower)
+    out = both / np.maximum(total[upper][:, None] + total[lower][None, :] - both, 1e-12)
+    x, y = np.nonzero(out >= similar)
+    found = out[x, y]
+    x, y = upper[x], lower[y]
+    return (x[x < y], y[x < y], found[x < y]) if one else (x, y, found)
+
+
+def _cell_links(weights, similar: float):
+    """Links of a cell between different labels, as many as connect what its links connect."""
+
+    def links(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("node")
+        node, label = cell["node"].to_pylist(), cell["label"].to_pylist()
+        chunk = cell["chunk"].to_numpy()
+        out = []
+        if len(set(label)) > 1:
+            text = cell["text"].combine_chunks()
+            x, y, alike = linked_pairs(text, (chunk != chunk.min()).astype(np.int64), weights.value, similar)
+            root = {name: name for name in label}
+
+            def top(name):
+                while root[name] != name:
+                    root[name] = name = root[root[name]]
+                return name
+
+            for i, j, similarity in zip(x.tolist(), y.tolist(), alike.tolist()):
+                a, b = top(label[i]), top(label[j])
+                if a != b:
+                    root[a] = b
+                    out.append((min(node[i], node[j]), max(node[i], node[j]), similarity))
+        a, b, similarity = zip(*out) if out else ((), (), ())
+        return pa.table(
+            [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similarity, pa.float64())],
+            ["a", "b", "similarity"],
+        )
+
+    return links
+
+
+def _in_cells(members: DataFrame, texts: DataFrame, weights, similar: float) -> DataFrame:
+    """Links (a, b, similarity) between the nodes of each bucket of ``members`` (bucket, node, label).
+
+    A bucket is dealt into parts by the hash of the node. A cell has the texts of two parts, or of one, and each task
+    holds one cell at a time.
+    """
+    sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    n_parts = F.greatest(F.count("node") / CELL_ROWS, F.sum("size") / CELL_BYTES)
+    parts = sized.groupBy("bucket").agg(F.ceil(n_parts).cast("int").alias("parts"))
+    dealt = members.join(parts, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = dealt.select("bucket", "node", "label", "chunk", other).select(
+        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk"
+    )
+    held = cells.join(texts, "node")
+    return held.groupBy("bucket", "low", "high").applyInArrow(
+        _cell_links(weights, similar), "a binary, b binary, similarity double"
+    )
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text"):
     """Nodes of ``docs`` and the links between them.
 
@@ -310,7 +420,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
             break
         if turn == ROUNDS or left[2] <= OPEN_PAIRS * left[1]:
             # A pair is taken in the first bucket that it shares; there it is open too, or else settled.
-            now = state.filter("open").join(active.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node")
+            now = state.filter("open").join(active.select("bucket", "n"), "bucket")
+            cells = now.filter(F.col("n") > SMALL_BUCKET).select("bucket", "node", "label")
+            now = now.filter(F.col("n") <= SMALL_BUCKET).join(nodes.select("node", "bands"), "node")
             x, y = now.alias("x"), now.alias("y")
             once = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
             near = F.least("x.weight", "y.weight") >= similar * F.greatest("x.weight", "y.weight")
@@ -318,7 +430,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & near & shared)
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
-            found = pin(verified(pairs))
+            found = pin(verified(pairs).union(_in_cells(cells, texts, weights, similar)))
             known = found if known is None else known.union(found)
             break
         meet = state.join(active.select("bucket", "p"), "bucket")

@@ -172,6 +172,48 @@ def test_near_copies_equal_brute_force(spark, awkward, monkeypatch, rounds):
     assert heads and all(len(h) == 1 for h in heads.values())
 
 
+def test_links_of_a_cell_equal_brute_force():
+    rng, base = random.Random(5), prose(20, 120)
+    texts = [edited(base, k, rng.randrange(9)).lower() for k in range(60)] + ["", "two words", "two words", base.lower() * 3]
+    weights = np.random.default_rng(1).uniform(0.2, 1, near_copies.BUCKETS).astype(np.float32)
+    bags = []
+    for text in texts:
+        hashed, count, _, _ = near_copies.shingles(pa.array([text]))
+        weight = weights[(hashed & np.uint64(near_copies.BUCKETS - 1)).astype(int)].astype(float)
+        bags.append(dict(zip(hashed.tolist(), (count * weight).tolist())))
+    part = np.array([rng.randrange(2) for _ in texts])
+    for parts in (part, np.zeros_like(part)):
+        want = {}
+        for i, a in enumerate(bags):
+            for j, b in enumerate(bags):
+                shared = sum(min(w, b.get(s, 0)) for s, w in a.items())
+                total = sum(a.values()) + sum(b.values()) - shared
+                if (parts[i] < parts[j] or (not parts.any() and i < j)) and shared >= 0.8 * total > 0:
+                    want[i, j] = shared / total
+        x, y, found = near_copies.linked_pairs(pa.array(texts), parts, weights, 0.8)
+        assert len(want) > 50 and sorted(want) == list(zip(x.tolist(), y.tolist()))
+        assert np.allclose(found, [want[p] for p in zip(x.tolist(), y.tolist())])
+
+
+def test_pairs_of_a_large_bucket_are_no_rows(spark, monkeypatch):
+    """Copies that are mostly not similar enough to each other: no table grows with the square of their number."""
+    monkeypatch.setattr(near_copies, "CELL_ROWS", 30, raising=False)
+    made = []
+
+    def counted(df, pin=near_copies.pin):
+        made.append((fixed := pin(df)).count())
+        return fixed
+
+    monkeypatch.setattr(near_copies, "pin", counted)
+    base = prose(21, 200)
+    texts = [edited(base, 300 + k, 1 + k % 8) for k in range(300)]
+    docs = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], SCHEMA)
+    got = near_copies.near_copy_classes(docs).collect()
+    assert Counter((r.k_id, r.k_text, r.class_id) for r in got) == weighted_classes(docs)
+    assert 1 < len({r.class_id for r in got}) < 300
+    assert max(made) <= near_copies.BANDS * len(texts)
+
+
 def test_one_of_each_class_stays(awkward, empty):
     kept = near_copies.drop_near_copies(awkward)
     assert kept.columns == awkward.columns
