@@ -8,7 +8,8 @@ template that recurs over documents are dropped, except in its first document.
 
 Lines that agree in that part of their tokens have one of so many blocks of tokens in common as there may be differing
 tokens, and one more. So only lines with a common block are compared. A line that has the most documents in all of its
-blocks is a seed; that is repeated, and when few pairs are left, all of them are compared.
+blocks is a seed; that is repeated, and when few pairs are left, all of them are compared. Where a leaf has few such
+lines, as by chance, these are fewer pairs than blocks, so all of them are compared at once.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ GENERAL_TOKENS = 8  # lines from this length can join a seed that differs from t
 LEAST_FIXED = 2  # tokens without a digit that a masked line has, and at least half of all; others are compared unmasked
 MIN_DOCS = 3  # documents from which a template recurs
 ROUNDS = 6  # of seeds by blocks, at most; what is open then is compared pair by pair
+SMALL_LEAF = 8  # lines up to which all pairs of a leaf are compared
 OPEN_PAIRS = 2  # these rounds go on while more pairs than this many times the members of blocks are open
 
 KEY = ("k_id", "k_text")
@@ -145,7 +147,11 @@ def _further_seeds(left: DataFrame, similar: float) -> DataFrame:
         both = pairs.join(kinds.select("line", "n", "masked"), "line").join(seed, "seed")
         return both.filter(_agrees(similar)).select("line", "seed", "rank")
 
-    state = _blocks(kinds, similar)
+    per_leaf = kinds.groupBy("leaf").agg(F.count("line").alias("lines"))
+    few = kinds.join(per_leaf.filter(F.col("lines").between(2, SMALL_LEAF)), "leaf").select("leaf", "line", "rank")
+    met = few.alias("x").join(few.alias("y"), (F.col("x.leaf") == F.col("y.leaf")) & (F.col("x.rank") < F.col("y.rank")))
+    edges = agreeing(met.select(F.col("x.line").alias("line"), F.col("y.line").alias("seed")))
+    state = _blocks(kinds.join(per_leaf.filter(F.col("lines") > SMALL_LEAF).select("leaf"), "leaf"), similar)
     shared = state.groupBy("bucket").agg(F.count("line").alias("members")).filter("members > 1").select("bucket")
     state = pin(state.join(shared, "bucket"))
     joined = kinds.select("line", F.col("line").alias("seed")).limit(0)
@@ -160,7 +166,7 @@ def _further_seeds(left: DataFrame, similar: float) -> DataFrame:
             x, y = live.alias("x"), live.alias("y")
             met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rank") < F.col("y.rank")))
             pairs = met.select(F.col("x.line").alias("line"), F.col("y.line").alias("seed")).distinct()
-            joined = joined.union(_settled(pin(agreeing(pairs))))
+            edges = edges.union(agreeing(pairs))
             break
         first = live.groupBy("line").agg(F.every(F.col("rank") == F.col("top")).alias("is_seed"))
         first = pin(first.filter("is_seed").select("line"))
@@ -171,7 +177,7 @@ def _further_seeds(left: DataFrame, similar: float) -> DataFrame:
         gone = first.union(found.select("line"))
         state = pin(live.join(gone, "line", "left_anti").select("line", "rank", "bucket"))
         release(left.sparkSession)
-    return joined
+    return joined.union(_settled(pin(edges)))
 
 
 def line_templates(

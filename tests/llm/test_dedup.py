@@ -238,6 +238,26 @@ def test_lines_of_recurring_templates_are_dropped(spark):
     assert ["login", "of", "<*>"] in [r.tokens[:3] for r in texts]
 
 
+def test_few_lines_of_a_leaf_are_compared_without_blocks(spark, monkeypatch):
+    """Lines that share a leaf by chance have no blocks; the templates of small leaves are those of all pairs."""
+    cut = []
+
+    def counted(left, similar, blocks=line_templates._blocks):
+        cut.append(left.count())
+        return blocks(left, similar)
+
+    monkeypatch.setattr(line_templates, "_blocks", counted)
+    fields = ["one two three four five six", "one two three four five SIX", "a b c d e f", "a b c d e F", "u v w x y z"]
+    lines = [f"job {leaf} {tail}" for leaf in ("north", "south") for tail in fields]
+    rows = [(k, line, "", "", 0) for k, line in enumerate(lines)] + [(90, "job north a b c d e G\njob west q r s t u v", "", "", 0)]
+    got = line_templates.line_templates(spark.createDataFrame(rows, SCHEMA)).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.template].add(r.k_id)
+    assert sorted(map(sorted, groups.values())) == [[2, 3, 90]]
+    assert not any(cut)
+
+
 def test_lines_on_awkward_rows(awkward, empty):
     got = line_templates.drop_recurring_lines(awkward)
     assert got.count() == awkward.count() and got.columns.count("n_lines") == 1
