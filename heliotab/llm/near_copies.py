@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from heliotab.llm.common import (
     LOWER,
     Prefix,
+    compact,
     list_array,
     mix64,
     release,
@@ -403,26 +404,32 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
 
     # label: members of a bucket with one label are known to be connected; open: not yet a pivot.
     state = members.select("bucket", "node", "weight", F.col("node").alias("label"), F.lit(True).alias("open"))
-    known = None
+    known, tested = None, 0
     for turn in range(ROUNDS + 1):
         # Open pairs are those of open members with different labels.
         alike = state.groupBy("bucket", "label").agg(
             F.count_if("open").cast("double").alias("n"),
+            F.count("*").alias("members"),
             F.max_by(F.struct("node", "label", "weight"), F.when(F.col("open"), F.col("node"))).alias("p"),
         )
         summary = alike.groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"),
+            F.sum("members").alias("members"),
             F.max_by("p", F.when(F.col("n") > 0, F.col("label"))).alias("p"),
         )
         active = pin(summary.filter("n > 0 AND labels > 1"))
-        left = active.agg(F.count("n"), F.sum("n"), F.sum(F.expr("(n * n - squares) / 2"))).first()
+        left = active.agg(F.count("n"), F.sum("n"), F.sum(F.expr("(n * n - squares) / 2")), F.sum("members")).first()
         if not left[0]:
             break
+        active = compact(active, left[0])
+        # Members of the buckets that are still at work; from here on, rounds cost by their number.
+        meet = compact(pin(state.join(active.select("bucket", "p", F.col("n").alias("n_open")), "bucket")), left[3])
         if turn == ROUNDS or left[2] <= OPEN_PAIRS * left[1]:
             # A pair is taken in the first bucket that it shares; there it is open too, or else settled.
-            now = state.filter("open").join(active.select("bucket", "n"), "bucket")
-            cells = now.filter(F.col("n") > SMALL_BUCKET).select("bucket", "node", "label")
-            now = now.filter(F.col("n") <= SMALL_BUCKET).join(nodes.select("node", "bands"), "node")
+            now = meet.filter("open")
+            # Members of large buckets are dealt out again, as each becomes a row per cell.
+            cells = now.filter(F.col("n_open") > SMALL_BUCKET).select("bucket", "node", "label").repartition("node")
+            now = now.filter(F.col("n_open") <= SMALL_BUCKET).join(nodes.select("node", "bands"), "node")
             x, y = now.alias("x"), now.alias("y")
             once = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
             near = F.least("x.weight", "y.weight") >= similar * F.greatest("x.weight", "y.weight")
@@ -430,28 +437,29 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & near & shared)
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
-            found = pin(verified(pairs).union(_in_cells(cells, texts, weights, similar)))
+            found = compact(pin(verified(pairs).union(_in_cells(cells, texts, weights, similar))), left[2])
             known = found if known is None else known.union(found)
             break
-        meet = state.join(active.select("bucket", "p"), "bucket")
         others = meet.filter("open AND label <> p.label")
         near = F.least("weight", "p.weight") >= similar * F.greatest("weight", "p.weight")
         pairs = others.filter(near).select(*pair("node", "p.node")).distinct()
         pairs = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
-        found = pin(verified(pairs))
-        known = found if known is None else pin(known.union(found).distinct())
+        found = compact(pin(verified(pairs)), left[1])
+        tested += left[1]
+        known = found if known is None else compact(pin(compact(known.union(found), tested).distinct()), tested)
         linked = known.filter(F.col("similarity") >= similar).select("a", "b", F.lit(True).alias("linked"))
         hits = others.withColumns(dict(zip(("a", "b"), (F.least("node", "p.node"), F.greatest("node", "p.node")))))
         hits = hits.join(linked, ["a", "b"]).select("bucket", "label", F.col("p.label").alias("own"))
         least = hits.groupBy("bucket").agg(F.least(F.min("label"), F.min("own")).alias("to"))
-        renamed = hits.select("bucket", "label").union(hits.select("bucket", F.col("own").alias("label"))).distinct()
+        renamed = hits.select("bucket", "label").union(hits.select("bucket", F.col("own").alias("label")))
+        renamed = compact(renamed, 2 * left[3]).distinct()
         renamed = renamed.join(least, "bucket")
-        state = pin(
+        state = compact(pin(
             meet.join(renamed, ["bucket", "label"], "left").select(
                 "bucket", "node", "weight", F.coalesce("to", "label").alias("label"),
                 (F.col("open") & (F.col("node") != F.col("p.node"))).alias("open"),
             )
-        )
+        ), left[3])
         release(spark)
     if known is None:
         known = spark.createDataFrame([], "a binary, b binary, similarity double")

@@ -110,6 +110,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_rounds_over_few_links_take_few_tasks(spark):
+    """Shuffles are dealt over 64 partitions that stay apart; a path of 40 nodes takes several rounds."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int")
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        spark.sparkContext.setJobGroup("few links", "few links")
+        assert {tuple(r) for r in components(links).collect()} == {(k, 0) for k in range(41)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("few links")]
+    stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
+    assert sum(stage.numCompletedTasks for stage in stages if stage) < 2500
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(5)
     hashed = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
