@@ -94,6 +94,46 @@ def test_coco_and_yolo_agree(spark, split):
     np.testing.assert_allclose(a, b, atol=0.001)
 
 
+ODD_DOCS = [
+    '{"images":[{"id":1,"file_name":"a","extra":{"name":"n"}},null,{"id":"x","width":2}],"annotations":[],"categories":[{"id":0}]}',
+    '{"images":[{"id":1},5,"{\\"id\\":7}"],"annotations":[{"id":1,"bbox":[1,2.5],"segmentation":{"counts":[1]},"iscrowd":1}],"categories":null}',
+    '{"annotations":[{"id":2,"bbox":[1,"a",3],"category_id":1.5,"image_id":3},{"id":99999999999999999999,"area":"7"}]}',
+    '{"images":{"id":1},"annotations":[[{"id":4}]],"categories":[{"id":1,"name":12}]}',
+    '{"images":[{"id":1}],"annotations":[{"id":1',
+    "[]",
+    "",
+    None,
+]
+
+
+def test_documents_in_one_pass_are_their_elements_one_by_one(spark):
+    docs = spark.createDataFrame([(f"d{i}", text) for i, text in enumerate(ODD_DOCS)], "split string, text string")
+    parsed = F.from_json("text", "images array<string>, annotations array<string>, categories array<string>")
+    listed = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"d.{s}").alias("e")) for s in ("images", "annotations", "categories")])
+    texts = docs.select("split", parsed.alias("d")).select("split", F.explode(listed).alias("s"))
+    texts = texts.select("split", "s.section", F.explode("s.e").alias("element"))
+    got, want = coco.coco_tables(coco.coco_text_elements(docs)), coco.coco_tables(texts)
+    rows = lambda table: sorted(map(repr, table.collect()))
+    for a, b in zip(got, want, strict=True):
+        assert a.schema.simpleString() == b.schema.simpleString() and rows(a) == rows(b)
+    assert [t.count() for t in want] == [6, 4, 2]
+    shape = {s: lambda r, s=s: {"kind": F.lit(s), "id": r["id"].cast("bigint")} for s in ("images", "annotations", "categories")}
+    keys = {"images": "image_id", "annotations": "ann_id", "categories": "id"}
+    each = [t.select("split", F.lit(s).alias("kind"), F.col(k).cast("bigint").alias("id")) for t, (s, k) in zip(want, keys.items())]
+    assert rows(got.union(**shape)) == rows(want.union(**shape)) == rows(each[0].union(each[1]).union(each[2]))
+
+
+def test_s4_reads_its_documents_once(spark, tmp_path):
+    from heliotab.catalog import all_queries
+
+    items = [(1, 2, 3, 1, 50.0, 9.5), (1, 4, 5, 2, 7.0, 8.5), (None, 4, 5, None, 7.0, 8.5)]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(items, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = all_queries()[0]["S4"](spark, str(tmp_path))
+    assert {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()} == {"image": 3, "annotation": 3, "category": 6}
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_coco_elements_across_small_blocks(monkeypatch):
     import io
 
