@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from heliotab.operators.detections import MAX_DETECTIONS, topk_per_image
-from heliotab.operators.skew import SLICE, slices
-from heliotab.session import pin
+from heliotab.operators.skew import SLICE
+from heliotab.session import pin, release
 
 # Fixed values of the protocol.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -21,6 +24,8 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**
 RECALL_POINTS = 101
 RECALL_STEP = 0.01
 GT_BLOCK = 20_000  # boxes of an image and class that meet its detections in one group
+GROUP_BUCKETS = 1 << 17  # groups are counted by buckets of their hash
+SLICES_A_PARTITION, SAMPLES_A_SLICE, MOST_SAMPLES = 2, 8, 4096
 MOST_PAIRS = 2_000_000  # compared at a time
 
 _CURVES = [(t, a) for t in range(len(THRESHOLDS)) for a in AREAS]
@@ -141,14 +146,14 @@ class _Groups:
 
 
 def _group_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """Where a new group starts in sorted rows."""
+    """Where a new group starts in sorted rows; nulls are equal."""
     new = np.zeros(batch.num_rows, dtype=bool)
     new[:1] = True
     for key in keys:
         column = batch.column(key)
         before, after = column.slice(0, len(column) - 1), column.slice(1)
-        differ = pc.fill_null(pc.not_equal(before, after), True).to_numpy(zero_copy_only=False)
-        new[1:] |= differ
+        differ = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (np.asarray(before.is_null()) != np.asarray(after.is_null()))
     return np.flatnonzero(new)
 
 
@@ -167,6 +172,30 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield held[0], np.zeros(1, dtype=np.int64)
 
 
+def _best_of_groups(batch: pa.RecordBatch, starts: np.ndarray, most: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Whole groups with their first ``most`` detections."""
+    place = np.arange(batch.num_rows) - np.repeat(starts, np.diff(starts, append=batch.num_rows))
+    keep = (place < most) | (batch.column("__kind").to_numpy(zero_copy_only=False) > 0)
+    if keep.all():
+        return batch, starts
+    return batch.filter(pa.array(keep)), (np.cumsum(keep) - keep)[starts]
+
+
+def _crowded(df: DataFrame, keys: list[str]) -> Column | None:
+    """Test that holds for all rows of groups with more than GT_BLOCK rows, and few others; None if no group has so many.
+
+    Groups are counted by buckets of their hash, so no task hands on more than GROUP_BUCKETS counts.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(GROUP_BUCKETS)).cast("int")
+    counts = df.groupBy(bucket.alias("__bucket")).count().filter(F.col("count") > GT_BLOCK)
+    found = [r[0] for r in counts.select("__bucket").collect()]
+    del counts
+    release(df.sparkSession)
+    if not found:
+        return None
+    return bucket.isin(found) if len(found) <= 1000 else F.lit(True)
+
+
 def match_detections(
     dets: DataFrame, gts: DataFrame, keys: Sequence[str] = ("image_id", "class"), max_dets: int = MAX_DETECTIONS
 ) -> DataFrame:
@@ -176,35 +205,46 @@ def match_detections(
     ``dets`` has x1..y2, score and det_key; ``gts`` has x1..y2, area, iscrowd and gt_key; the keys break ties. Rows with
     a null key match nothing.
 
-    Detections and boxes of an image and class meet in one pass over sorted rows; no pair becomes a row. Boxes of one
-    beyond GT_BLOCK go in blocks, to each of which its detections are sent. A detection meets at most ``max_dets - 1``
-    boxes taken by others, so its best ``max_dets`` partners of each size class contain its match in every area range;
-    the blocks hand on these, and one more pass settles them.
+    Detections and boxes are shuffled once, and those of an image and class meet in one pass over sorted rows; no pair
+    becomes a row. Detections of groups with more than GT_BLOCK rows are cut to the best before. Boxes of one beyond
+    GT_BLOCK go in blocks, to each of which its detections are sent. A detection meets at most ``max_dets - 1`` boxes
+    taken by others, so its best ``max_dets`` partners of each size class contain its match in every area range; the
+    blocks hand on these, and one more pass settles them.
     """
     keys = list(keys)
-    best = topk_per_image(dets, max_dets, keys, ("score", "det_key"), "__rank")
-    boxes = gts.filter("iscrowd IN (0, 1)").select(
+    boxes = gts.filter("iscrowd IN (0, 1)").filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    boxes = boxes.select(
         *keys, *_BOX, F.col("area").alias("__area"), (F.col("iscrowd") + 1).cast("int").alias("__kind"), F.col("gt_key").alias("__gt")
     )
-    # One row at most for each GT_BLOCK boxes.
-    large = boxes.groupBy(*keys).count().filter(F.col("count") > GT_BLOCK)
-    large = large.select(*keys, F.ceil(F.col("count") / GT_BLOCK).cast("int").alias("__blocks"))
-    blocks = F.coalesce("__blocks", F.lit(1))
-    placed = boxes.join(large, keys, "left").withColumn("__block", F.pmod(F.xxhash64("__gt", *_BOX), blocks).cast("int"))
-    sent = best.join(large, keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = sent.withColumn("__kind", F.lit(0)).unionByName(placed, allowMissingColumns=True).fillna(1, ["__blocks"])
-    group = [*keys, "__block"]
+    many, large = _crowded(dets, keys), _crowded(boxes, keys)
+    group, order, best, whole_groups = keys, [F.col("score").desc(), F.col("det_key")], dets, large is None
+    if many is not None or large is not None:
+        hot = large if many is None else many if large is None else many | large
+        ranked = topk_per_image(dets.filter(hot), max_dets, keys, ("score", "det_key"), "__rank")
+        best = dets.filter(~hot).unionByName(ranked, allowMissingColumns=True)
+        order = [F.col("__rank"), *order]
+    if not whole_groups:
+        # One row at most for each GT_BLOCK boxes.
+        blocks = boxes.filter(large).groupBy(*keys).count().filter(F.col("count") > GT_BLOCK)
+        blocks = F.broadcast(blocks.select(*keys, F.ceil(F.col("count") / GT_BLOCK).cast("int").alias("__blocks")))
+        count = F.coalesce("__blocks", F.lit(1))
+        boxes = boxes.join(blocks, keys, "left").withColumn("__block", F.pmod(F.xxhash64("__gt", *_BOX), count).cast("int"))
+        best = best.join(blocks, keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), count - 1)))
+        boxes, best = (rows.withColumn("__blocks", count) for rows in (boxes, best))
+        group = [*keys, "__block"]
+    met = best.withColumn("__kind", F.lit(0)).unionByName(boxes, allowMissingColumns=True)
     parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = met.repartition(parts, *group).sortWithinPartitions(*group, "__kind", "__rank", "__gt")
+    ordered = met.repartition(parts, *group).sortWithinPartitions(*group, "__kind", *order, "__gt")
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema}
-    kept = [*dets.columns, "__rank"]
+    kept = [*dets.columns, *([] if whole_groups else ["__rank"])]
     whole = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
     # What a block hands on: its share of the crowds and the boxes near each detection.
     partial = f"__share double, __overlap array<double>, __area array<double>, __gt array<{kinds['__gt']}>"
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in _whole_groups(batches, group):
+            batch, starts = _best_of_groups(batch, starts, max_dets)
             found = _Groups.of(batch, starts)
             rows = batch.select(kept).take(pa.array(found.det))
             known = np.ones(len(found.det), dtype=bool)
@@ -217,6 +257,10 @@ def match_detections(
             for a, b in zip(edges, edges[1:]):
                 settled += _settle(list(zip(share[a:b].tolist(), near[a:b])))
             hits, ignored = _masks(settled, share, found.area)
+            columns, names = [*rows.columns, pa.array(hits), pa.array(ignored)], [*kept, "hits", "ignored"]
+            if whole_groups:
+                yield pa.RecordBatch.from_arrays(columns, names)
+                continue
             split = batch.column("__blocks").take(pa.array(found.det)).to_numpy(zero_copy_only=False) > 1
             empty = pa.nulls(len(found.det), pa.float64())
             lists = [pa.nulls(len(found.det), pa.list_(t)) for t in (pa.float64(), pa.float64(), batch.column("__gt").type)]
@@ -225,9 +269,10 @@ def match_detections(
                 types = (pa.float64(), pa.float64(), batch.column("__gt").type)
                 lists = [pa.array([h and h[i] for h in handed], pa.list_(t)) for i, t in enumerate(types)]
                 empty = pa.array(share, mask=~split)
-            names = [*kept, "hits", "ignored", "__share", "__overlap", "__area", "__gt"]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits), pa.array(ignored), empty, *lists], names)
+            yield pa.RecordBatch.from_arrays([*columns, empty, *lists], [*names, "__share", "__overlap", "__area", "__gt"])
 
+    if whole_groups:
+        return ordered.mapInArrow(match, f"{whole}, hits bigint, ignored bigint")
     matched = pin(ordered.mapInArrow(match, f"{whole}, hits bigint, ignored bigint, {partial}"))
     result = [*dets.columns, "hits", "ignored"]
     done = matched.filter("__share IS NULL").select(*result)
@@ -347,59 +392,154 @@ def _slice_points(batches: Iterator[pa.RecordBatch], class_key: str, before: dic
     yield from points()
 
 
+_TOTALS = "__totals"  # 64-bit counts of hits, then of false alarms, by curve
+
+
+class _Earlier(dict):
+    """Totals (tp, fp, boxes in each area range) before a slice, by (class, slice), of rows that are added up."""
+
+    def __init__(self, boxes: dict):
+        super().__init__()
+        self.boxes = boxes
+
+    def add(self, rows: pa.RecordBatch, class_key: str) -> None:
+        for key, number, totals in zip(*[rows.column(c).to_pylist() for c in (class_key, SLICE, _TOTALS)]):
+            self[key, number] = np.frombuffer(totals, np.int64).reshape(2, -1) + self.pop((key, number), 0)
+
+    def get(self, key):
+        tp, fp = self.pop(key, np.zeros((2, len(_CURVES)), dtype=np.int64))
+        boxes = self.boxes.get(key[0])
+        return boxes and (tp, fp, boxes)
+
+
+class _Slices:
+    """Cuts the detections of each class, of falling score and rising first key, at given places (score, first key)."""
+
+    def __init__(self, cuts: dict, class_key: str, first: str):
+        self.cuts, self.class_key, self.first = cuts, class_key, first
+
+    def numbers(self, rows: pa.RecordBatch, cuts: list[tuple]) -> np.ndarray:
+        """Number of the cuts at or before each row."""
+        scores = rows.column("score").cast(pa.float64())
+        # Nulls come last and what is not a number first, as Spark sorts them.
+        fall = pc.fill_null(pc.negate(scores), np.inf).to_numpy(zero_copy_only=False)
+        fall = np.where(np.isnan(fall), -np.inf, fall)
+        places = np.array([-score for score, _ in cuts])
+        first, last = (np.searchsorted(places, fall, side=s) for s in ("left", "right"))
+        keys, own = [key for _, key in cuts], rows.column(self.first)
+        # Rows among cuts of their own score; null keys come last.
+        for row in np.flatnonzero(last > first).tolist():
+            if (key := own[row].as_py()) is not None:
+                last[row] = bisect_right(keys, key, int(first[row]), int(last[row]))
+        return last
+
+    def cut(self, batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Rows with their slice; at the end a row of totals for each slice that has rows of the task before it."""
+        totals: dict = {}
+        for batch in batches:
+            names = batch.column(self.class_key).dictionary_encode()
+            places = names.indices.to_numpy(zero_copy_only=False)
+            for at, key in enumerate(names.dictionary.to_pylist()):
+                rows = batch.filter(pa.array(places == at))
+                cuts = self.cuts.get(key, [])
+                number = self.numbers(rows, cuts)
+                hits, ignored = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("hits", "ignored"))
+                if key not in totals:
+                    totals[key] = np.zeros((2, len(cuts) + 1, len(_CURVES)), dtype=np.int64)
+                order = np.argsort(number, kind="stable")
+                starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+                for i, mask in enumerate((hits & ~ignored, ~hits & ~ignored)):
+                    bits = np.unpackbits(mask[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(_CURVES)]
+                    totals[key][i, number[order][starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+                made = {**dict(zip(rows.schema.names, rows.columns)), SLICE: pa.array(number.astype(np.int32))}
+                yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(number), f.type)) for f in fields], schema=fields)
+        for key, counts in totals.items():
+            before = np.cumsum(counts, axis=1) - counts
+            later = np.flatnonzero(before.any(axis=(0, 2)))
+            packed = [before[:, number].tobytes() for number in later]
+            made = {self.class_key: [key] * len(later), SLICE: later, _TOTALS: packed}
+            made = {name: pa.array(values, fields.field(name).type) for name, values in made.items()}
+            yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(later), f.type)) for f in fields], schema=fields)
+
+
+def _cuts(rows: DataFrame, class_key: str, first: str, identity: list[str], parts: int) -> dict:
+    """Where to cut each class, so that the slices of all classes are about as large: rows of lowest hash in their order."""
+    wanted = parts * SLICES_A_PARTITION
+    least = F.xxhash64(*identity, F.lit(1)).alias("__hash")
+    usual = rows.filter(F.col(class_key).isNotNull() & F.col(first).isNotNull() & (F.abs("score") < np.inf))
+    drawn = usual.select(class_key, F.col("score").cast("double").alias("score"), first, least)
+    drawn = drawn.orderBy("__hash").limit(min(MOST_SAMPLES, wanted * SAMPLES_A_SLICE))
+    # Rows (class, score, first key).
+    sample = sorted(((r[0], r[1], r[2]) for r in drawn.collect()), key=lambda r: (r[0], -r[1], r[2]))
+    del drawn
+    release(rows.sparkSession)
+    cuts: dict = {}
+    for name, *place in sample[:: max(1, len(sample) // wanted)][1:]:
+        if tuple(place) not in cuts.setdefault(name, [])[-1:]:
+            cuts[name].append(tuple(place))
+    return cuts
+
+
 def average_precision(
-    matches: DataFrame, gts: DataFrame, class_key: str = "class", order: Sequence[str] = ("image_id", "det_key")
+    matches: DataFrame,
+    gts: DataFrame,
+    class_key: str = "class",
+    order: Sequence[str] = ("image_id", "det_key"),
+    alike: DataFrame | None = None,
 ) -> DataFrame:
     """AP per class, threshold and area range, for classes that have ground truth in the range.
 
-    Detections are cut into slices of falling score. The totals of the slices before it give the recall and precision
-    of every detection of a slice. The precision at a recall point is the best of all detections that reach it, so a
-    slice only reports the best precision of each recall step.
+    Detections are cut into slices of falling score, at places drawn from the detections (or from ``alike``, which has
+    their columns but the masks and is cheaper to read). A task counts what it sends to each slice, and sends its totals
+    of the slices before along. They give the recall and precision of every detection of a slice; so the detections are
+    shuffled once and no copy of them is kept. The precision at a recall point is the best of all detections that reach
+    it, so a slice only reports the best precision of each recall step.
     """
-    order = list(order)
-    falling = [F.col("score").desc(), *[F.asc_nulls_last(c) for c in order]]
-    rows = matches.select(class_key, "score", *order, "hits", "ignored")
-    sliced = slices(rows, [class_key], [F.col("score").desc(), *order], sort=[F.col(class_key), *falling])
-    bit = lambda mask, c: F.getbit(mask, F.lit(c)).cast("bigint")
-    counted = lambda c: F.lit(1) - bit("ignored", c)
-    curves = range(len(_CURVES))
-    per_slice = sliced.groupBy(class_key, SLICE).agg(
-        *[F.sum(bit("hits", c) * counted(c)).alias(f"tp{c}") for c in curves],
-        *[F.sum((1 - bit("hits", c)) * counted(c)).alias(f"fp{c}") for c in curves],
-    )
-    sums = per_slice.select(
-        class_key, SLICE, *[F.array(*[f"{kind}{c}" for c in curves]).alias(kind) for kind in ("tp", "fp")]
-    )
-    # One row per class and slice: small, whatever the number of detections.
-    earlier = Window.partitionBy(class_key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    added = lambda kind: F.aggregate(
-        F.collect_list(kind).over(earlier),
-        F.array_repeat(F.lit(0).cast("bigint"), len(_CURVES)),
-        lambda total, one: F.zip_with(total, one, lambda a, b: a + b),
-    )
+    order, spark = list(order), matches.sparkSession
     in_range = [((F.col("area") >= low) & (F.col("area") <= high)).cast("bigint") for low, high in AREAS.values()]
     n_gt = gts.filter("iscrowd = 0").groupBy(class_key).agg(
         *[F.sum(flag).alias(f"n_{name}") for name, flag in zip(AREAS, in_range)]
     )
-    offsets = (
-        sums.select(class_key, SLICE, added("tp").alias("tp"), added("fp").alias("fp"))
-        .join(n_gt.select(class_key, F.array(*[f"n_{a}" for a in AREAS]).alias("n")), class_key)
-        .select(F.col(class_key).alias("c"), F.col(SLICE).alias("s"), "tp", "fp", "n")
+    # One row per class.
+    n_gt = spark.createDataFrame(n_gt.collect(), n_gt.schema)
+    release(spark)
+    boxes = {r[0]: list(r[1:]) for r in n_gt.collect() if r[0] is not None}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    identity = [class_key, "score", *order]
+    cuts = _cuts(matches if alike is None else alike, class_key, order[0], identity, parts)
+    slices = spark.sparkContext.broadcast(_Slices(cuts, class_key, order[0]))
+    rows = matches.select(*identity, "hits", "ignored").filter(F.col(class_key).isNotNull())
+    schema = StructType([*rows.schema.fields, StructField(SLICE, IntegerType()), StructField(_TOTALS, BinaryType())])
+    fields = to_arrow_schema(schema)
+    totals_first = [F.col(_TOTALS).isNull(), F.col("score").desc(), *[F.asc_nulls_last(c) for c in order]]
+    sliced = (
+        rows.mapInArrow(lambda batches: slices.value.cut(batches, fields), schema)
+        .repartition(parts, class_key, SLICE)
+        .sortWithinPartitions(class_key, SLICE, *totals_first)
+        .select(class_key, SLICE, "hits", "ignored", _TOTALS)
     )
-    # A slice is a range of classes and scores: there are at most as many rows as classes and slices together.
-    before = {(r["c"], r["s"]): (r["tp"], r["fp"], r["n"]) for r in offsets.collect()}
-    known = matches.sparkSession.sparkContext.broadcast(before)
     key_type = matches.schema[class_key].dataType.simpleString()
-    best = (
-        sliced.select(class_key, SLICE, "hits", "ignored")
-        .mapInArrow(
-            lambda batches: _slice_points(batches, class_key, known.value),
-            f"iou double, area string, step int, precision double, `{class_key}` {key_type}",
-        )
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earlier = _Earlier(boxes)
+
+        def detections() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                totals = batch.column(_TOTALS).is_valid()
+                earlier.add(batch.filter(totals), class_key)
+                found = batch.filter(pc.invert(totals))
+                if found.num_rows:
+                    yield found
+
+        yield from _slice_points(detections(), class_key, earlier)
+
+    # At most 101 rows per curve.
+    best = pin(
+        sliced.mapInArrow(points, f"iou double, area string, step int, precision double, `{class_key}` {key_type}")
         .groupBy(class_key, "iou", "area", "step")
         .agg(F.max("precision").alias("precision"))
     )
-    # At most 101 rows per curve from here on. A row covers the recall points above the step below it.
+    # A row covers the recall points above the step below it.
     up = Window.partitionBy(class_key, "iou", "area").orderBy("step")
     envelope = F.max("precision").over(up.rowsBetween(0, Window.unboundedFollowing))
     below = F.coalesce(F.lag("step").over(up), F.lit(-1))
@@ -437,4 +577,5 @@ def summary(aps: DataFrame, class_key: str = "class") -> DataFrame:
 
 def coco_eval(dets: DataFrame, gts: DataFrame, max_dets: int = MAX_DETECTIONS) -> DataFrame:
     """Quality of detections against ground truth; see :func:`match_detections` for the columns."""
-    return summary(average_precision(match_detections(dets, gts, max_dets=max_dets), gts))
+    dets = dets.select("image_id", "class", *_BOX, "score", "det_key")
+    return summary(average_precision(match_detections(dets, gts, max_dets=max_dets), gts, alike=dets))

@@ -313,6 +313,35 @@ def test_boxes_in_blocks_match_as_whole(spark, monkeypatch, block):
     assert {r.hits for r in evaluate.match_detections(d, g.limit(0)).collect()} == {0}
 
 
+def test_detections_and_boxes_are_shuffled_once(spark):
+    dets, gts = labelled(5)
+    dets += [{**dets[0], "image_id": None, "det_key": 10_000 + i, "score": i / 7} for i in range(7)]
+    d, g = spark.createDataFrame(dets, DETS), spark.createDataFrame(gts, GTS)
+    matches = evaluate.match_detections(d, g, max_dets=5)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    per_image = {}
+    for r in dets:
+        per_image.setdefault((r["image_id"], r["class"]), []).append((-r["score"], r["det_key"]))
+    want = {(*k, key) for k, rows in per_image.items() for _, key in sorted(rows)[:5]}
+    assert {(r.image_id, r["class"], r.det_key) for r in matches.collect()} == want
+
+
+def test_curves_do_not_depend_on_the_slices(spark, monkeypatch):
+    dets, gts = labelled(6, 8)
+    for i, r in enumerate(dets):
+        r["score"] = (0.5, 0.5, 0.75, float("nan"), float("inf"), float("-inf"), None)[i % 7]
+    dets += [{**dets[0], "image_id": None}, {**dets[1], "class": None}]
+    d, g = spark.createDataFrame(dets, DETS), spark.createDataFrame(gts, GTS)
+    matches, found = evaluate.match_detections(d, g), []
+    for most in (1, 2, 64):
+        monkeypatch.setattr(evaluate, "SLICES_A_PARTITION", most)
+        found.append(sorted(map(repr, evaluate.average_precision(matches, g, alike=d if most == 2 else None).collect())))
+    monkeypatch.setattr(evaluate, "_cuts", lambda *_: {})
+    found.append(sorted(map(repr, evaluate.average_precision(matches, g).collect())))
+    assert found[0] == found[1] == found[2] == found[3] and any("ap=0.0)" not in r for r in found[0])
+
+
 def test_pairs_come_in_parts(monkeypatch):
     monkeypatch.setattr(evaluate, "MOST_PAIRS", 5)
     group, start, end = np.array([0, 0, 1, 2, 2]), np.array([0, 3, 3]), np.array([3, 3, 10])
